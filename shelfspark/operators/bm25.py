@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.config import Bm25Config
 from shelfspark.functions.fold import term_counts, tokenize
 from shelfspark.operators.keyed import top_per_key
-from shelfspark.session import materialize, small_side
+from shelfspark.session import explode_once, materialize, small_side
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class Queries:
 
     def terms(self) -> DataFrame:
         """(query_id, term, qtf); repeated words count as often as they occur."""
-        return (self.df.select("query_id", F.explode(term_counts(tokenize("query"))).alias("t"))
+        return (explode_once(self.df, term_counts(tokenize("query")), "t", "query_id")
                 .select("query_id", "t.term", F.col("t.tf").alias("qtf")))
 
     def small_terms(self, df: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark import fixed_values as V
 from shelfspark.functions.extract import detail_part, has_year
 from shelfspark.functions.fold import audit_norm
-from shelfspark.session import small_side
+from shelfspark.session import explode_once, let, small_side
 
 _CLASSES = (1, 2, 4, 8, 16, 32, 64)
+#: Longest phrase list that is compared inside the row of a text.
+_INLINE_PHRASES = 2000
 
 
 def _phrases(df: DataFrame, key: str, norm: str) -> DataFrame:
@@ -23,28 +25,38 @@ def _phrases(df: DataFrame, key: str, norm: str) -> DataFrame:
             .select(key, norm, "width", F.array_join(F.slice("_w", F.lit(1), F.col("width")), " ").alias("anchor")))
 
 
-def _windows(df: DataFrame, key: str, norm: str, widths: list[int]) -> DataFrame:
-    """Every run of ``width`` words of the text, for the widths in use."""
-    words = F.split(norm, " ")
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (w - 1), F.lit(1))),
-                        lambda i, w=w: F.struct(F.lit(w).alias("width"), F.array_join(F.slice(words, i, w), " ").alias("anchor")))
-            for w in widths]
-    return df.select(key, norm, F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("r")).select(
-        key, norm, "r.width", "r.anchor")
+def _runs(words: Column, width: int) -> Column:
+    """Distinct runs of ``width`` neighbouring words."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " ")))
 
 
 def _contained(phrases: DataFrame, p_key: str, p_norm: str, texts: DataFrame, t_key: str, t_norm: str,
                rows: int) -> DataFrame:
     """(p_key, t_key): the phrase occurs as whole words in the text.
 
-    An equi-join on the first words of the phrase, then the exact test on the few pairs
-    that remain, in place of a nested loop over all pairs.
+    Texts and phrases meet on the first words of the phrase (its anchor); the exact test
+    runs on the few pairs that remain. A short phrase list is intersected with the word
+    runs inside the row of the text, so the corpus is read once and not shuffled; a long
+    one is joined on the anchor.
     """
     anchors = _phrases(phrases, p_key, p_norm)
-    widths = [r["width"] for r in anchors.select("width").distinct().collect()] or [1]
-    hit = _windows(texts, t_key, t_norm, sorted(widths)).join(small_side(anchors, rows), ["width", "anchor"])
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    return hit.filter(pad(F.col(t_norm)).contains(pad(F.col(p_norm)))).select(p_key, t_key)
+    if rows <= _INLINE_PHRASES:
+        known: dict[int, list] = {}
+        for r in anchors.select("width", "anchor").distinct().collect():
+            known.setdefault(r["width"], []).append(r["anchor"])
+        found = let(F.split(t_norm, " "), lambda words: F.concat(
+            *[F.array_intersect(F.lit(known[w]), _runs(words, w)) for w in sorted(known)] or [F.array().cast("array<string>")]))
+        hit = explode_once(texts, found, "anchor", t_key, t_norm)
+        pairs = hit.join(small_side(anchors, rows), "anchor")
+        return pairs.filter(pad(F.col(t_norm)).contains(pad(F.col(p_norm)))).select(p_key, t_key).distinct()
+    widths = sorted(r["width"] for r in anchors.select("width").distinct().collect())
+    every = let(F.split(t_norm, " "), lambda words: F.flatten(F.array(*[_runs(words, w) for w in widths])))
+    pairs = (explode_once(texts, every, "anchor", t_key).join(small_side(anchors, rows), "anchor")
+             .select(p_key, p_norm, t_key).distinct())
+    return (pairs.join(texts.select(t_key, t_norm), t_key)
+            .filter(pad(F.col(t_norm)).contains(pad(F.col(p_norm)))).select(p_key, t_key))
 
 
 def match_titles(canon: DataFrame, titles: DataFrame, *, canon_id: str = "canon_id", title: str = "title",
@@ -75,11 +87,12 @@ def match_titles(canon: DataFrame, titles: DataFrame, *, canon_id: str = "canon_
 
 def _windows_all(df: DataFrame, key: str, norm: str) -> DataFrame:
     """Every run of words of a short text."""
-    words = F.split(norm, " ")
-    n = F.size(words)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-        F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))))
-    return df.select(key, F.explode(F.array_distinct(runs)).alias("run"))
+    def runs(words: Column) -> Column:
+        n = F.size(words)
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
+            F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), " ")))))
+
+    return explode_once(df, let(F.split(norm, " "), runs), "run", key)
 
 
 def quality_flags(entries: DataFrame, text: str = "text", author: str = "author") -> DataFrame:

@@ -69,7 +69,7 @@ def chunk(df: DataFrame, strategy: str = "fixed_size", cfg: ChunkConfig = ChunkC
     base = base.filter(F.size("_words") >= cfg.min_size)
     spanned = base.select(
         doc_id, *keep, "_words",
-        F.posexplode(spans(F.col("_clean"), F.size("_words"), strategy, cfg)).alias("i", "span"))
+        F.posexplode_outer(spans(F.col("_clean"), F.size("_words"), strategy, cfg)).alias("i", "span"))
     length = F.col("span.end") - F.col("span.start")
     piece = F.array_join(F.slice("_words", F.col("span.start") + 1, F.greatest(length, F.lit(0))), " ")
     return (spanned.filter(length >= cfg.min_size)
@@ -81,36 +81,34 @@ def chunk(df: DataFrame, strategy: str = "fixed_size", cfg: ChunkConfig = ChunkC
                     F.lit(strategy).alias("strategy")))
 
 
-def chunk_lengths(df: DataFrame, strategy: str, cfg: ChunkConfig, doc_id: str, text: str) -> DataFrame:
-    """Per document: array of kept chunk lengths and word count. Builds no chunk text."""
-    clean = df.select(doc_id, squeeze(text).alias("_clean"))
-    clean = clean.withColumn("n_words", F.regexp_count("_clean", F.lit(r"[^ ]+")))
-    lengths = let(spans(F.col("_clean"), F.col("n_words"), strategy, cfg), lambda s: F.filter(
+def chunk_lengths(clean: Column, n_words: Column, strategy: str, cfg: ChunkConfig) -> Column:
+    """Lengths of the kept chunks of one document, without building any chunk text."""
+    return let(spans(clean, n_words, strategy, cfg), lambda s: F.filter(
         F.transform(s, lambda p: p["end"] - p["start"]), lambda k: k >= cfg.min_size))
-    return clean.filter(F.col("n_words") >= cfg.min_size).select(
-        doc_id, F.lit(strategy).alias("strategy"), "n_words", lengths.alias("lengths"))
 
 
-def strategy_stats(df: DataFrame, cfg: ChunkConfig = ChunkConfig(),
-                   doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def strategy_stats(df: DataFrame, cfg: ChunkConfig = ChunkConfig(), text: str = "text") -> DataFrame:
     """Compare the strategies: means over per-document rounded means.
 
-    Each document is reduced inside its own row, so only three tiny partial
+    One scan; each document is reduced inside its own row, so only three partial
     aggregates per task are shuffled.
     """
-    out = None
-    for s in STRATEGIES:
-        per = chunk_lengths(df, s, cfg, doc_id, text)
-        out = per if out is None else out.unionByName(per)
-    total = F.aggregate("lengths", F.lit(0), lambda a, x: a + x)
-    per_doc = out.filter(F.size("lengths") > 0).select(
-        "strategy", F.size("lengths").cast("long").alias("n"), total.cast("long").alias("words"),
-        F.round(total / F.size("lengths"), 1).alias("avg_words"),
-        F.array_min("lengths").cast("long").alias("shortest"), F.array_max("lengths").cast("long").alias("longest"),
-        F.round(total / F.greatest("n_words", F.lit(1)), 2).alias("coverage"))
-    return per_doc.groupBy("strategy").agg(
-        F.sum("n").alias("n_chunks"), F.sum("words").alias("total_words"),
-        F.round(F.avg("avg_words"), 1).alias("avg_words"),
-        F.round(F.min("avg_words"), 1).alias("min_avg"), F.round(F.max("avg_words"), 1).alias("max_avg"),
-        F.min("shortest").alias("min_words"), F.max("longest").alias("max_words"),
-        F.round(F.avg("coverage"), 2).alias("coverage"))
+    clean = df.select(squeeze(text).alias("_clean")).withColumn("n_words", F.regexp_count("_clean", F.lit(r"[^ ]+")))
+    per = clean.filter(F.col("n_words") >= cfg.min_size).select("n_words", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("strategy"), chunk_lengths(F.col("_clean"), F.col("n_words"), s, cfg).alias("lengths"))
+        for s in STRATEGIES])).alias("s"))
+
+    def figures(a: Column) -> Column:
+        total = F.aggregate(a, F.lit(0), lambda x, y: x + y).cast("long")
+        n = F.nullif(F.size(a).cast("long"), F.lit(0).cast("long"))
+        return F.struct(n.alias("n"), F.when(n > 0, total).alias("words"), F.round(total / n, 1).alias("avg_words"),
+                        F.array_min(a).cast("long").alias("lo"), F.array_max(a).cast("long").alias("hi"),
+                        F.when(n > 0, F.round(total / F.greatest("n_words", F.lit(1)), 2)).alias("cov"))
+
+    doc = per.select(F.col("s.strategy").alias("strategy"), let(F.col("s.lengths"), figures).alias("f"))
+    return doc.groupBy("strategy").agg(
+        F.sum("f.n").alias("n_chunks"), F.sum("f.words").alias("total_words"),
+        F.round(F.avg("f.avg_words"), 1).alias("avg_words"),
+        F.round(F.min("f.avg_words"), 1).alias("min_avg"), F.round(F.max("f.avg_words"), 1).alias("max_avg"),
+        F.min("f.lo").alias("min_words"), F.max("f.hi").alias("max_words"),
+        F.round(F.avg("f.cov"), 2).alias("coverage"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark import fixed_values as V
 from shelfspark.config import EVAL_KS
 from shelfspark.functions.text import word_count
-from shelfspark.session import any_of
+from shelfspark.session import any_of, let
 
 
 def is_relevant(text: Column, keywords: Column, metadata: list[Column] = ()) -> Column:
@@ -55,7 +55,7 @@ def report_json(averages: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ answers
 def has_marker(answer: Column, markers) -> Column:
-    return any_of(F.lower(answer), [m.lower() for m in markers])
+    return let(F.lower(answer), lambda low: any_of(low, [m.lower() for m in markers]))
 
 
 def check_answers(df: DataFrame, answer: str = "answer", keywords: str = "expect_keywords",

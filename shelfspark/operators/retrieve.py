@@ -82,12 +82,9 @@ def gate(results: DataFrame, queries: Queries, k: int, cfg: SearchConfig = Searc
         .when(F.col("top_score") < cfg.warn_below, "low_confidence").otherwise("ok"))
     shown = results.filter(F.col("rank") < k).select(
         "query_id", "doc_id", "score", (F.col("rank") + 1).alias("source_idx"))
-    open_state = F.col("status").isin("ok", "low_confidence")
-    return state.join(queries.small(shown, k), "query_id", "left").select(
-        "query_id", "status",
-        F.when(open_state, F.col("source_idx")).alias("source_idx"),
-        F.when(open_state, F.col("doc_id")).alias("doc_id"),
-        F.when(open_state, F.col("score")).alias("score")).distinct()
+    state = state.withColumn("_open", F.when(F.col("status").isin("ok", "low_confidence"), F.col("query_id")))
+    shown = shown.withColumnRenamed("query_id", "_open")
+    return state.join(queries.small(shown, k), "_open", "left").select("query_id", "status", "source_idx", "doc_id", "score")
 
 
 def merge_pool(pool: DataFrame, new: DataFrame, queries: Queries, docs: DataFrame | None = None,

@@ -64,11 +64,13 @@ def funnel(raw: DataFrame, *, languages=tuple(V.KEEP_LANGS), filter_topic: bool
     The stages are nested conditions of one scan; deduplication is a count of keys among
     the rows that pass, so no stage is computed twice.
     """
-    lang_ok = F.coalesce(F.col(language), F.lit("")).isin(*languages)
-    size_ok = lang_ok & ((F.length(text) >= V.MIN_BOOK_CHARS) if text is not None else long_enough())
-    topic_ok = size_ok & (on_topic(topic if topic is not None else topic_text()) if filter_topic else F.lit(True))
-    flags = raw.select(lang_ok.alias("l"), size_ok.alias("s"), topic_ok.alias("t"),
-                       F.when(topic_ok, F.sha2(F.to_json(F.struct(*(keys or title_author_key()))), 256)).alias("key"))
+    named = [c.alias(f"k{i}") for i, c in enumerate(keys or title_author_key())]
+    size_ok = (F.length(text) >= V.MIN_BOOK_CHARS) if text is not None else long_enough()
+    topic_ok = on_topic(topic if topic is not None else topic_text()) if filter_topic else F.lit(True)
+    l = raw.withColumn("_l", F.coalesce(F.col(language), F.lit("")).isin(*languages)).withColumn("_s", F.col("_l") & size_ok)
+    flags = l.withColumn("_t", F.when(F.col("_s"), topic_ok).otherwise(F.lit(False))).select(
+        F.col("_l").alias("l"), F.col("_s").alias("s"), F.col("_t").alias("t"),
+        F.when(F.col("_t"), F.sha2(F.to_json(F.struct(*named)), 256)).alias("key"))
     per_key = flags.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l").cast("long")).alias("l"),
                                        F.sum(F.col("s").cast("long")).alias("s"), F.sum(F.col("t").cast("long")).alias("t"))
     return per_key.agg(F.sum("n").alias("total_raw"), F.sum("l").alias("after_lang"), F.sum("s").alias("after_short"),

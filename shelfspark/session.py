@@ -68,6 +68,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def explode_once(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """Explode a computed array without computing it twice.
+
+    A plain ``explode`` gets a size filter pushed below it, which repeats the array
+    expression; the outer form does not, and its placeholder row is dropped afterwards.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def any_of(column: Column, needles, *, fn=None) -> Column:
     """True when the text contains at least one of the literal strings."""
     hit = F.lit(False)

@@ -4,38 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfspark import fixed_values as V
 from shelfspark.functions.text import strip
 
-ARTICLE_SCHEMA = T.StructType.fromDDL(
+ARTICLE_SCHEMA = (
     "id string, title string, url string, category string, categories array<string>, summary string, "
     "content string, crawled_at string, last_modified string, language string, word_count int, is_valid boolean")
-BOOK_SCHEMA = T.StructType.fromDDL(
+BOOK_SCHEMA = (
     "id string, title string, url string, wikidata_id string, summary string, content string, author string, "
     "authors array<string>, publication_year string, genre string, genres array<string>, isbn string, "
     "isbn_list array<string>, publisher string, page_count int, cover_url string, source string, "
     "author_source string, year_source string, genre_source string, crawl_category string, "
     "categories array<string>, language string, word_count int, char_count int, crawled_at string, "
     "last_modified string")
-PERSON_SCHEMA = T.StructType.fromDDL(
+PERSON_SCHEMA = (
     "id string, title string, url string, wikidata_id string, summary string, content string, birth_year string, "
     "death_year string, nationality string, notable_works array<string>, genres array<string>, "
     "birth_source string, nationality_source string, crawl_category string, categories array<string>, "
     "language string, word_count int, char_count int, crawled_at string, last_modified string")
-RECORD_SCHEMA = T.StructType.fromDDL(
+RECORD_SCHEMA = (
     "id string, title string, name string, type string, url string, author string, authors array<string>, "
     "source string, content string, summary string, ai_summary string, description string, genre string, "
     "genres array<string>, categories array<string>, publisher string, publication_year string, page_count string, "
     "isbn string, isbn_list array<string>, cover_url string, word_count long, char_count long, language string")
-METADATA_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in [*V.CATALOG_COLUMNS, "ai_filled"]])
+METADATA_SCHEMA = ", ".join(f"{c} string" for c in [*V.CATALOG_COLUMNS, "ai_filled"])
 
 
-def read_json_folder(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.json",
+def read_json_folder(spark: SparkSession, path: str, schema: str, pattern: str = "*.json",
                      limit: int | None = None) -> DataFrame:
     """One record per file, any depth. Unreadable files are dropped; ``path`` and ``folder`` are added."""
-    full = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
+    full = f"{schema}, _broken string"
     df = (spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_broken").option("recursiveFileLookup", True)
           .option("pathGlobFilter", pattern).json(path))
@@ -44,8 +43,8 @@ def read_json_folder(spark: SparkSession, path: str, schema: T.StructType, patte
     return df.orderBy("path").limit(limit) if limit else df
 
 
-def count_broken(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.json") -> int:
-    full = T.StructType([*schema.fields, T.StructField("_broken", T.StringType()), ])
+def count_broken(spark: SparkSession, path: str, schema: str, pattern: str = "*.json") -> int:
+    full = f"{schema}, _broken string"
     df = (spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", "_broken")
           .option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path))
     return df.select("id", "_broken").filter(F.col("_broken").isNotNull() & F.col("id").isNull()).count()
