@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfspark.functions.fold import tokenize
 from shelfspark.operators.keyed import top_per_key
@@ -127,6 +128,7 @@ def _broadcast_scan(v: DataFrame, q: DataFrame, vec_id: str, k: int, schema: T.S
     table = q.toArrow()
     shared = v.sparkSession.sparkContext.broadcast(
         (table.column("query_id").to_pylist(), _unit(_matrix(table.column("_v")))))
+    out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, mat = shared.value
@@ -135,7 +137,7 @@ def _broadcast_scan(v: DataFrame, q: DataFrame, vec_id: str, k: int, schema: T.S
         rows = _scan(((b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))) for b in batches), ids, mat, k)
         frame = pd.DataFrame(rows, columns=["query_id", vec_id, "score"])
         if len(frame):
-            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+            yield pa.RecordBatch.from_pandas(frame, schema=out, preserve_index=False)
 
     return v.mapInArrow(run, schema)
 
@@ -145,6 +147,7 @@ def _block_scan(v: DataFrame, q: DataFrame, vec_id: str, k: int, schema: T.Struc
     """Query blocks x vector blocks, each pair in its own bounded task."""
     size = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     v_blocks = max(1, -(-((size["n"] or 0) * (size["d"] or 0) * 8) // max_bytes))
+    out = to_arrow_schema(schema)
     cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     vs = v.withColumn("vb", cell(vec_id, v_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     qs = q.withColumn("qb", cell("query_id", blocks)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
@@ -155,9 +158,7 @@ def _block_scan(v: DataFrame, q: DataFrame, vec_id: str, k: int, schema: T.Struc
             rows = _scan([(left.column(vec_id).to_numpy(), _matrix(left.column("_v")))],
                          right.column("query_id").to_pylist(), _unit(_matrix(right.column("_v"))), k)
         frame = pd.DataFrame(rows, columns=["query_id", vec_id, "score"])
-        fields = pa.schema([("query_id", right.schema.field("query_id").type),
-                            (vec_id, left.schema.field(vec_id).type), ("score", pa.float64())])
-        return pa.Table.from_pandas(frame, schema=fields, preserve_index=False)
+        return pa.Table.from_pandas(frame, schema=out, preserve_index=False)
 
     keys = [F.col("qb").cast("long"), F.col("vb").cast("long")]
     return vs.groupBy(*keys).cogroup(qs.groupBy(*keys)).applyInArrow(run, schema)

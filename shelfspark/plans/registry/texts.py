@@ -315,7 +315,7 @@ def _sql_page_text(x: str) -> str:
     return text
 
 
-_PAGE_BODY = "regexp_extract(html, '(?s)<article>(.*?)(</article>|\z)', 1)"
+_PAGE_BODY = r"regexp_extract(html, '(?s)<article>(.*?)(</article>|\z)', 1)"
 for _tag in V.STRIPPED_ELEMENTS:
     _PAGE_BODY = f"regexp_replace({_PAGE_BODY}, '(?s)<{_tag}[ >].*?</{_tag}>', '', 'g')"
 SQL_PAGES = f"""
