@@ -117,8 +117,8 @@ def audit_norm(c: Column | str) -> Column:
 
 def norm_title(c: Column | str) -> Column:
     """Lower case, trailing parenthesis dropped, blanks squeezed."""
-    t = F.regexp_replace(strip(F.lower(col(c))), rf"[{WS}]*\([^)]*\)[{WS}]*\z", "")
-    return strip(F.regexp_replace(t, rf"[{WS}]+", " "))
+    t = F.regexp_replace(strip(F.lower(col(c))), rf"(?U)[{WS}]*\([^)]*\)[{WS}]*\z", "")
+    return strip(F.regexp_replace(t, rf"(?U)[{WS}]+", " "))
 
 
 def author_key(c: Column | str) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from shelfspark import fixed_values as V
 from shelfspark.session import let
 
-#: Body of a character class holding every Unicode white-space character, control
-#: separators included; spelled out because ``\s`` means less in Java.
-WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Body of a character class holding every Unicode white-space character and the control
+#: separators. Only complete together with the ``U`` flag, which widens ``\s``.
+WS = r"\s\x1c-\x1f"
 
 
 def col(c: Column | str) -> Column:
@@ -19,7 +19,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim Unicode white space on both ends."""
-    return F.regexp_replace(col(c), rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.regexp_replace(col(c), rf"(?U)\A[{WS}]+|[{WS}]+\z", "")
 
 
 def nonblank(c: Column | str) -> Column:
@@ -29,7 +29,7 @@ def nonblank(c: Column | str) -> Column:
 
 def squeeze(c: Column | str) -> Column:
     """Collapse every white-space run to one blank and trim."""
-    return F.trim(F.regexp_replace(col(c), rf"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(col(c), rf"(?U)[{WS}]+", " "))
 
 
 def words(c: Column | str) -> Column:
@@ -38,7 +38,12 @@ def words(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    return F.regexp_count(col(c), F.lit(rf"[^{WS}]+")).cast("long")
+    return let(squeeze(c), single_spaced_words).cast("long")
+
+
+def single_spaced_words(t: Column) -> Column:
+    """Number of words of a squeezed text."""
+    return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
 
 
 def char_count(c: Column | str) -> Column:
@@ -50,12 +55,12 @@ def cut_junk_sections(c: Column | str, names=tuple(V.JUNK_SECTIONS)) -> Column:
     text = col(c)
     cut = text
     for name in names:
-        cut = F.regexp_replace(cut, rf"(?dms)^=+[{WS}]*{name}[{WS}]*=+.*", "")
+        cut = F.regexp_replace(cut, rf"(?Udms)^=+[{WS}]*{name}[{WS}]*=+.*", "")
     return F.when(text.contains("="), cut).otherwise(text)
 
 
 def drop_headings(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"(?dm)^=+[^=]+=+[{WS}]*$", "")
+    return F.regexp_replace(col(c), rf"(?Udm)^=+[^=]+=+[{WS}]*$", "")
 
 
 def squeeze_blank_lines(c: Column | str) -> Column:

@@ -128,6 +128,6 @@ def search(index: LexicalIndex, queries: Queries, k: int, cfg: Bm25Config = Bm25
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("w") * tf * F.lit(cfg.k1 + 1) / (
         tf + F.lit(cfg.k1) * (F.lit(1 - cfg.b) + F.lit(cfg.b) * dl / avgdl))
-    scored = (index.postings().join(queries.small_terms(weights), "term")
-              .groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")))
+    scored = (index.postings().join(queries.small_terms(weights), "term").withColumn("part", part)
+              .groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")))
     return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.config import ChunkConfig
 from shelfspark.functions.ids import chunk_id
-from shelfspark.functions.text import squeeze
+from shelfspark.functions.text import single_spaced_words, squeeze
 from shelfspark.session import let
 
 STRATEGIES = ("fixed_size", "sliding_window", "sentence_aware")
@@ -28,7 +28,7 @@ def _sentence_spans(text: Column, cfg: ChunkConfig) -> Column:
     """
     by_stop = F.split(text, r"(?<=[.!?…]) ")
     sentences = F.when(F.size(by_stop) <= 1, F.split(text, r"[,;\n]+")).otherwise(by_stop)
-    lengths = F.filter(F.transform(sentences, lambda s: F.regexp_count(s, F.lit(r"[^ ]+"))), lambda k: k > 0)
+    lengths = F.filter(F.transform(sentences, lambda s: single_spaced_words(F.trim(s))), lambda k: k > 0)
     zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("start"), F.lit(0).alias("pos"),
                     F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
@@ -93,7 +93,7 @@ def strategy_stats(df: DataFrame, cfg: ChunkConfig = ChunkConfig(), text: str =
     One scan; each document is reduced inside its own row, so only three partial
     aggregates per task are shuffled.
     """
-    clean = df.select(squeeze(text).alias("_clean")).withColumn("n_words", F.regexp_count("_clean", F.lit(r"[^ ]+")))
+    clean = df.select(squeeze(text).alias("_clean")).withColumn("n_words", single_spaced_words(F.col("_clean")))
     per = clean.filter(F.col("n_words") >= cfg.min_size).select("n_words", F.explode(F.array(*[
         F.struct(F.lit(s).alias("strategy"), chunk_lengths(F.col("_clean"), F.col("n_words"), s, cfg).alias("lengths"))
         for s in STRATEGIES])).alias("s"))

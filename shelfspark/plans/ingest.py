@@ -10,13 +10,20 @@ from shelfspark.functions.extract import classify_by_category, keep_meaningful_c
 from shelfspark.functions.ids import archive_id
 from shelfspark.functions.text import (
     book_card, clean_article, clean_book_text, lead_lines, nonblank, prefix, strip, word_count)
+from shelfspark.session import explode_once
 from shelfspark.operators.keyed import keep_first, keep_longest, title_author_key
 
 
+def cleaned_texts(df: DataFrame, text: str, *keep: str, min_chars: int = V.MIN_CLEAN_CHARS) -> DataFrame:
+    """Cleaned article texts of at least ``min_chars`` characters; each text is cleaned once."""
+    long = F.filter(F.array(clean_article(text)), lambda c: F.length(c) >= min_chars)
+    return explode_once(df, long, "content", *keep)
+
+
 def clean_articles(raw: DataFrame) -> DataFrame:
     """Encyclopaedia articles: first copy per id, cleaned, typed, short ones dropped."""
     df = keep_first(raw.filter(F.coalesce("id", F.lit("")) != ""), ["id"], [F.col("path")])
-    df = df.withColumn("content", clean_article("content")).filter(F.length("content") >= V.MIN_CLEAN_CHARS)
+    df = cleaned_texts(df, "content", *[c for c in df.columns if c != "content"])
     none = F.array().cast("array<string>")
     return df.select(
         "id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"),

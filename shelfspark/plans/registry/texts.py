@@ -13,6 +13,7 @@ from shelfspark.functions.fold import audit_norm, tokenize
 from shelfspark.functions.ids import archive_id, drive_direct_url, safe_name, uuid5
 from shelfspark.functions.pages import page_parts
 from shelfspark.operators.keyed import most_common
+from shelfspark.plans.ingest import cleaned_texts
 from shelfspark.plans.registry import sql as S
 from shelfspark.session import explode_once
 from shelfspark.sources.tables import load
@@ -22,10 +23,9 @@ _NL = "chr(10)"
 
 # ------------------------------------------------------------------ cleaning
 def clean_article_text(spark, d):
-    return (load(spark, d, "documents", "doc_id", "text").withColumn("c", T.clean_article("text"))
-            .filter(F.length("c") >= V.MIN_CLEAN_CHARS)
-            .select("doc_id", F.md5("c").alias("content_md5"), T.char_count("c").alias("char_count"),
-                    T.word_count("c").alias("word_count")))
+    c = cleaned_texts(load(spark, d, "documents", "doc_id", "text"), "text", "doc_id")
+    return c.select("doc_id", F.md5("content").alias("content_md5"), T.char_count("content").alias("char_count"),
+                    T.word_count("content").alias("word_count"))
 
 
 def _sql_cut() -> str:
