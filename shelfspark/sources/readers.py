@@ -28,7 +28,7 @@ RECORD_SCHEMA = (
     "source string, content string, summary string, ai_summary string, description string, genre string, "
     "genres array<string>, categories array<string>, publisher string, publication_year string, page_count string, "
     "isbn string, isbn_list array<string>, cover_url string, word_count long, char_count long, language string")
-METADATA_SCHEMA = ", ".join(f"{c} string" for c in [*V.CATALOG_COLUMNS, "ai_filled"])
+METADATA_COLUMNS = [*V.CATALOG_COLUMNS, "ai_filled"]
 
 
 def read_json_folder(spark: SparkSession, path: str, schema: str, pattern: str = "*.json",
@@ -80,8 +80,8 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
     """Metadata table with byte-order mark, quoted newlines and doubled quotes."""
-    return (spark.read.schema(METADATA_SCHEMA).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("enforceSchema", False).csv(path))
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in METADATA_COLUMNS])
 
 
 def read_vectors(spark: SparkSession, vectors: str, payload: str, key: str = "id") -> DataFrame:
