@@ -16,27 +16,27 @@ _INLINE_PHRASES = 2000
 
 
 def _phrases(df: DataFrame, key: str, norm: str) -> DataFrame:
-    """Key, words and the anchor (first ``w`` words, w the largest class that fits)."""
+    """Key, words and the anchor (hash of the first ``w`` words, w the largest class that fits)."""
     n = F.size("_w")
     width = F.lit(1)
     for c in _CLASSES[1:]:
         width = F.when(n >= c, F.lit(c)).otherwise(width)
     return (df.withColumn("_w", F.split(norm, " ")).withColumn("width", width)
-            .select(key, norm, "width", F.array_join(F.slice("_w", F.lit(1), F.col("width")), " ").alias("anchor")))
+            .select(key, norm, "width", F.xxhash64(F.array_join(F.slice("_w", F.lit(1), F.col("width")), " ")).alias("anchor")))
 
 
 def _runs(words: Column, width: int) -> Column:
-    """Distinct runs of ``width`` neighbouring words."""
+    """Hashes of the distinct runs of ``width`` neighbouring words: eight bytes per position."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " ")))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
 
 
 def _contained(phrases: DataFrame, p_key: str, p_norm: str, texts: DataFrame, t_key: str, t_norm: str,
                rows: int) -> DataFrame:
     """(p_key, t_key): the phrase occurs as whole words in the text.
 
-    Texts and phrases meet on the first words of the phrase (its anchor); the exact test
-    runs on the few pairs that remain. A short phrase list is intersected with the word
+    Texts and phrases meet on a hash of the first words of the phrase (its anchor); the
+    exact test runs on the few pairs that remain. A short phrase list is intersected with the word
     runs inside the row of the text, so the corpus is read once and not shuffled; a long
     one is joined on the anchor.
     """
@@ -47,7 +47,7 @@ def _contained(phrases: DataFrame, p_key: str, p_norm: str, texts: DataFrame, t_
         for r in anchors.select("width", "anchor").distinct().collect():
             known.setdefault(r["width"], []).append(r["anchor"])
         found = let(F.split(t_norm, " "), lambda words: F.concat(
-            *[F.array_intersect(F.lit(known[w]), _runs(words, w)) for w in sorted(known)] or [F.array().cast("array<string>")]))
+            *[F.array_intersect(F.lit(known[w]), _runs(words, w)) for w in sorted(known)] or [F.array().cast("array<bigint>")]))
         hit = explode_once(texts, found, "anchor", t_key, t_norm)
         pairs = hit.join(small_side(anchors, rows), "anchor")
         return pairs.filter(pad(F.col(t_norm)).contains(pad(F.col(p_norm)))).select(p_key, t_key).distinct()

@@ -59,7 +59,7 @@ def already_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def share_by(df: DataFrame, *keys: str, decimals: int = 1) -> DataFrame:
     """Row count and percentage per key; the total comes from the counts, not a second scan."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = counts.agg(F.sum("n").alias("total")).scalar()
     return counts.withColumn("pct", F.round(F.col("n") * 100.0 / total, decimals))
 
 

@@ -34,17 +34,24 @@ def format_history(messages: DataFrame, cfg: MemoryConfig = MemoryConfig(), conv
     return gathered.select(conv, F.array_join(F.transform("l", lambda s: s["line"]), "\n").alias("history"))
 
 
-def suffix_sums(df: DataFrame, key: str, pos: str, values: list[str], block: int = 4096) -> DataFrame:
-    """Adds ``<value>_after``: the sum over this and all later rows of the same key.
-
-    A conversation is cut into blocks of neighbouring positions; only block totals are
-    summed across a key, so no task sorts more than one block of rows and even a key
-    with a third of all rows is spread over the cluster.
+def suffix_sums(df: DataFrame, key: str, pos: str, values: list[str], block: int = 4096,
+                carry: dict[str, Column] | None = None) -> DataFrame:
+    """Adds ``<value>_after``, the sum over this and all later rows of the same key, and
+    ``<value>_total``.
+
+    A key is cut into blocks of neighbouring positions; only block totals are summed
+    across a key, so no task sorts more than one block of rows and even a key with a
+    third of all rows is spread over the cluster. ``carry`` adds maxima over the whole
+    key (name -> column) on the same way.
     """
+    carry = carry or {}
     b = df.withColumn("_b", F.floor(F.col(pos) / F.lit(block)))
-    totals = b.groupBy(key, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    later = Window.partitionBy(key).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_b", *[F.coalesce(F.sum(f"_t_{v}").over(later), F.lit(0)).alias(f"_o_{v}") for v in values])
+    totals = b.groupBy(key, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values], *[F.max(c).alias(n) for n, c in carry.items()])
+    whole = Window.partitionBy(key)
+    later = whole.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(key, "_b", *[F.coalesce(F.sum(f"_t_{v}").over(later), F.lit(0)).alias(f"_o_{v}") for v in values],
+                            *[F.sum(f"_t_{v}").over(whole).alias(f"{v}_total") for v in values],
+                            *[F.max(n).over(whole).alias(n) for n in carry])
     own = Window.partitionBy(key, "_b").orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
     inner = b.withColumns({f"_i_{v}": F.sum(v).over(own) for v in values})
     out = inner.join(offsets, [key, "_b"])
@@ -67,31 +74,25 @@ def fit_memory(messages: DataFrame, cfg: MemoryConfig = MemoryConfig(), *, syste
     a summary is left to the caller, so a summary takes no tokens here.
     """
     line = history_line(F.col(role), F.col(text), cfg.message_chars)
-    m = messages.select(conv, turn, F.col(text).alias("_text"), F.coalesce(F.length(line), F.lit(0)).cast("long").alias("chars"),
-                        line.isNotNull().cast("long").alias("filled"), F.lit(1).cast("long").alias("one"))
-    last = m.groupBy(conv).agg(F.max_by(F.struct(F.col(turn).alias("turn"), F.col("_text").alias("query")), turn).alias("last"),
-                               F.count(F.lit(1)).alias("n_messages"))
-    # Sizes without the current question: join its turn and drop it.
-    prior = m.drop("_text").join(last, conv).filter(F.col(turn) < F.col("last.turn"))
-    sums = suffix_sums(prior, conv, turn, ["chars", "filled", "one"])
-    joined = F.col("chars_after") + F.greatest(F.col("filled_after") - 1, F.lit(0))
-    tokens = F.when(joined == 0, F.lit(0)).otherwise(F.floor(joined / F.lit(cfg.chars_per_token)) + 1)
-    limit = F.lit(budget).cast("long") if budget is not None else memory_budget(
-        estimate_tokens("last.query", cfg.chars_per_token), system_tokens, cfg)
-    prior_len = F.col("n_messages") - 1
-    index = prior_len - F.col("one_after")
-    kept = F.col("one_after")
-    ok = (index % 2 == 0) & ((tokens <= limit) | (kept <= 2 * cfg.min_turns))
-    cut = sums.withColumn("tokens", tokens.cast("long")).groupBy(conv).agg(
-        F.min(F.when(ok, index)).alias("start"), F.max("n_messages").alias("n_messages"),
-        F.max_by("tokens", F.when(ok, F.col("one_after"))).alias("history_tokens"))
-    odd_end = (F.col("n_messages") - 1)
-    start = F.coalesce("start", odd_end)
-    out = last.select(conv, F.col("n_messages").alias("_n")).join(cut, conv, "left")
-    return out.select(conv, F.col("_n").cast("long").alias("n_messages"),
-                      F.when(F.col("_n") <= 1, F.lit(0)).otherwise(start).cast("long").alias("summarized_idx"),
-                      F.when(F.col("_n") <= 1, F.lit(0)).otherwise(F.col("_n") - 1 - start).cast("long").alias("kept"),
-                      F.coalesce("history_tokens", F.lit(0)).cast("long").alias("history_tokens"))
+    m = messages.select(conv, turn, F.coalesce(F.length(line), F.lit(0)).cast("long").alias("chars"),
+                        line.isNotNull().cast("long").alias("filled"), F.lit(1).cast("long").alias("one"),
+                        estimate_tokens(text, cfg.chars_per_token).alias("own_tokens"))
+    last = F.struct(F.col(turn).alias("turn"), "chars", "filled", "own_tokens")
+    s = suffix_sums(m, conv, turn, ["chars", "filled", "one"], carry={"last": last})
+    # The current question is taken off again, so its conversation needs no join of its own.
+    prior = F.col(turn) < F.col("last.turn")
+    chars, filled = F.col("chars_after") - F.col("last.chars"), F.col("filled_after") - F.col("last.filled")
+    joined = chars + F.greatest(filled - 1, F.lit(0))
+    tokens = F.when(joined == 0, F.lit(0)).otherwise(F.floor(joined / F.lit(cfg.chars_per_token)) + 1).cast("long")
+    limit = F.lit(budget).cast("long") if budget is not None else memory_budget(F.col("last.own_tokens"), system_tokens, cfg)
+    kept = F.col("one_after") - 1
+    index = F.col("one_total") - F.col("one_after")
+    ok = prior & (index % 2 == 0) & ((tokens <= limit) | (kept <= 2 * cfg.min_turns))
+    cut = s.groupBy(conv).agg(
+        F.max("one_total").alias("n_messages"), F.min(F.when(ok, F.struct(index.alias("i"), tokens.alias("t")))).alias("cut"))
+    start = F.coalesce("cut.i", F.col("n_messages") - 1)
+    return cut.select(conv, "n_messages", start.alias("summarized_idx"), (F.col("n_messages") - 1 - start).alias("kept"),
+                      F.coalesce("cut.t", F.lit(0)).cast("long").alias("history_tokens"))
 
 
 def build_prompts(contexts: DataFrame, queries: DataFrame, system: str = "", warning: str = "",

@@ -156,15 +156,8 @@ def conversation_states(spark, d):
     base = f"{shared_dir(spark)}/shelfspark/stream-{uuid.uuid4().hex}"
     schema = load(spark, d, "conversations").schema
     s = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
-
-    def keep(df, epoch):
-        df.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
-
-    _run(incremental.conversation_state(s, 4).writeStream.outputMode("update").foreachBatch(keep)
-         .option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start())
-    out = spark.read.parquet(f"{base}/out")
-    last = out.groupBy("conv_id").agg(F.max_by(F.struct("n_messages", "summarized_idx", "window_chars"), "epoch").alias("s"))
-    return last.select("conv_id", "s.*")
+    _run(incremental.track_conversations(s, f"{base}/out", f"{base}/cp", 4))
+    return incremental.read_conversations(spark, f"{base}/out")
 
 
 SQL_STATES = """

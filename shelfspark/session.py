@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
-        configured = os.environ.get("SHELFSPARK_LOCAL_SCRATCH") or tempfile.mkdtemp(prefix="shelfspark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        configured = _local_scratch()
     return configured.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="shelfspark-")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

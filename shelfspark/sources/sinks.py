@@ -14,9 +14,14 @@ def write_json_by_type(df: DataFrame, path: str, by: str = "type") -> None:
     df.write.mode("overwrite").partitionBy(by).json(path)
 
 
-def write_csv(df: DataFrame, path: str, columns=tuple(V.CATALOG_COLUMNS), mode: str = "overwrite") -> None:
-    """CSV with a fixed column order. The files stay as many as there are tasks."""
-    (df.select(*columns).write.mode(mode).option("header", True).option("quoteAll", False)
+def write_csv(df: DataFrame, path: str, columns=tuple(V.CATALOG_COLUMNS), mode: str = "overwrite", mark: bool = True) -> None:
+    """CSV with a fixed column order; the files stay as many as there are tasks.
+
+    ``mark`` starts each file with a byte-order mark, carried by the first column name.
+    """
+    first, *rest = columns
+    named = df.select(F.col(first).alias(f"\ufeff{first}" if mark else first), *rest)
+    (named.write.mode(mode).option("header", True).option("quoteAll", False)
      .option("escape", '"').option("encoding", "UTF-8").csv(path))
 
 

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shelfspark.operators.keyed import keep_first, upsert
+from shelfspark.operators.keyed import keep_first, top_per_key, upsert
 from shelfspark.sources.sinks import append_new
 
 
@@ -64,23 +60,30 @@ def track_progress(stream: DataFrame, target: str, checkpoint: str, by: str) ->
             .trigger(availableNow=True).start())
 
 
-def conversation_state(stream: DataFrame, keep: int = 10, conv: str = "conv_id", turn: str = "turn",
-                       role: str = "role", text: str = "text") -> DataFrame:
-    """Per conversation: messages so far, how many left the window, characters in the window.
+def track_conversations(stream: DataFrame, target: str, checkpoint: str, keep: int = 10, conv: str = "conv_id",
+                        turn: str = "turn", text: str = "text") -> StreamingQuery:
+    """State per conversation: messages so far, how many left the window, characters in it.
 
-    The state holds the sizes of the last ``keep`` messages only, so it stays small for
-    any conversation length.
+    A batch is first cut to the last ``keep`` messages and a count per conversation inside
+    the map tasks, then merged with the stored state, so neither a hot conversation nor
+    its state grows with its length. Every batch writes a new version of the state table.
     """
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, turns, sizes = state.get if state.exists else (0, [], [])
-        window = sorted(zip(list(turns), list(sizes)))
-        for f in frames:
-            total += len(f)
-            window = sorted(window + list(zip(f[turn].astype(int), f[text].str.len().astype(int))))[-keep:]
-        state.update((int(total), [int(t) for t, _ in window], [int(s) for _, s in window]))
-        yield pd.DataFrame({conv: [key[0]], "n_messages": [total], "summarized_idx": [total - len(window)],
-                            "window_chars": [sum(s for _, s in window)]})
-
-    return stream.select(conv, turn, role, text).groupBy(conv).applyInPandasWithState(
-        step, f"{conv} long, n_messages long, summarized_idx long, window_chars long",
-        "total long, turns array<long>, sizes array<long>", "update", GroupStateTimeout.NoTimeout)
+    def batch(df: DataFrame, epoch: int) -> None:
+        sizes = df.select(conv, F.struct(F.col(turn).alias("turn"), F.length(text).alias("size")).alias("m"))
+        counted = sizes.groupBy(conv).agg(F.count(F.lit(1)).alias("n"))
+        recent = top_per_key(sizes, [conv], [F.col("m.turn").desc()], keep).groupBy(conv).agg(F.collect_list("m").alias("last"))
+        new = counted.join(recent, conv).select(conv, "n", "last")
+        previous = _latest(df.sparkSession, target, before=epoch)
+        if previous is not None:
+            new = previous.select(conv, "n", "last").unionByName(new)
+        merged = new.groupBy(conv).agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("last")), asc=False), 1, keep).alias("last"))
+        merged.write.mode("overwrite").parquet(f"{target}/v={epoch}")
+
+    return (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_conversations(spark: SparkSession, target: str, conv: str = "conv_id") -> DataFrame:
+    window = F.aggregate("last", F.lit(0).cast("long"), lambda a, m: a + m["size"])
+    return _latest(spark, target).select(conv, F.col("n").alias("n_messages"), (F.col("n") - F.size("last")).alias("summarized_idx"),
+                                         window.alias("window_chars"))

@@ -44,6 +44,7 @@ def test_metadata_csv_with_mark_quotes_and_newlines(spark, tmp_path):
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("1", 'x "y", z', "l1\nl2")], "id string, title string, summary string")
     sinks.write_csv(df, str(tmp_path / "out"), ("id", "title", "summary"))
+    assert all(f.read_bytes().startswith(b"\xef\xbb\xbfid,") for f in (tmp_path / "out").glob("*.csv"))
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "out"))
     assert [tuple(r) for r in back.collect()] == [("1", 'x "y", z', "l1\nl2")]
 
@@ -149,14 +150,10 @@ def test_progress_table(spark, tmp_path):
 
 
 def test_conversation_state_over_batches(spark, tmp_path):
-    got = {}
-
-    def keep(df, epoch):
-        got.update({r["conv_id"]: tuple(r) for r in df.collect()})
-
+    ddl = "conv_id long, turn long, role string, text string"
     for batch in ([(1, 0, "user", "aa"), (1, 1, "assistant", "b")], [(1, 2, "user", "cccc"), (2, 0, "user", "x")]):
-        spark.createDataFrame(batch, "conv_id long, turn long, role string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        s = incremental.read_stream(spark, str(tmp_path / "in"), "conv_id long, turn long, role string, text string")
-        (incremental.conversation_state(s, 2).writeStream.outputMode("update").foreachBatch(keep)
-         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
-    assert got == {1: (1, 3, 1, 5), 2: (2, 1, 0, 1)}
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = incremental.read_stream(spark, str(tmp_path / "in"), ddl)
+        incremental.track_conversations(s, str(tmp_path / "out"), str(tmp_path / "cp"), 2).awaitTermination()
+    got = incremental.read_conversations(spark, str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 3, 1, 5), (2, 1, 0, 1)]
