@@ -10,7 +10,7 @@ from shelfspark.functions.extract import detail_part, has_year
 from shelfspark.functions.fold import audit_norm
 from shelfspark.session import explode_once, let, small_side
 
-_CLASSES = (1, 2, 4, 8, 16, 32, 64)
+_CLASSES = (1, 2, 4, 8)
 #: Longest phrase list that is compared inside the row of a text.
 _INLINE_PHRASES = 2000
 
@@ -69,30 +69,29 @@ def match_titles(canon: DataFrame, titles: DataFrame, *, canon_id: str = "canon_
     n = canon.count()
     c = canon.select(canon_id, audit_norm(title).alias("c_norm"))
     t = titles.select(position, audit_norm(title).alias("t_norm"))
-    exact = (t.join(small_side(c, n), t["t_norm"] == c["c_norm"]).groupBy(canon_id)
-             .agg(F.min(position).alias(position)).withColumn("how", F.lit("exact")))
     named, long_c = t.filter(F.col("t_norm") != ""), c.filter(F.length("c_norm") >= 4)
-    inside = _contained(long_c, canon_id, "c_norm", named, position, "t_norm", n)
-    if both_ways:
-        # Library titles inside an expected one: the expected titles are the windowed side.
-        runs = _windows_all(long_c, canon_id, "c_norm")
-        around = named.join(small_side(runs, n * 1000), named["t_norm"] == runs["run"]).select(canon_id, position)
-        inside = inside.unionByName(around)
-    part = inside.groupBy(canon_id).agg(F.min(position).alias(position)).withColumn("how", F.lit("contains"))
-    best = exact.unionByName(part).groupBy(canon_id).agg(
+    # Equal titles, and library titles inside an expected one: every run of words of the
+    # expected titles meets the whole library title, in one pass over the library.
+    runs = _windows_all(c, "c_norm", canon_id, "c_norm").withColumn("exact", F.col("run") == F.col("c_norm"))
+    wanted = F.col("exact") | (F.length("c_norm") >= 4) if both_ways else F.col("exact")
+    runs = runs.filter(wanted).select(canon_id, "run", F.when(F.col("exact"), "exact").otherwise("contains").alias("how"))
+    whole = t.join(small_side(runs, n * 1000), t["t_norm"] == runs["run"]).select(canon_id, position, "how")
+    inside = _contained(long_c, canon_id, "c_norm", named, position, "t_norm", n).withColumn("how", F.lit("contains"))
+    found = whole.unionByName(inside).groupBy(canon_id, "how").agg(F.min(position).alias(position))
+    best = found.groupBy(canon_id).agg(
         F.min_by(F.struct(position, "how"), F.when(F.col("how") == "exact", 0).otherwise(1)).alias("m"))
     return canon.select(canon_id).join(small_side(best, n), canon_id, "left").select(
         canon_id, F.col(f"m.{position}").alias(position), F.coalesce("m.how", F.lit("missing")).alias("how"))
 
 
-def _windows_all(df: DataFrame, key: str, norm: str) -> DataFrame:
+def _windows_all(df: DataFrame, norm: str, *keep: str) -> DataFrame:
     """Every run of words of a short text."""
     def runs(words: Column) -> Column:
         n = F.size(words)
         return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
             F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), " ")))))
 
-    return explode_once(df, let(F.split(norm, " "), runs), "run", key)
+    return explode_once(df, let(F.split(norm, " "), runs), "run", *keep)
 
 
 def quality_flags(entries: DataFrame, text: str = "text", author: str = "author") -> DataFrame:

@@ -38,11 +38,11 @@ def hashing_embedder(dim: int = 64) -> Embedder:
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = np.zeros((len(batch), dim), dtype=np.float64)
-            for row, tokens in enumerate(batch):
-                if len(tokens):
-                    slots = np.array([_slot(t, dim) for t in tokens])
-                    np.add.at(out[row], slots[:, 0], slots[:, 1])
+            sizes = batch.str.len().to_numpy(dtype=np.int64)
+            codes, known = pd.factorize(np.concatenate([*batch, np.empty(0, dtype=object)]))
+            slots = np.array([_slot(t, dim) for t in known], dtype=np.int64).reshape(-1, 2)
+            cells = np.repeat(np.arange(len(batch)), sizes) * dim + slots[codes, 0]
+            out = np.bincount(cells, weights=slots[codes, 1], minlength=len(batch) * dim).reshape(-1, dim)
             norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
             yield pd.Series(list((out / np.where(norm == 0, 1, norm)).astype(np.float32)))
 
