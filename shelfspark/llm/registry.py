@@ -14,9 +14,15 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.pii import digest_pii, find_pii
+    return digest_pii(find_pii(table(spark, folder, "documents", "doc_id", "text")))
+
+
 #: name -> (query, SQL for DuckDB or None where SQL cannot express it)
 ENTRIES = {
     "op2_token_counts": (op2_token_counts, None),
+    "op8_pii": (op8_pii, None),
 }
 
 
