@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.session import materialize
 
-__all__ = ["materialize", "table", "held_out", "texts_of", "mix64", "csr_gather"]
+__all__ = ["materialize", "table", "held_out", "labelled_sample", "texts_of", "mix64", "csr_gather"]
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -48,3 +48,19 @@ def csr_gather(index: np.ndarray, start: np.ndarray, length: np.ndarray, values:
         return values[:0]
     shift = start[index] - (np.cumsum(n) - n)
     return values[np.repeat(shift, n) + np.arange(total)]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``per_class`` labelled training rows of either class.
+
+    The rows with the smallest hashes of their ids are taken, so the choice is the same on
+    every run. The chosen ids are bounded by the parameter and go to the scan as a broadcast;
+    no text is shuffled. Rows of the held-out fold, null labels and other values are left out.
+    """
+    known = (labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(~held_out(F.col("doc_id")))
+             .groupBy("doc_id").agg(F.max("label").alias("label")))
+    chosen = None
+    for value in (0, 1):
+        part = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")

@@ -19,10 +19,17 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return digest_pii(find_pii(table(spark, folder, "documents", "doc_id", "text")))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.toxicity import fit, score_documents
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return score_documents(docs, fit(docs, table(spark, folder, "labels", "doc_id", "toxic")))
+
+
 #: name -> (query, SQL for DuckDB or None where SQL cannot express it)
 ENTRIES = {
     "op2_token_counts": (op2_token_counts, None),
     "op8_pii": (op8_pii, None),
+    "op9_toxicity": (op9_toxicity, None),
 }
 
 
