@@ -14,6 +14,11 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.substring_dedup import remove_repeats
+    return remove_repeats(table(spark, folder, "documents", "doc_id", "text")).drop("kept")
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.pii import digest_pii, find_pii
     return digest_pii(find_pii(table(spark, folder, "documents", "doc_id", "text")))
@@ -28,6 +33,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 #: name -> (query, SQL for DuckDB or None where SQL cannot express it)
 ENTRIES = {
     "op2_token_counts": (op2_token_counts, None),
+    "op3_substring_dedup": (op3_substring_dedup, None),
     "op8_pii": (op8_pii, None),
     "op9_toxicity": (op9_toxicity, None),
 }
