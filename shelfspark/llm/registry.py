@@ -19,6 +19,11 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents", "doc_id", "text")).drop("kept")
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.jaccard_join import jaccard_join
+    return jaccard_join(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.pii import digest_pii, find_pii
     return digest_pii(find_pii(table(spark, folder, "documents", "doc_id", "text")))
@@ -34,6 +39,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 ENTRIES = {
     "op2_token_counts": (op2_token_counts, None),
     "op3_substring_dedup": (op3_substring_dedup, None),
+    "op5_jaccard_join": (op5_jaccard_join, None),
     "op8_pii": (op8_pii, None),
     "op9_toxicity": (op9_toxicity, None),
 }
