@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfspark.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.decontamination import find_contamination
+    return find_contamination(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +42,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 #: name -> (query, SQL for DuckDB or None where SQL cannot express it)
 ENTRIES = {
+    "op1_decontamination": (op1_decontamination, None),
     "op2_token_counts": (op2_token_counts, None),
     "op3_substring_dedup": (op3_substring_dedup, None),
     "op5_jaccard_join": (op5_jaccard_join, None),
