@@ -29,6 +29,12 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.quality import fit, score_documents
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return score_documents(docs, fit(docs, table(spark, folder, "labels", "doc_id", "quality")))
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.pii import digest_pii, find_pii
     return digest_pii(find_pii(table(spark, folder, "documents", "doc_id", "text")))
@@ -46,6 +52,7 @@ ENTRIES = {
     "op2_token_counts": (op2_token_counts, None),
     "op3_substring_dedup": (op3_substring_dedup, None),
     "op5_jaccard_join": (op5_jaccard_join, None),
+    "op7_quality": (op7_quality, None),
     "op8_pii": (op8_pii, None),
     "op9_toxicity": (op9_toxicity, None),
 }
