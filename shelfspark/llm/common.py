@@ -12,8 +12,20 @@ from shelfspark.session import materialize
 __all__ = ["materialize", "table", "held_out", "labelled_sample", "texts_of", "mix64", "csr_gather"]
 
 
+#: Bytes of the Arrow batches that tasks hand to Python: a task holds one of them, not 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by BATCH_BYTES, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """One table with only the named columns, read through Spark's file system."""
+    small_batches(spark)
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
 

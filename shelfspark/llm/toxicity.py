@@ -43,7 +43,7 @@ MIN_GAIN = 1.5
 MIN_DOCS = 3
 #: Cost of a token outside the lexicon, at least.
 DRIFT = 0.02
-_FLUSH = 200_000
+_FLUSH = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
