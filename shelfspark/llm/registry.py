@@ -29,6 +29,13 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from shelfspark.llm.bpe import encode_decode
+    return encode_decode(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.quality import fit, score_documents
     docs = table(spark, folder, "documents", "doc_id", "text")
@@ -52,6 +59,7 @@ ENTRIES = {
     "op2_token_counts": (op2_token_counts, None),
     "op3_substring_dedup": (op3_substring_dedup, None),
     "op5_jaccard_join": (op5_jaccard_join, None),
+    "op6_bpe": (op6_bpe, None),
     "op7_quality": (op7_quality, None),
     "op8_pii": (op8_pii, None),
     "op9_toxicity": (op9_toxicity, None),
