@@ -10,7 +10,8 @@ changes nothing.
 Extend: around each shared anchor the match is extended both ways, word by word, to the passages
 of the threshold length in which it is the smallest seed. Two places match over that length
 exactly if the 96-bit hashes of the extended runs are equal, so equal extensions meet by their
-hash and no pair of places is ever built: a group only keeps its smallest and largest document.
+hash and no pair of places is ever built: whole copies of a smaller document are set aside
+before (all their windows start there), and a group only keeps its smallest and largest document.
 Neighbouring matches of a document are then joined into maximal repeats. Windows are judged on
 the input, never on what is left of it.
 
@@ -88,10 +89,19 @@ def _seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows by their own key: the document and a hash of the text."""
+    """Rows by their own key, the document and a hash of the text. ``copy``: a smaller document
+    has the same text, so every window of the row starts there and none needs to be compared."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"),
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"),
                        F.xxhash64(text).alias("tid"), text.alias("text"))
+    same = materialize(rows.groupBy("tid", F.md5("text").alias("digest")).agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+                       .filter("first < last").select("tid", "digest", "first"), "copies")
+    size = same.count()
+    side = small_side(same, size, 96)
+    rows = (rows.withColumn("digest", F.md5("text")).join(side, ["tid", "digest"], "left")
+            .select("doc_id", "doc", "tid", "text", F.coalesce(F.col("first") < F.col("doc"), F.lit(False)).alias("copy")))
+    # Too many copies to be sent to the scan: the texts are then joined once and written, not three times.
+    return rows if side is not same else materialize(rows, "marked")
 
 
 def shared_anchors(rows: DataFrame) -> DataFrame:
@@ -107,7 +117,7 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
                     keys.append(np.full(len(seeds[-1]), key, np.int64))
             if seeds:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds)), pa.array(np.concatenate(keys))], ["seed", "doc"])
-    return (rows.select("doc", "text").mapInArrow(emit, "seed long, doc long")
+    return (rows.filter("NOT copy").select("doc", "text").mapInArrow(emit, "seed long, doc long")
             .groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("seed"))
 
 
@@ -153,14 +163,13 @@ def extensions(rows: DataFrame, words_of_filter) -> DataFrame:
                                   np.full(k, tid, np.int64), place.astype(np.int32)])
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["h1", "h2", "doc", "tid", "place"])
-    return rows.select("doc", "tid", "text").mapInArrow(emit, "h1 long, h2 int, doc long, tid long, place int")
+    return rows.filter("NOT copy").select("doc", "tid", "text").mapInArrow(emit, "h1 long, h2 int, doc long, tid long, place int")
 
 
-def maximal_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(doc, tid, starts, ends): word places of the maximal repeats of every row that has any,
-    being the unions of windows that also start in a smaller document."""
-    rows = _keyed(docs, id_col, text_col)
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(shared_anchors(rows), filter_bits))
+def maximal_repeats(rows: DataFrame, *, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(doc, tid, starts, ends): word places of the maximal repeats of every row that has any and
+    is no copy, being the unions of windows that also start in a smaller document."""
+    bits = rows.sparkSession.sparkContext.broadcast(bit_filter(shared_anchors(rows), filter_bits))
     windows = extensions(rows, bits)
     groups = (windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
               .select("h1", "h2", "first"))
@@ -177,18 +186,21 @@ def maximal_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept: every row with its repeats taken out."""
-    found = materialize(maximal_repeats(docs, id_col=id_col, text_col=text_col, filter_bits=filter_bits), "repeats")
+    keyed = _keyed(docs, id_col, text_col)
+    found = materialize(maximal_repeats(keyed, filter_bits=filter_bits), "repeats")
     size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("starts")), F.lit(0)).alias("k")).first()
     # Few repeats go to the scan as a broadcast of measured size; otherwise both sides are shuffled by document.
     found = small_side(found, size["n"], 64 + 16 * (size["k"] // max(size["n"], 1) + 1))
-    rows = _keyed(docs, id_col, text_col).join(found, ["doc", "tid"], "left").select("doc_id", "text", "starts", "ends")
+    rows = keyed.join(found, ["doc", "tid"], "left").select("doc_id", "text", "copy", "starts", "ends")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
         for b in batches:
             n, gone, kept, sha = [], [], [], []
-            for text, start, end in zip(b.column("text"), b.column("starts").to_pylist(), b.column("ends").to_pylist()):
+            for text, copy, start, end in zip(b.column("text"), *[b.column(c).to_pylist() for c in ("copy", "starts", "ends")]):
                 words = split_words(text.as_py())
+                if copy and len(words) >= MIN_WORDS:
+                    start, end = [0], [len(words)]
                 left, at = [], 0
                 for lo, hi in zip(start or (), end or ()):
                     left += words[at:lo]
