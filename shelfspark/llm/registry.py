@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfspark.llm.common import table
 
@@ -53,6 +54,11 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(docs, fit(docs, table(spark, folder, "labels", "doc_id", "toxic")))
 
 
+def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    from shelfspark.llm.ann import search
+    return search(table(spark, folder, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 #: name -> (query, SQL for DuckDB or None where SQL cannot express it)
 ENTRIES = {
     "op1_decontamination": (op1_decontamination, None),
@@ -63,6 +69,7 @@ ENTRIES = {
     "op7_quality": (op7_quality, None),
     "op8_pii": (op8_pii, None),
     "op9_toxicity": (op9_toxicity, None),
+    "op10_nearest": (op10_nearest, None),
 }
 
 
