@@ -25,6 +25,31 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents", "doc_id", "text")).drop("kept")
 
 
+def op4_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit of a stored replica of all pages against their source, after a drill: in the stored
+    one the bodies of some urls are altered and some records are left out (chosen by url digest)."""
+    from shelfspark.llm.common import materialize
+    from shelfspark.llm.warc import archive, audit
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
+    mark = F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 2)
+    body = F.coalesce("html", F.lit(""))
+    harmed = F.when(mark == "00", F.concat(F.lit("#"), F.expr("substring(coalesce(html, ''), 2)"))).otherwise(body)
+    stored = materialize(archive(pages.filter(mark != "01").withColumn("html", harmed)), "replica")
+    return audit(archive(pages), stored).withColumnRenamed("key", "page_id")
+
+
+_RECORD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:md5:' || md5(u) || '>' || chr(13) || chr(10)
+ || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen({b}) AS VARCHAR)
+ || chr(13) || chr(10) || chr(13) || chr(10) || {b} || chr(13) || chr(10) || chr(13) || chr(10)"""
+OP4_SQL = f"""WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS b, CASE WHEN md5(coalesce(url, '')) LIKE '00%' THEN '#' || substr(coalesce(html, ''), 2) ELSE coalesce(html, '') END AS h FROM pages),
+ r AS (SELECT page_id, CAST(floor(page_id / 16.0) AS BIGINT) AS leaf, md5(u) AS m, sha256({_RECORD.format(b='b')}) AS e, sha256({_RECORD.format(b='h')}) AS f, strlen({_RECORD.format(b='b')}) AS n FROM p),
+ l AS (SELECT leaf, CAST(sum(n) AS BIGINT) AS range_bytes FROM r GROUP BY 1),
+ o AS (SELECT leaf, range_bytes, CAST(sum(range_bytes) OVER (ORDER BY leaf) - range_bytes AS BIGINT) AS range_offset FROM l)
+SELECT page_id, CASE WHEN m LIKE '01%' THEN 'missing' ELSE 'changed' END AS status, leaf, range_offset, range_bytes, e AS expected_sha256,
+ CASE WHEN m LIKE '01%' THEN NULL ELSE f END AS found_sha256, CAST(1 AS BIGINT) AS n_expected, CAST(CASE WHEN m LIKE '01%' THEN 0 ELSE 1 END AS BIGINT) AS n_found
+FROM r JOIN o USING (leaf) WHERE (m LIKE '00%' AND e <> f) OR m LIKE '01%'"""
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.jaccard_join import jaccard_join
     return jaccard_join(table(spark, folder, "documents", "doc_id", "text"))
@@ -64,6 +89,7 @@ ENTRIES = {
     "op1_decontamination": (op1_decontamination, None),
     "op2_token_counts": (op2_token_counts, None),
     "op3_substring_dedup": (op3_substring_dedup, None),
+    "op4_fixity_audit": (op4_fixity_audit, OP4_SQL),
     "op5_jaccard_join": (op5_jaccard_join, None),
     "op6_bpe": (op6_bpe, None),
     "op7_quality": (op7_quality, None),
