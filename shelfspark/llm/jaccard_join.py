@@ -90,7 +90,8 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def _class_of(s: np.ndarray) -> bytes | None:
@@ -98,7 +99,7 @@ def _class_of(s: np.ndarray) -> bytes | None:
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, cls, bands): the class of every row and the band keys of its signature."""
+    """(doc_id, text_hash, cls, bands): the class of every row and the band keys of its signature."""
     rows = _rows(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -109,8 +110,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                 s = shingles(text.as_py())
                 cls.append(_class_of(s))
                 bands.append(band_keys(signature(s)).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cls, pa.binary()), pa.array(bands, pa.binary())], ["doc_id", "cls", "bands"])
-    return rows.mapInArrow(run, f"doc_id {kind}, cls binary, bands binary")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(cls, pa.binary()), pa.array(bands, pa.binary())],
+                                             ["doc_id", "text_hash", "cls", "bands"])
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, cls binary, bands binary")
 
 
 def buckets(groups: DataFrame) -> DataFrame:
@@ -214,7 +216,7 @@ def verify(payload: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, copy_of, n_links, n_class_links: one row per row of ``docs``.
+    """doc_id, class_id, copy_of, n_links, n_class_links, text_hash: one row per row of ``docs``.
 
     ``n_links`` counts the other documents at the threshold or above, copies included;
     ``n_class_links`` the different texts among them; ``copy_of`` is the smallest id with the
@@ -256,10 +258,23 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     named = (named.join(least, "root", "left")
              .select("cls", "copy_of", F.coalesce("least", "copy_of").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_class_links"),
                      (F.coalesce("copies", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    return rows.select("doc_id", "cls").join(named, "cls", "left").select(
+    return rows.select("doc_id", "text_hash", "cls").join(named, "cls", "left").select(
         "doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"))
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"), "text_hash")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that have the smallest id of their class; of rows
+    with the same id and text one stays. A class without any id keeps its different texts."""
+    found = materialize(jaccard_join(docs, id_col=id_col, text_col=text_col, threshold=threshold), "similar")
+    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_hash").distinct()
+    dropped = materialize(dropped, "dropped")
+    dropped = small_side(dropped, dropped.count(), 32)
+    same = docs[id_col].eqNullSafe(dropped["doc_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == dropped["text_hash"])
+    kept = docs.join(dropped, same, "left_anti")
+    repeated = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
 
 
 def _chosen_rows(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:

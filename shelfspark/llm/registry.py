@@ -52,7 +52,7 @@ FROM r JOIN o USING (leaf) WHERE (m LIKE '00%' AND e <> f) OR m LIKE '01%'"""
 
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from shelfspark.llm.jaccard_join import jaccard_join
-    return jaccard_join(table(spark, folder, "documents", "doc_id", "text"))
+    return jaccard_join(table(spark, folder, "documents", "doc_id", "text")).drop("text_hash")
 
 
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:

@@ -285,3 +285,13 @@ def score_documents(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id
     out = rows.mapInArrow(run, f"doc_id {kind}, score double, passages array<struct<first:bigint,last:bigint,score:double,evidence:double>>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
                       F.size("passages").alias("n_passages"), "passages")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicModel, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, that score below the threshold."""
+    def clean(batches):
+        gains = _Gains(model)
+        for b in batches:
+            keep = [model.probability(document_evidence(*_segments(t.as_py() or "", model, gains), model)[0]) < threshold for t in b.column(text_col)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+    return docs.mapInArrow(clean, docs.schema)
