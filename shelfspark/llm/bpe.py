@@ -185,6 +185,13 @@ class Vocabulary:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        pairs = np.array([(a << 32) + b for a, b in self.merges] or [-1], np.int64)
+        order = np.argsort(pairs)
+        self.pair_key, self.pair_rank = pairs[order], np.array([r for r, _ in self.merges.values()] or [0], np.int64)[order]
+        self.pair_new = np.zeros(len(self.merges), np.int64)
+        for rank, new in self.merges.values():
+            self.pair_new[rank] = new
+        self.single_of = np.array(self.single, np.int64)
         self.token_start = np.r_[0, np.cumsum([len(b) for b in self.bytes_of])][:-1].astype(np.int64)
         self.token_length = np.array([len(b) for b in self.bytes_of], np.int64)
         self.token_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
@@ -217,6 +224,65 @@ class Vocabulary:
                 heapq.heappush(heap, (r[0], h, ids[h], new, r[1]))
         return [x for x in ids if x >= 0]
 
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of many words, one after the other, and their numbers. Words of similar
+        length are merged side by side, one merge of each per step; long ones by ``merge``."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        number = np.zeros(len(words), np.int64)
+        rows, cells = [], []
+        low = 0
+        for high in (4, 8, 12, 16, 24, 32):
+            own = np.flatnonzero((size > low) & (size <= high))
+            low = high
+            if len(own):
+                ids, n = self._side_by_side([words[i] for i in own], size[own], high)
+                number[own] = n
+                rows.append(np.repeat(own, n))
+                cells.append(ids)
+        for i in np.flatnonzero(size > low):
+            ids = np.array(self.merge(words[i]), np.int64)
+            number[i] = len(ids)
+            rows.append(np.full(len(ids), i))
+            cells.append(ids)
+        if not rows:
+            return np.empty(0, np.int64), number
+        order = np.argsort(np.concatenate(rows), kind="stable")
+        return np.concatenate(cells)[order], number
+
+    def _side_by_side(self, words: list[bytes], size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        n, none = len(words), len(self.pair_new)
+        column = np.arange(width)
+        ids = np.full((n, width), -1, np.int64)
+        ids[column[None] < size[:, None]] = self.single_of[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full((n, width), none, np.int64)
+        rank[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
+        live = np.arange(n)
+        count = size.copy()
+        while len(live):
+            at = rank[live].argmin(1)
+            best = rank[live, at]
+            more = best < none
+            live, at, best = live[more], at[more], best[more]
+            if not len(live):
+                break
+            take = np.minimum(column[None] + (column[None] > at[:, None]), width - 1)
+            part, ranks = np.take_along_axis(ids[live], take, 1), np.take_along_axis(rank[live], take, 1)
+            part[:, -1], ranks[:, -1] = -1, none
+            row = np.arange(len(live))
+            part[row, at] = self.pair_new[best]
+            ranks[row, at] = self._ranks(part[row, at], part[row, np.minimum(at + 1, width - 1)])
+            left = np.flatnonzero(at > 0)
+            ranks[left, at[left] - 1] = self._ranks(part[left, at[left] - 1], part[left, at[left]])
+            ids[live], rank[live] = part, ranks
+            count[live] -= 1
+        return ids[ids >= 0], count
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of every pair, one more than the last for pairs without one."""
+        key = (a << 32) + b
+        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        return np.where((self.pair_key[at] == key) & (b >= 0), self.pair_rank[at], len(self.pair_new))
+
     def split(self, text: str) -> list[str]:
         """The words of a text; special tokens stand among them as they are written."""
         if self.specials is None or not self.specials.search(text):
@@ -251,23 +317,24 @@ class Encoder:
         self.start, self.length, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.number) + len(new) > _FLUSH:
-            raise MemoryError
         raw = [w.encode() for w in new]
         found = self.lexicon.find(raw)
-        lists: list[np.ndarray] = []
-        for word, text, k in zip(raw, new, found.tolist()):
-            if text in self.vocab.special:
-                lists.append(np.array([self.vocab.special[text]]))
-            elif k >= 0:
-                lists.append(self.lexicon.ids[self.lexicon.start[k]:self.lexicon.start[k + 1]])
-            else:
-                lists.append(np.array(self.vocab.merge(word)))
-        length = np.fromiter(map(len, lists), np.int64, len(lists))
+        special = np.fromiter((self.vocab.special.get(w, -1) for w in new), np.int64, len(new))
+        unseen = np.flatnonzero((found < 0) & (special < 0))
+        merged, number = self.vocab.merge_many([raw[i] for i in unseen])
+        known = np.flatnonzero(found >= 0)
+        start, length = np.zeros(len(new), np.int64), np.ones(len(new), np.int64)
+        lex = self.lexicon.start
+        length[known] = lex[found[known] + 1] - lex[found[known]]
+        length[unseen] = number
+        start[known] = np.cumsum(length[known]) - length[known]
+        start[unseen] = np.cumsum(number) - number + length[known].sum()
+        marks = np.flatnonzero(special >= 0)
+        start[marks] = length[known].sum() + len(merged) + np.arange(len(marks))
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        self.start = np.r_[self.start, len(self.flat) + np.cumsum(length) - length]
+        self.start = np.r_[self.start, len(self.flat) + start]
         self.length = np.r_[self.length, length]
-        self.flat = np.concatenate([self.flat, *lists])
+        self.flat = np.concatenate([self.flat, csr_gather(found[known], lex[:-1], np.diff(lex), self.lexicon.ids), merged, special[marks]])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.vocab.split(t) for t in texts]
@@ -339,7 +406,8 @@ def encode_decode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", t
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if full:
-                    cols += [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    ends = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+                    cols += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))), pa.array(decoded, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
     more = ", ids array<int>, decoded string" if full else ""
