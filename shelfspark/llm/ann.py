@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import materialize
+from shelfspark.llm.common import hash_share, materialize
 
 #: Bounds of the fit: vectors of the sample, centroids; vectors per centroid aimed at.
 SAMPLE_ROWS = 32_768
@@ -41,8 +41,8 @@ NEIGHBOURS = 24
 ROW_BEAM, QUERY_BEAM = 48, 96
 #: Replication: lists up to this much further than the nearest, and how many at most.
 CLOSURE, REPLICAS = 1.1, 5
-#: Search: lists up to this much further than the nearest, and how many at most.
-PRUNE, PROBES = 1.25, 64
+#: Search: lists up to this much further than the nearest, and how many at least and at most.
+PRUNE, MIN_PROBES, PROBES = 1.25, 16, 64
 LIST_ROWS, LIST_QUERIES = 4_096, 2_048
 _LOOK = 4
 
@@ -143,9 +143,12 @@ def balanced_centroids(sample: np.ndarray, k: int, rounds: int = 12, seed: int =
 
 
 def fit(rows: DataFrame, n: int, *, sample_rows: int = SAMPLE_ROWS, per_centroid: int = PER_CENTROID, max_centroids: int = MAX_CENTROIDS) -> CentroidGraph:
-    """Centroids of the rows with the smallest hashes of their ids, at most ``sample_rows``."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow().column("v")
-    x = np.array(sample.to_pylist(), np.float64)
+    """Centroids of about ``sample_rows`` rows, chosen by a hash of their ids."""
+    sample = rows.filter(hash_share(F.col("vec_id"), sample_rows, n)).toArrow()
+    if not len(sample):  # repeated ids can all fall outside the share
+        sample = rows.limit(sample_rows).toArrow()
+    order = np.lexsort((sample.column("vec_id").to_numpy(),))
+    x = np.array(sample.column("v").to_pylist(), np.float64)[order]
     return CentroidGraph.build(balanced_centroids(x, max(1, min(max_centroids, n // per_centroid))))
 
 
@@ -153,7 +156,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def _entries(rows: DataFrame, graph, dim: int, ratio: float, most: int, beam: int) -> DataFrame:
+def _entries(rows: DataFrame, graph, dim: int, ratio: float, least: int, most: int, beam: int) -> DataFrame:
     """(list, vec_id, v): every row once for each list chosen for it."""
     def run(batches):
         g = graph.value
@@ -163,7 +166,7 @@ def _entries(rows: DataFrame, graph, dim: int, ratio: float, most: int, beam: in
                 x = _matrix(part.column("v"), dim)
                 ids, dist = g.nearest(x, beam)
                 take = (dist <= ratio * dist[:, :1] + 1e-12) & np.isfinite(dist)
-                take[:, 0] = True
+                take[:, :least] = np.isfinite(dist[:, :least])
                 take &= np.cumsum(take, 1) <= most
                 r, c = np.nonzero(take)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r, c].astype(np.int32)), *(part.column(n).take(pa.array(r)) for n in ("vec_id", "v"))], ["list", "vec_id", "v"])
@@ -245,8 +248,8 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample_rows: int = SAMPLE_ROWS,
-           per_centroid: int = PER_CENTROID, closure: float = CLOSURE, prune: float = PRUNE, probes: int = PROBES, list_rows: int = LIST_ROWS,
+def search(vectors: DataFrame, is_query: Column | str, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample_rows: int = SAMPLE_ROWS,
+           per_centroid: int = PER_CENTROID, closure: float = CLOSURE, prune: float = PRUNE, min_probes: int = MIN_PROBES, probes: int = PROBES, list_rows: int = LIST_ROWS,
            list_queries: int = LIST_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for every query row; ``is_query``
     is a condition on the column vec_id."""
@@ -254,9 +257,9 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     if not n:
         return _ranked(rows.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")), k)
     graph = rows.sparkSession.sparkContext.broadcast(fit(rows, n, sample_rows=sample_rows, per_centroid=per_centroid))
-    postings = materialize(_entries(rows, graph, dim, closure, REPLICAS, ROW_BEAM), "postings")
+    postings = materialize(_entries(rows, graph, dim, closure, 1, REPLICAS, ROW_BEAM), "postings")
     asked = rows.filter(is_query)
-    queries = materialize(_entries(asked, graph, dim, prune, probes, max(QUERY_BEAM, probes)), "queries")
+    queries = materialize(_entries(asked, graph, dim, prune, min(min_probes, probes), probes, max(QUERY_BEAM, probes)), "queries")
     found = materialize(_ranked(_search_lists(postings, queries, dim, k, list_rows, list_queries), k), "nearest")
     # Queries whose lists held too few rows: all rows, in blocks of queries.
     short = materialize(asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.first("v").alias("v"))
