@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.session import materialize
 
-__all__ = ["materialize", "table", "held_out", "labelled_sample", "texts_of", "mix64", "csr_gather"]
+__all__ = ["materialize", "table", "held_out", "hash_share", "labelled_sample", "texts_of", "mix64", "csr_gather"]
 
 
 #: Bytes of the Arrow batches that tasks hand to Python: a task holds one of them, not 64 MB.
@@ -62,17 +62,26 @@ def csr_gather(index: np.ndarray, start: np.ndarray, length: np.ndarray, values:
     return values[np.repeat(shift, n) + np.arange(total)]
 
 
+def hash_share(id_col: Column, wanted: int, there: int) -> Column:
+    """Rows whose ids hash into a share of the range that is expected to hold ``wanted`` of
+    ``there`` rows (all of them, if there are no more). The choice needs no sort and is the same
+    on every run; its size stays within a few times the square root of ``wanted`` of it."""
+    if there <= wanted:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) < int((1 << 31) * wanted / there)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``per_class`` labelled training rows of either class.
+    """(doc_id, text, label) of about ``per_class`` labelled training rows of either class.
 
-    The rows with the smallest hashes of their ids are taken, so the choice is the same on
-    every run. The chosen ids are bounded by the parameter and go to the scan as a broadcast;
-    no text is shuffled. Rows of the held-out fold, null labels and other values are left out.
+    The rows are chosen by a hash of their ids. The chosen ids, bounded by the parameter, go to
+    the scan as a broadcast; no text is shuffled. Rows of the held-out fold, null labels and
+    other values are left out.
     """
     known = (labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg(F.max("label").alias("label")))
-    chosen = None
-    for value in (0, 1):
-        part = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+             .groupBy("doc_id").agg(F.max("label").alias("label")).filter("label IN (0, 1)"))
+    size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    wanted = F.lit(False)
+    for value, there in sorted(size.items()):
+        wanted = wanted | ((F.col("label") == value) & hash_share(F.col("doc_id"), per_class, there))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known.filter(wanted)), "doc_id")
