@@ -39,7 +39,7 @@ VALUES, BAND_VALUES = 128, 4
 #: MinHash values compared between two looks at the posterior, and what it may not fall below.
 STEP, TOLERANCE = 32, 1e-6
 #: Classes of a bucket compared by one group of rows.
-BLOCK = 256
+BLOCK = 512
 _WORD = re.compile(r"\w+")
 _MULTIPLIERS = (mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 _B1 = np.uint64(0x9E3779B97F4A7C15)
@@ -239,7 +239,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(sets, pa.binary())], ["cls", "sig", "shingles"])
     # One text per wanted class: the class of a row is known, so only chosen rows are read again.
     chosen = _chosen_rows(docs, rows, wanted, id_col, text_col)
-    texts = materialize(chosen.mapInArrow(load, "cls binary, sig binary, shingles binary").dropDuplicates(["cls"]), "texts")
+    texts = chosen.mapInArrow(load, "cls binary, sig binary, shingles binary").dropDuplicates(["cls"])
+    texts = materialize(texts.join(groups.select("cls", "n"), "cls"), "texts")
 
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("cls", "band"), F.col("blocks")).cast("int")
@@ -248,7 +249,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
              .withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
              .withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
              .select("band", "key", "block", "side", "cls"))
-    payload = (dealt.join(texts, "cls").join(groups.select("cls", "n"), "cls")
+    payload = (dealt.join(texts, "cls")
                .repartition("band", "key", "block").sortWithinPartitions("band", "key", "block"))
     found = materialize(verify(payload, threshold), "links")
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
