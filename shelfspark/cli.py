@@ -21,6 +21,10 @@ from shelfspark.session import get_spark
 from shelfspark.sources import readers, sinks
 
 
+#: Folders whose records the catalogue holds.
+CATALOGUE_FOLDERS = ["work", "gbooks", "archive_compact"]
+
+
 def _show(df: DataFrame, n: int = 100) -> None:
     df.show(n, truncate=120)
 
@@ -31,7 +35,7 @@ def clean_articles(spark: SparkSession, a) -> None:
     if a.stats:
         _show(out.groupBy("type").count())
     else:
-        sinks.write_json_by_type(out, a.output)
+        sinks.write_records(out, a.output, by="type")
 
 
 def clean_books(spark: SparkSession, a) -> None:
@@ -40,12 +44,12 @@ def clean_books(spark: SparkSession, a) -> None:
         _show(ingest.funnel(raw, filter_topic=not a.no_filter_topic))
         _show(quality.length_histogram(ingest.clean_books(raw, filter_topic=not a.no_filter_topic), F.col("word_count")))
     else:
-        ingest.clean_books(raw, filter_topic=not a.no_filter_topic).write.mode("overwrite").json(a.output)
+        sinks.write_records(ingest.clean_books(raw, filter_topic=not a.no_filter_topic), a.output)
 
 
 def clean_archive(spark: SparkSession, a) -> None:
     records = ingest.clean_archive(readers.read_texts(spark, a.input))
-    (ingest.book_cards(records) if a.cards else records).write.mode("overwrite").json(a.output)
+    sinks.write_records(ingest.book_cards(records) if a.cards else records, a.output)
 
 
 def build_library(spark: SparkSession, a) -> None:
@@ -75,21 +79,22 @@ def evaluate_search(spark: SparkSession, a) -> None:
 
 
 def export_csv(spark: SparkSession, a) -> None:
-    records = readers.read_source_folders(spark, a.input, ["work", "gbooks", "archive_compact"])
+    records = readers.read_source_folders(spark, a.input, CATALOGUE_FOLDERS)
     rows = entity.catalogue(records)
-    sinks.write_csv(rows, a.output)
+    sinks.write_csv(rows.withColumn("source_paths", F.lit(None).cast("string")), a.output)  # all of them are in -paths
     entity.entity_paths(records).write.mode("overwrite").parquet(f"{a.output}-paths")
     _show(quality.fill_rate(rows))
 
 
 def import_csv(spark: SparkSession, a) -> None:
     """Dry run unless --apply; writes a new version of the records, never in place."""
-    docs = readers.read_source_folders(spark, a.input, ["work", "gbooks", "archive_compact"])
+    docs = readers.read_source_folders(spark, a.input, library_build.FOLDERS)
     rows = readers.read_metadata_csv(spark, a.csv)
-    done = enrich.write_back(docs, enrich.explode_paths(rows))
+    links = readers.read_links(spark, f"{a.csv}-paths")
+    done = enrich.write_back(docs, enrich.explode_paths(rows) if links is None else rows.join(links, "id"))
     _show(enrich.write_back_summary(done))
     if a.apply:
-        done.drop("changed", "path").write.mode("overwrite").partitionBy("folder").json(a.output)
+        sinks.write_records(done, a.output, by="folder")
 
 
 def report(spark: SparkSession, a) -> None:

@@ -44,9 +44,9 @@ def enrich(rows: DataFrame, suggestions: Column | None = None, suggester: Sugges
 
 
 def explode_paths(rows: DataFrame, paths: str = "source_paths") -> DataFrame:
-    """One row per source path of a metadata row."""
+    """One row per source path of a metadata row, the path standing for the record."""
     parts = F.filter(F.transform(F.split(F.coalesce(F.col(paths), F.lit("")), ";"), strip), lambda p: p != "")
-    return rows.withColumn("path", F.explode(parts)).drop(paths)
+    return rows.withColumn("record_id", F.explode(parts)).drop(paths)
 
 
 def is_empty(c: Column) -> Column:
@@ -55,14 +55,17 @@ def is_empty(c: Column) -> Column:
 
 
 def write_back(docs: DataFrame, enriched: DataFrame, fields=tuple(V.ENRICH_FIELDS)) -> DataFrame:
-    """Documents with their empty fields filled from the enriched row that names their path.
+    """Documents with their empty fields filled from the enriched row that names their record.
 
-    ``changed`` lists the filled fields. Where several rows name one path, the first id
-    with a value wins, as with one update after the other.
+    ``changed`` lists the filled fields. Where several rows name one record, the first id
+    with a value wins, as with one update after the other. A document without a
+    ``record_id`` is known by its path.
     """
-    rows = enriched.select("id", "path", *[nonblank(F.col(f).cast("string")).alias(f) for f in fields])
-    per_path = rows.groupBy("path").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("id"))).alias(f"_n_{f}") for f in fields])
-    df = docs.join(per_path, "path", "left")
+    if "record_id" not in docs.columns:
+        docs = docs.withColumn("record_id", F.col("path"))
+    rows = enriched.select("id", "record_id", *[nonblank(F.col(f).cast("string")).alias(f) for f in fields])
+    per_record = rows.groupBy("record_id").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("id"))).alias(f"_n_{f}") for f in fields])
+    df = docs.join(per_record, "record_id", "left")
     fill = {f: is_empty(F.col(f)) & F.col(f"_n_{f}").isNotNull() for f in fields}
     df = df.withColumn("changed", F.array_compact(F.array(*[F.when(fill[f], F.lit(f)) for f in fields])))
     df = df.withColumns({f: F.when(fill[f], F.col(f"_n_{f}")).otherwise(F.col(f).cast("string")) for f in fields})

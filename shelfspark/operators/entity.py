@@ -17,13 +17,15 @@ RECORD_FIELDS = {
     "content": "string", "summary": "string", "ai_summary": "string", "description": "string",
     "genre": "string", "genres": "array<string>", "categories": "array<string>", "publisher": "string",
     "publication_year": "string", "word_count": "long", "page_count": "string", "isbn": "string",
-    "isbn_list": "array<string>", "cover_url": "string", "name": "string", "folder": "string", "path": "string",
+    "isbn_list": "array<string>", "cover_url": "string", "name": "string", "folder": "string", "path": "string", "record_id": "string",
 }
 
 
 def with_record_fields(df: DataFrame) -> DataFrame:
+    """All record columns; a record without an id of its own is known by its path."""
     missing = {n: F.lit(None).cast(t) for n, t in RECORD_FIELDS.items() if n not in df.columns}
-    return df.withColumns(missing) if missing else df
+    df = df.withColumns(missing) if missing else df
+    return df.withColumn("record_id", F.coalesce("record_id", "path"))
 
 
 def first_filled(*candidates: Column) -> Column:
@@ -65,8 +67,8 @@ def merge_entities(records: DataFrame, *, use_gbooks_text: bool = True) -> DataF
     payload = F.struct("title", "author", "content", "summary", "ai_summary", "description", "genre",
                        "genres", "categories", "publisher", "publication_year", "word_count")
     by_source = r.groupBy("key", "norm_title", "source").agg(
-        F.max_by(payload, "path").alias("doc"), F.min("path").alias("first_path"),
-        F.min_by(F.struct("title", "author"), "path").alias("name"), F.count(F.lit(1)).alias("n_paths"))
+        F.max_by(payload, "record_id").alias("doc"), F.min("record_id").alias("first_path"),
+        F.min_by(F.struct("title", "author"), "record_id").alias("name"), F.count(F.lit(1)).alias("n_paths"))
 
     groups = by_source.groupBy("key", "norm_title").agg(
         F.min_by("name", "first_path").alias("name"), F.min("first_path").alias("first_path"))
@@ -144,16 +146,15 @@ def catalogue_records(records: DataFrame) -> DataFrame:
     return r.withColumn("key", F.concat(F.lower("title"), F.lit(" | "), F.lower("author")))
 
 
-def catalogue(records: DataFrame, joined_paths: int = 1000) -> DataFrame:
-    """One metadata row per (title, author): first filled value per column in path order,
-    longest summary, person flag, sorted sources.
+def catalogue(records: DataFrame) -> DataFrame:
+    """One metadata row per (title, author): first filled value per column in the order of the
+    record ids, longest summary, person flag, sorted sources.
 
-    Only aggregates with partial results are used. ``source_paths`` is joined into one
-    string for entities of up to ``joined_paths`` records; :func:`entity_paths` has the
-    complete long form for every entity.
+    Only aggregates with partial results are used; which records belong to a row is told in
+    long form by :func:`entity_paths`, however many they are.
     """
     r = catalogue_records(records)
-    first = lambda c: F.coalesce(F.min_by(c, F.when(c.isNotNull(), F.col("path"))), F.lit(""))
+    first = lambda c: F.coalesce(F.min_by(c, F.when(c.isNotNull(), F.col("record_id"))), F.lit(""))
     filled = {
         "publication_year": nonblank("publication_year"),
         "genre": F.coalesce(nonblank("genre"), nonblank(first_item("genres"))),
@@ -166,22 +167,18 @@ def catalogue(records: DataFrame, joined_paths: int = 1000) -> DataFrame:
     longest = F.aggregate(texts, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
     r = r.withColumns({f"_{n}": c for n, c in filled.items()}).withColumn("_summary", longest)
     g = r.groupBy("key").agg(
-        F.min_by(F.struct("title", "author"), "path").alias("name"),
+        F.min_by(F.struct("title", "author"), "record_id").alias("name"),
         F.max((classify_entity("categories", "summary") == "author").cast("int")).alias("person"),
         *[first(F.col(f"_{n}")).alias(n) for n in filled],
-        F.min(F.struct((-F.length("_summary")).alias("l"), F.col("path"), F.col("_summary").alias("s"))).alias("best"),
-        F.array_sort(F.collect_set("source")).alias("sources"), F.count(F.lit(1)).alias("n_paths"))
-    small = g.filter(F.col("n_paths") <= joined_paths).select("key")
-    paths = (r.select("key", "path").join(small, "key", "left_semi").groupBy("key")
-             .agg(F.array_join(F.array_sort(F.collect_list("path")), ";").alias("source_paths")))
-    named = g.join(paths, "key", "left")
-    return named.select(
+        F.min(F.struct((-F.length("_summary")).alias("l"), F.col("record_id"), F.col("_summary").alias("s"))).alias("best"),
+        F.array_sort(F.collect_set("source")).alias("sources"), F.min("record_id").alias("first_record"), F.count(F.lit(1)).alias("n_paths"))
+    return g.select(
         uuid5("key").alias("id"), F.col("name.title").alias("title"),
         F.when(F.col("person") == 1, "author").otherwise("work").alias("entity_type"),
         F.col("name.author").alias("author"), *filled, F.col("best.s").alias("summary"),
-        F.array_join("sources", ", ").alias("source"), "source_paths", "n_paths")
+        F.array_join("sources", ", ").alias("source"), "first_record", "n_paths")
 
 
 def entity_paths(records: DataFrame) -> DataFrame:
-    """(id, path): which record belongs to which entity."""
-    return catalogue_records(records).select(uuid5("key").alias("id"), "path")
+    """(id, record_id, path): which record belongs to which entity."""
+    return catalogue_records(records).select(uuid5("key").alias("id"), "record_id", "path")

@@ -23,9 +23,9 @@ def keep_first(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
     return top_per_key(df, keys, order, 1, "_rank").drop("_rank")
 
 
-def keep_longest(df: DataFrame, keys: list, text: str, position: str) -> DataFrame:
+def keep_longest(df: DataFrame, keys: list, text: str, *position: str | Column) -> DataFrame:
     """One row per key: the longest text, the earliest row on ties."""
-    return keep_first(df, keys, [F.length(F.coalesce(F.col(text), F.lit(""))).desc(), F.col(position)])
+    return keep_first(df, keys, [F.length(F.coalesce(F.col(text), F.lit(""))).desc(), *[F.col(p) if isinstance(p, str) else p for p in position]])
 
 
 def title_author_key(title: str = "title", author: str = "author") -> list[Column]:
@@ -36,14 +36,15 @@ def title_author_key(title: str = "title", author: str = "author") -> list[Colum
 def upsert(base: DataFrame, updates: DataFrame, key: str, version: str | None = None) -> DataFrame:
     """Rows of both sides, the last write per key winning.
 
-    The winner is found with a partial aggregate (``max_by``), so repeated writes of a
-    hot key collapse before the shuffle.
+    With a ``version`` the highest one wins wherever it stands, so an older write that arrives
+    late changes nothing; of equal versions, and without any, the update wins. What is still
+    equal is settled by the whole row. The winner is found with a partial aggregate
+    (``max_by``), so repeated writes of a hot key collapse before the shuffle.
     """
-    order = [F.col(version)] if version else []
-    both = base.withColumn("_gen", F.lit(0)).unionByName(updates.withColumn("_gen", F.lit(1)),
-                                                         allowMissingColumns=True)
+    both = base.withColumn("_gen", F.lit(0)).unionByName(updates.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
     cols = [c for c in both.columns if c not in ("_gen", key)]
-    picked = both.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(F.col("_gen"), *order)).alias("_row"))
+    order = ([F.col(version)] if version else []) + [F.col("_gen"), F.xxhash64(*cols)]
+    picked = both.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_row"))
     return picked.select(key, *[F.col("_row")[c].alias(c) for c in cols])
 
 

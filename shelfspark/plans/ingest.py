@@ -20,9 +20,14 @@ def cleaned_texts(df: DataFrame, text: str, *keep: str, min_chars: int = V.MIN_C
     return explode_once(df, long, "content", *keep)
 
 
+def _seen(raw: DataFrame) -> list[Column]:
+    """Order in which records were seen: by file, and by place where a file holds several."""
+    return [F.col(c) for c in ("path", "record_id") if c in raw.columns]
+
+
 def clean_articles(raw: DataFrame) -> DataFrame:
     """Encyclopaedia articles: first copy per id, cleaned, typed, short ones dropped."""
-    df = keep_first(raw.filter(F.coalesce("id", F.lit("")) != ""), ["id"], [F.col("path")])
+    df = keep_first(raw.filter(F.coalesce("id", F.lit("")) != ""), ["id"], _seen(raw))
     df = cleaned_texts(df, "content", *[c for c in df.columns if c != "content"])
     none = F.array().cast("array<string>")
     return df.select(
@@ -51,7 +56,7 @@ def clean_books(raw: DataFrame, languages=tuple(V.KEEP_LANGS), filter_topic: boo
     df = raw.filter(F.coalesce("language", F.lit("")).isin(*languages)).filter(long_enough())
     if filter_topic:
         df = df.filter(on_topic(topic_text()))
-    df = keep_longest(df, title_author_key(), "content", "path")
+    df = keep_longest(df, title_author_key(), "content", *_seen(df))
     content = clean_book_text("content")
     summary = F.coalesce(F.nullif("summary", F.lit("")), F.substring(F.col("_content"), 1, 500))
     df = df.withColumn("_content", content)

@@ -149,7 +149,7 @@ def _catalogue(spark, d) -> DataFrame:
 def entity_catalogue(spark, d):
     c = _catalogue(spark, d)
     return c.select("id", "title", "entity_type", "author", "publication_year", "genre", "publisher", "page_count", "isbn",
-                    F.md5("summary").alias("summary_md5"), "source", "source_paths", "n_paths")
+                    F.md5("summary").alias("summary_md5"), "source", "first_record", "n_paths")
 
 
 _CATALOGUE = f"""{RECORDS}, k AS (SELECT *, lower(title) || ' | ' || lower(author) AS key FROM r WHERE title <> ''),
@@ -158,14 +158,14 @@ _CATALOGUE = f"""{RECORDS}, k AS (SELECT *, lower(title) || ' | ' || lower(autho
   coalesce(arg_min(genre, path) FILTER (genre <> ''), '') AS genre, coalesce(arg_min(publisher, path) FILTER (publisher <> ''), '') AS publisher,
   coalesce(arg_min(page_count, path) FILTER (page_count NOT IN ('', '0')), '') AS page_count, '' AS isbn, '' AS cover_url,
   arg_min({S.strip('summary')}, (-length({S.strip('summary')}), path)) AS summary,
-  array_to_string(list_sort(list(DISTINCT src)), ', ') AS source, string_agg(path, ';' ORDER BY path) AS source_paths, count(*) AS n_paths FROM k GROUP BY key)"""
+  array_to_string(list_sort(list(DISTINCT src)), ', ') AS source, min(path) AS first_record, count(*) AS n_paths FROM k GROUP BY key)"""
 SQL_CATALOGUE = f"""
 WITH {_CATALOGUE} SELECT {S.uuid5('key', uuid.NAMESPACE_OID.hex)} AS id, title, 'work' AS entity_type, author, publication_year, genre, publisher, page_count, isbn,
- md5(summary) AS summary_md5, source, source_paths, n_paths FROM cat"""
+ md5(summary) AS summary_md5, source, first_record, n_paths FROM cat"""
 
 
 def entity_paths(spark, d):
-    return entity.entity_paths(records(spark, d))
+    return entity.entity_paths(records(spark, d)).select("id", "path")
 
 
 SQL_PATHS = f"WITH {_CATALOGUE} SELECT {S.uuid5('key', uuid.NAMESPACE_OID.hex)} AS id, path FROM k"
@@ -238,7 +238,7 @@ SQL_LATEX = f"""WITH ba AS ({SQL_BEFORE}) SELECT field, replace(field, '_', '\\_
 
 
 def write_back(spark, d):
-    rows = enrich.explode_paths(_enriched(spark, d))
+    rows = _enriched(spark, d).join(entity.entity_paths(records(spark, d)).select("id", "record_id"), "id")
     done = enrich.write_back(records(spark, d), rows)
     return enrich.write_back_summary(done)
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,19 +32,24 @@ def get_spark(app: str = "shelfspark", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    A scratch folder is made only where the setting is missing (tests, local runs).
+    Where it is unset, a local master writes below its own ``spark.local.dir`` (there is one
+    machine only); any other master must name a folder that all executors share.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        configured = _local_scratch()
-    return configured.rstrip("/")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if re.fullmatch(r"local(\[[^\]]*\])?", master):
+        return f"file:{spark.conf.get('spark.local.dir', '/tmp').split(',')[0]}/shelfspark-{spark.sparkContext.applicationId}"
+    raise ValueError(f"spark.checkpoint.dir is not set; with master {master} intermediate tables need a folder that all executors share")
 
 
-@lru_cache(maxsize=1)
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="shelfspark-")
+def drop_written(spark: SparkSession) -> bool:
+    """Delete the intermediate tables that :func:`materialize` wrote below the session's folder.
+
+    Call it when nothing reads them any more; results of plans that were built on them do."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -55,7 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     allows column pruning and filter pushdown.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shelfspark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,32 +32,64 @@ RECORD_SCHEMA = (
 METADATA_COLUMNS = [*V.CATALOG_COLUMNS, "ai_filled"]
 
 
+def _pieces(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:
+    """(path, position, several, record): every JSON value of every file, parsed; null where unreadable.
+
+    A file may hold one record, a list of records, or several records one after the other.
+    """
+    files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
+             .select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\\A\ufeff", "").alias("value")))
+    roots = F.split("value", r"(?<=\})\s*\n\s*(?=\{)")
+    values = files.select("path", F.posexplode(roots).alias("root", "value"))
+    parsed = values.withColumn("records", F.from_json("value", f"array<struct<{schema}>>"))
+    return (parsed.select("path", "root", F.posexplode_outer("records").alias("item", "record"))
+            .withColumn("position", F.col("root") + F.coalesce("item", F.lit(0))))
+
+
 def read_json_folder(spark: SparkSession, path: str, schema: str, pattern: str = "*.json",
                      limit: int | None = None) -> DataFrame:
-    """One record per file, any depth. Unreadable files are dropped; ``path`` and ``folder`` are added."""
-    full = f"{schema}, _broken string"
-    df = (spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_broken").option("recursiveFileLookup", True)
-          .option("pathGlobFilter", pattern).json(path))
-    df = df.withColumn("path", F.col("_metadata.file_path")).filter(F.col("_broken").isNull()).drop("_broken")
-    df = df.withColumn("folder", F.regexp_extract("path", r"([^/]+)/[^/]+\z", 1))
-    return df.orderBy("path").limit(limit) if limit else df
+    """All records of a raw folder, any depth. Unreadable records are dropped; ``path``, ``folder``
+    and ``record_id`` (the path, with the record's place where it is not the first) are added."""
+    p = _pieces(spark, path, schema, pattern).filter(F.col("record").isNotNull())
+    place = F.concat_ws("#", "root", "item")
+    df = p.select("record.*", "path", F.regexp_extract("path", r"([^/]+)/[^/]+\z", 1).alias("folder"),
+                  F.when(F.col("position") == 0, F.col("path")).otherwise(F.concat_ws("#", "path", place)).alias("record_id"))
+    return df.orderBy("record_id").limit(limit) if limit else df
 
 
 def count_broken(spark: SparkSession, path: str, schema: str, pattern: str = "*.json") -> int:
-    full = f"{schema}, _broken string"
-    df = (spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", "_broken")
-          .option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path))
-    return df.select("id", "_broken").filter(F.col("_broken").isNotNull() & F.col("id").isNull()).count()
+    return _pieces(spark, path, schema, pattern).filter(F.col("record").isNull()).count()
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of one folder: the Parquet that the cleaning steps write, and raw JSON."""
+    own = (spark.read.schema(f"{RECORD_SCHEMA}, path string, record_id string").option("recursiveFileLookup", True)
+           .option("pathGlobFilter", "*.parquet").parquet(path))
+    raw = read_json_folder(spark, path, RECORD_SCHEMA).drop("folder")
+    return own.unionByName(raw.filter(~F.regexp_extract("path", r"([^/]+)\z", 1).contains("meta")), allowMissingColumns=True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path).schema  # noqa: B018
+        return True
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
 
 
 def read_source_folders(spark: SparkSession, base: str, folders: list[str]) -> DataFrame:
-    """Union of several record folders without the files whose name contains 'meta'."""
+    """Union of several record folders; each may be named plainly or as a partition of a
+    cleaning step (``type=work``, ``folder=work``). Every record has a ``record_id``."""
     out = None
     for name in folders:
-        df = read_json_folder(spark, f"{base}/{name}", RECORD_SCHEMA)
-        df = df.filter(~F.regexp_extract("path", r"([^/]+)\z", 1).contains("meta"))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        for place in (name, f"type={name}", f"folder={name}"):
+            if _exists(spark, f"{base}/{place}"):
+                df = read_records(spark, f"{base}/{place}").withColumn("folder", F.lit(name))
+                out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"none of the folders {folders} is in {base}")
     return out
 
 
@@ -84,12 +117,19 @@ def read_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in METADATA_COLUMNS])
 
 
+def read_links(spark: SparkSession, path: str) -> DataFrame | None:
+    """(id, record_id) of an exported catalogue; None where it was written without."""
+    return spark.read.parquet(path).select("id", "record_id") if _exists(spark, path) else None
+
+
 def read_vectors(spark: SparkSession, vectors: str, payload: str, key: str = "id") -> DataFrame:
     """Vector table with its payload; every vector must have exactly one payload."""
     v, p = spark.read.parquet(vectors), spark.read.parquet(payload)
-    n, m = v.count(), p.count()
-    if n != m:
-        raise ValueError(f"{n} vectors but {m} payloads")
+    sides = v.select(key, F.lit(1).alias("v"), F.lit(0).alias("p")).unionByName(p.select(key, F.lit(0).alias("v"), F.lit(1).alias("p")))
+    odd = sides.groupBy(key).agg(F.sum("v").alias("v"), F.sum("p").alias("p")).filter((F.col("v") != 1) | (F.col("p") != 1))
+    n = odd.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("p") == 0, 1)).alias("bare"), F.count(F.when(F.col("v") == 0, 1)).alias("idle")).first()
+    if n["n"]:
+        raise ValueError(f"{n['n']} keys do not have one vector and one payload: {n['bare']} without payload, {n['idle']} without vector")
     return v.join(p, key)
 
 

@@ -7,7 +7,21 @@ from pyspark.sql import functions as F
 
 from shelfspark import fixed_values as V
 from shelfspark.functions.text import latex_percent, vn_number
-from shelfspark.operators.keyed import not_done, upsert
+from shelfspark.operators.keyed import not_done
+
+
+def write_records(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Records for the next step: Parquet with the columns and types of a record and a
+    ``record_id`` (kept, or made from the content), in one folder per value of ``by``."""
+    from shelfspark.sources.readers import RECORD_SCHEMA
+    kinds = dict(f.strip().split(" ") for f in RECORD_SCHEMA.split(", "))
+    keep = F.sha1(F.to_json(F.struct(*[c for c in df.columns if c != "record_id"])))
+    own = F.coalesce(F.col("record_id"), keep) if "record_id" in df.columns else keep
+    cols = [F.col(c).cast(kinds[c]) for c in kinds if c in df.columns and c != by]
+    more = [F.col("path")] if "path" in df.columns else [own.alias("path")]
+    out = df.select(*cols, *more, own.alias("record_id"), *([F.col(by)] if by else []))
+    writer = out.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
 
 
 def write_json_by_type(df: DataFrame, path: str, by: str = "type") -> None:
@@ -39,12 +53,6 @@ def append_new(df: DataFrame, path: str, key: str = "id") -> DataFrame:
     return new
 
 
-def upsert_table(updates: DataFrame, path: str, target: str, key: str = "id", version: str | None = None) -> None:
-    """Last write wins, as a new version of the table in ``target``."""
-    base = updates.sparkSession.read.parquet(path)
-    upsert(base, updates, key, version).write.mode("overwrite").parquet(target)
-
-
 def run_stats(df: DataFrame, **counts) -> DataFrame:
     """One row of named conditional counts."""
     return df.agg(*[F.count(F.when(cond, 1)).alias(name) for name, cond in counts.items()])

@@ -4,23 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables whose rows are wide texts: worth spreading when a small file gives few splits.
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than there are cores.
-
-    A large input has more splits than cores and is left where it is, so no shuffle of
-    raw text is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
 
 def load(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """One table with only the named columns."""
+    """One table with only the named columns, in the splits its files have."""
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    return spread(df) if name in TEXT_TABLES else df
+    return df.select(*columns) if columns else df

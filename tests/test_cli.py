@@ -1,6 +1,8 @@
 import json
 
 from shelfspark import cli
+from shelfspark.plans import library_build
+from shelfspark.sources import readers
 
 
 def put(path, data):
@@ -15,16 +17,14 @@ def test_from_raw_records_to_search_and_report(spark, tmp_path, capsys):
     put(tmp_path / "books" / "gbooks_1.json", {"id": "gbooks_1", "title": "Tập thơ", "author": "Xuân Diệu", "language": "vi", "content": "thơ tình " * 10})
     (tmp_path / "txt").mkdir()
     (tmp_path / "txt" / "Lão Hạc - Nam Cao.txt").write_text("Lão Hạc có con chó vàng. " * 20, encoding="utf-8")
-    cli.main(["clean-articles", f"{t}/raw", f"{t}/p0"])
-    cli.main(["clean-books", f"{t}/books", f"{t}/proc/gbooks"])
+    for i in range(4):  # several records end up in one part file
+        (tmp_path / "txt" / f"Truyện {i} - Nam Cao.txt").write_text(f"Truyện số {i} kể về làng quê. " * 20, encoding="utf-8")
+    cli.main(["clean-articles", f"{t}/raw", f"{t}/in"])
+    cli.main(["clean-books", f"{t}/books", f"{t}/in/gbooks"])
     cli.main(["clean-books", f"{t}/books", f"{t}/none", "--dry-run"])
-    cli.main(["clean-archive", f"{t}/txt", f"{t}/cards", "--cards"])
-    # One record per file, as the crawlers leave them.
-    for folder, src in (("work", "p0"), ("archive_compact", "cards"), ("author", "none_here"), ("gbooks", "books")):
-        rows = [json.loads(x) for f in (tmp_path / src).rglob("*.json") for x in f.read_text(encoding="utf-8").splitlines()]
-        (tmp_path / "in" / folder).mkdir(parents=True, exist_ok=True)
-        for i, r in enumerate(rows):
-            put(tmp_path / "in" / folder / f"{i}.json", r)
+    cli.main(["clean-archive", f"{t}/txt", f"{t}/in/archive_compact", "--cards"])
+    cleaned = readers.read_source_folders(spark, f"{t}/in", library_build.FOLDERS)
+    assert sorted(r["folder"] for r in cleaned.collect()) == ["archive_compact"] * 5 + ["gbooks", "work"] and cleaned.count() == 7
     cli.main(["build", f"{t}/in", f"{t}/lib"])
     capsys.readouterr()
     cli.main(["search", f"{t}/lib", "chó vàng lão hạc", "--compare", "--top-k", "1"])
@@ -36,6 +36,11 @@ def test_from_raw_records_to_search_and_report(spark, tmp_path, capsys):
     cli.main(["export-csv", f"{t}/in", f"{t}/csv"])
     cli.main(["report", f"{t}/csv"])
     cli.main(["import-csv", f"{t}/in", f"{t}/csv", f"{t}/next", "--apply"])
+    again = readers.read_source_folders(spark, f"{t}/next", library_build.FOLDERS)
+    key = lambda df: sorted((r["folder"], r["record_id"], r["title"]) for r in df.collect())
+    assert key(again) == key(cleaned)
+    cli.main(["build", f"{t}/next", f"{t}/lib2"])
+    assert spark.read.parquet(f"{t}/lib2/entities").count() == spark.read.parquet(f"{t}/lib/entities").count() == 7
     put(tmp_path / "canon.json", {"canon_id": 1, "title": "Lão Hạc", "author": "Nam Cao"})
     capsys.readouterr()
     cli.main(["audit", f"{t}/lib", f"{t}/canon.json"])

@@ -87,10 +87,8 @@ def test_catalogue_fields_and_paths(spark):
     r = entity.catalogue(df).collect()
     assert len(r) == 1
     r = r[0]
-    assert (r["title"], r["entity_type"], r["genre"], r["publication_year"], r["summary"], r["source"], r["source_paths"]) == (
-        "Book", "author", "Thơ", "1950", "a longer summary", "archive_compact, gbooks, wikipedia", "a;b;c")
-    big = entity.catalogue(df, joined_paths=2).first()
-    assert big["source_paths"] is None and big["n_paths"] == 3
+    assert (r["title"], r["entity_type"], r["genre"], r["publication_year"], r["summary"], r["source"], r["first_record"], r["n_paths"]) == (
+        "Book", "author", "Thơ", "1950", "a longer summary", "archive_compact, gbooks, wikipedia", "a", 3)
     assert sorted(x["path"] for x in entity.entity_paths(df).collect()) == ["a", "b", "c"]
 
 
@@ -109,6 +107,29 @@ def test_enrich_and_write_back(spark):
     assert done["p9"]["changed"] == []
 
 
+def test_a_work_of_many_records_is_written_back_whole(spark):
+    docs = entity.with_record_fields(frame(spark, [rec(f"p{i}", "work", "Hot", "A", genre="") for i in range(1200)], RECORD))
+    rows = enrich.enrich(entity.catalogue(docs), F.create_map(F.lit("genre"), F.lit("Thơ")))
+    done = enrich.write_back(docs, rows.join(entity.entity_paths(docs).select("id", "record_id"), "id"))
+    assert {r["genre"] for r in done.collect()} == {"Thơ"} and done.count() == 1200
+
+
+def test_records_of_one_file_are_told_apart(spark):
+    docs = frame(spark, [("f", "f", "A", ""), ("f", "f#1#0", "B", "")], "path string, record_id string, title string, genre string")
+    docs = docs.withColumns({f: F.lit("x") for f in ("author", "publication_year", "publisher", "page_count")})
+    rows = frame(spark, [("1", "f", "Thơ"), ("2", "f#1#0", "Kịch")], "id string, record_id string, genre string").withColumns(
+        {f: F.lit("") for f in ("author", "publication_year", "publisher", "page_count")})
+    assert {r["title"]: r["genre"] for r in enrich.write_back(docs, rows).collect()} == {"A": "Thơ", "B": "Kịch"}
+
+
+def test_an_older_version_that_comes_late_loses(spark):
+    base = frame(spark, [(1, "new", 9), (2, "old", 1)], "id int, v string, n int")
+    late = frame(spark, [(1, "late", 3), (2, "next", 2), (2, "same", 2)], "id int, v string, n int")
+    got = {r["id"]: r["v"] for r in keyed.upsert(base, late, "id", "n").collect()}
+    assert got[1] == "new" and got[2] in ("next", "same")
+    assert got == {r["id"]: r["v"] for r in keyed.upsert(base, late.repartition(2), "id", "n").collect()}
+
+
 def test_fill_rates(spark):
     df = frame(spark, [("A", "x" * 50, "author"), (" ", "short", ""), ("B", None, "summary,author")], "author string, summary string, ai_filled string")
     r = {x["field"]: x for x in quality.fill_rate(df, ("author", "summary")).collect()}

@@ -22,10 +22,21 @@ def test_json_folder_skips_broken_files(spark, tmp_path):
     df = readers.read_json_folder(spark, str(tmp_path), readers.ARTICLE_SCHEMA, "page_*.json")
     got = sorted((r["folder"], r["title"]) for r in df.collect())
     assert got == [("a", "first"), ("b", "second")]
+    assert df.count() == 2
     assert readers.count_broken(spark, str(tmp_path), readers.ARTICLE_SCHEMA, "page_*.json") == 1
     assert [r["title"] for r in readers.read_json_folder(spark, str(tmp_path), readers.ARTICLE_SCHEMA, "page_*.json", limit=1).collect()] == ["first"]
 
 
+def test_a_file_of_many_records_is_read_whole(spark, tmp_path):
+    put(tmp_path / "work" / "lines.json", "\n".join(json.dumps({"id": str(i), "title": "}\n{"}) for i in range(5)))
+    put(tmp_path / "work" / "list.json", [{"id": "a"}, {"id": "b"}])
+    put(tmp_path / "work" / "pretty.json", json.dumps({"id": "c", "authors": ["x"]}, indent=2) + "\n" + json.dumps({"id": "d"}, indent=2))
+    put(tmp_path / "work" / "meta.json", {"id": "skip"})
+    df = readers.read_source_folders(spark, str(tmp_path), ["work", "none"])
+    assert sorted(r["id"] for r in df.collect()) == ["0", "1", "2", "3", "4", "a", "b", "c", "d"] and df.count() == 9
+    assert len({r["record_id"] for r in df.collect()}) == 9
+
+
 def test_text_files_carry_title_and_author_in_their_name(spark, tmp_path):
     put(tmp_path / "A - B - Nam Cao.txt", "  words  ")
     put(tmp_path / "Không tên.txt", "x")
@@ -56,7 +67,15 @@ def test_vectors_need_one_payload_each(spark, tmp_path):
         readers.read_vectors(spark, str(tmp_path / "v"), str(tmp_path / "p"))
         raise AssertionError("must refuse")
     except ValueError as e:
-        assert "3 vectors but 2 payloads" in str(e)
+        assert "1 without payload, 0 without vector" in str(e)
+    spark.range(3, 6).write.parquet(str(tmp_path / "q"))
+    try:
+        readers.read_vectors(spark, str(tmp_path / "v"), str(tmp_path / "q"))
+        raise AssertionError("must refuse")
+    except ValueError as e:
+        assert "3 without payload, 3 without vector" in str(e)
+    spark.range(3).write.parquet(str(tmp_path / "w"))
+    assert readers.read_vectors(spark, str(tmp_path / "v"), str(tmp_path / "w")).count() == 3
 
 
 def test_append_new_is_idempotent(spark, tmp_path):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -65,7 +66,8 @@ def main():
     from shelfspark.plans.registry import entries
     from shelfspark.session import get_spark
     spark = get_spark(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                            "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
+                                            "spark.driver.memory": "12g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="check-"),
+                                            "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(folder), 0
     for name, (fn, sql) in entries().items():
