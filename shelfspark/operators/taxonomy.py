@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.session import materialize
+
 
 def walk(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     """(root, category, depth) of every category within ``depth`` steps, each once per root.
 
-    ``edges(parent, child)``, ``roots(root)``. The depth is a small constant, so the walk
-    is that many equi-joins; a category already visited is dropped by the aggregate.
+    ``edges(parent, child)``, ``roots(root)``. Each level is written once and read by the
+    next ones, so the work grows with the depth and not with its square; a category already
+    visited is dropped by an anti-join against the levels written so far.
     """
-    level = roots.select(F.col("root"), F.col("root").alias("category"))
+    level = roots.select("root", F.col("root").alias("category")).distinct()
     seen = level.withColumn("depth", F.lit(0).cast("long"))
     for d in range(1, depth + 1):
-        level = (level.join(edges, level["category"] == edges["parent"])
-                 .select("root", F.col("child").alias("category")).distinct()
-                 .join(seen.select("root", "category"), ["root", "category"], "left_anti"))
+        level = materialize(level.join(edges, level["category"] == edges["parent"]).select("root", F.col("child").alias("category")).distinct()
+                            .join(seen.select("root", "category"), ["root", "category"], "left_anti"), "level")
         seen = seen.unionByName(level.withColumn("depth", F.lit(d).cast("long")))
     return seen
 

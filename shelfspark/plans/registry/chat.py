@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.config import MemoryConfig
@@ -139,12 +141,21 @@ def streamed_documents(spark, d):
 SQL_STREAM_DOCS = "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1"
 
 
+def _in_batches(spark, table: DataFrame, base: str, by: str, newest_first: bool):
+    """A stream that brings the table in four batches by ranges of ``by``."""
+    top = table.agg(F.max(by)).first()[0] or 0
+    quarter = F.least(F.floor(F.col(by) * 4 / (top + 1)), F.lit(3))
+    for k in sorted(range(4), reverse=newest_first):
+        table.filter(quarter == k).repartition(2).write.mode("append").parquet(f"{base}/in")
+        time.sleep(1.1)  # files are taken by their time
+    return incremental.read_stream(spark, f"{base}/in", table.schema, files_per_batch=2)
+
+
 def streamed_upserts(spark, d):
-    """Stream the events as upserts per user; the last write stays."""
-    base = f"{shared_dir(spark)}/shelfspark/stream-{uuid.uuid4().hex}"
-    schema = load(spark, d, "events").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    _run(incremental.ingest_upsert(s.select("user_id", "event_id", "event_type", "value"), f"{base}/out", f"{base}/cp", "user_id", "event_id"))
+    """Stream the events as upserts per user, newest first; the highest event stays."""
+    base = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    s = _in_batches(spark, load(spark, d, "events", "user_id", "event_id", "event_type", "value"), base, "event_id", newest_first=True)
+    _run(incremental.ingest_upsert(s, f"{base}/out", f"{base}/cp", "user_id", "event_id"))
     return incremental.read_upserted(spark, f"{base}/out").select("user_id", "event_id", "event_type", "value")
 
 
@@ -152,10 +163,9 @@ SQL_STREAM_UPSERTS = "SELECT user_id, event_id, event_type, value FROM events QU
 
 
 def conversation_states(spark, d):
-    """Stream the messages through the per-conversation state."""
-    base = f"{shared_dir(spark)}/shelfspark/stream-{uuid.uuid4().hex}"
-    schema = load(spark, d, "conversations").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    """Stream the messages through the per-conversation state, in four batches."""
+    base = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    s = _in_batches(spark, load(spark, d, "conversations", "conv_id", "turn", "text"), base, "turn", newest_first=False)
     _run(incremental.track_conversations(s, f"{base}/out", f"{base}/cp", 4))
     return incremental.read_conversations(spark, f"{base}/out")
 

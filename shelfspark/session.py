@@ -48,8 +48,8 @@ def drop_written(spark: SparkSession) -> bool:
     """Delete the intermediate tables that :func:`materialize` wrote below the session's folder.
 
     Call it when nothing reads them any more; results of plans that were built on them do."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    from shelfspark.sources.files import delete
+    return delete(spark, f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

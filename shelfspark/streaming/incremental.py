@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.operators.keyed import keep_first, top_per_key, upsert
+from shelfspark.sources import files
 from shelfspark.sources.sinks import append_new
 
 
@@ -24,28 +27,59 @@ def ingest_new(stream: DataFrame, target: str, checkpoint: str, key: str = "id",
             .trigger(availableNow=True).start())
 
 
-def ingest_upsert(stream: DataFrame, target: str, checkpoint: str, key: str = "id", version: str | None = None) -> StreamingQuery:
-    """Keep the last write per key; every batch writes a new table version ``v=<epoch>``."""
+#: Parts of a state table; a batch rewrites the parts that its keys fall into. Choose it so that
+#: a part is written by one task in reasonable time.
+BUCKETS = 32
+
+
+def _replace(new: DataFrame, target: str, epoch: int, key: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int) -> None:
+    """Merge a batch into the parts of the state that it touches and write these as version
+    ``epoch``. A version counts once its ``_SUCCESS`` mark is there, so a batch that broke off
+    is never read and its repetition overwrites it. Parts older than the one replaced go."""
+    spark = new.sparkSession
+    part = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+    touched = [r["bucket"] for r in new.select(part.alias("bucket")).distinct().collect()]
+    if not touched:
+        return
+    versions = _versions(spark, target, before=epoch)
+    stored = [f"{target}/v={versions[b][-1]}/bucket={b}" for b in touched if b in versions]
+    merged = merge(spark.read.parquet(*stored) if stored else None, new)
+    merged.withColumn("bucket", part).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={epoch}")
+    for b in touched:
+        for old in versions.get(b, [])[:-1]:
+            files.delete(spark, f"{target}/v={old}/bucket={b}")
+
+
+def _versions(spark: SparkSession, target: str, before: int | None = None) -> dict[int, list[int]]:
+    """Finished versions of every part, oldest first."""
+    out: dict[int, list[int]] = {}
+    for v in sorted(int(n[2:]) for n in files.names(spark, target) if n.startswith("v=")):
+        inside = files.names(spark, f"{target}/v={v}")
+        if "_SUCCESS" in inside and (before is None or v < before):
+            for n in inside:
+                if n.startswith("bucket="):
+                    out.setdefault(int(n[7:]), []).append(v)
+    return out
+
+
+def _latest(spark: SparkSession, target: str) -> DataFrame | None:
+    """The newest finished version of every part."""
+    paths = [f"{target}/v={v[-1]}/bucket={b}" for b, v in sorted(_versions(spark, target).items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def ingest_upsert(stream: DataFrame, target: str, checkpoint: str, key: str = "id", version: str | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the last write per key (the highest ``version``, however late older ones arrive)."""
+    def merge(previous: DataFrame | None, df: DataFrame) -> DataFrame:
+        return upsert(df.limit(0) if previous is None else previous, df, key, version)
+
     def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        previous = _latest(spark, target, before=epoch)
-        merged = upsert(previous if previous is not None else df.limit(0), df, key, version)
-        merged.write.mode("overwrite").parquet(f"{target}/v={epoch}")
+        _replace(df, target, epoch, key, merge, buckets)
 
     return (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def _latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    versions = [int(s.getPath().getName()[2:]) for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("v=")]
-    versions = [v for v in versions if before is None or v < before]
-    return spark.read.parquet(f"{target}/v={max(versions)}") if versions else None
-
-
 def read_upserted(spark: SparkSession, target: str) -> DataFrame | None:
     return _latest(spark, target)
 
@@ -61,23 +95,22 @@ def track_progress(stream: DataFrame, target: str, checkpoint: str, by: str) ->
 
 
 def track_conversations(stream: DataFrame, target: str, checkpoint: str, keep: int = 10, conv: str = "conv_id",
-                        turn: str = "turn", text: str = "text") -> StreamingQuery:
+                        turn: str = "turn", text: str = "text", buckets: int = BUCKETS) -> StreamingQuery:
     """State per conversation: messages so far, how many left the window, characters in it.
 
     A batch is first cut to the last ``keep`` messages and a count per conversation inside
     the map tasks, then merged with the stored state, so neither a hot conversation nor
-    its state grows with its length. Every batch writes a new version of the state table.
+    its state grows with its length. A batch rewrites the parts of the state it touches.
     """
+    def merge(previous: DataFrame | None, new: DataFrame) -> DataFrame:
+        both = new if previous is None else previous.select(conv, "n", "last").unionByName(new)
+        return both.groupBy(conv).agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("last")), asc=False), 1, keep).alias("last"))
+
     def batch(df: DataFrame, epoch: int) -> None:
         sizes = df.select(conv, F.struct(F.col(turn).alias("turn"), F.length(text).alias("size")).alias("m"))
         counted = sizes.groupBy(conv).agg(F.count(F.lit(1)).alias("n"))
         recent = top_per_key(sizes, [conv], [F.col("m.turn").desc()], keep).groupBy(conv).agg(F.collect_list("m").alias("last"))
-        new = counted.join(recent, conv).select(conv, "n", "last")
-        previous = _latest(df.sparkSession, target, before=epoch)
-        if previous is not None:
-            new = previous.select(conv, "n", "last").unionByName(new)
-        merged = new.groupBy(conv).agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("last")), asc=False), 1, keep).alias("last"))
-        merged.write.mode("overwrite").parquet(f"{target}/v={epoch}")
+        _replace(counted.join(recent, conv).select(conv, "n", "last"), target, epoch, conv, merge, buckets)
 
     return (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

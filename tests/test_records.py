@@ -166,6 +166,8 @@ def test_title_matching_equals_nested_loop(spark, monkeypatch, inline):
 
 def test_category_walk_visits_once(spark):
     edges = frame(spark, [("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("c", "r")], "parent string, child string")
+    scans = [taxonomy.walk(edges, frame(spark, [("r",)], "root string"), n)._jdf.queryExecution().optimizedPlan().toString().count("level-") for n in (2, 4)]
+    assert scans[1] <= 2 * scans[0] + 2  # each level is read, not computed again
     seen = taxonomy.walk(edges, frame(spark, [("r",)], "root string"), 3)
     assert {r["category"]: r["depth"] for r in seen.collect()} == {"r": 0, "a": 1, "b": 1, "c": 2, "d": 3}
     pages = taxonomy.pages_under(seen, frame(spark, [("c", 1), ("a", 1), ("d", 2), ("e", 3)], "category string, page_id int"))
