@@ -171,8 +171,9 @@ def maximal_repeats(rows: DataFrame, *, filter_bits: int = FILTER_BITS) -> DataF
     is no copy, being the unions of windows that also start in a smaller document."""
     bits = rows.sparkSession.sparkContext.broadcast(bit_filter(shared_anchors(rows), filter_bits))
     windows = extensions(rows, bits)
-    groups = (windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-              .select("h1", "h2", "first"))
+    # Written first: the join then reads both sides anew and adaptive execution can split its hot keys.
+    groups = materialize(windows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+                         .select("h1", "h2", "first"), "shared-windows")
     later = windows.join(groups, ["h1", "h2"]).filter("first < doc").select("doc", "tid", "place")
 
     def merge(key, found):
