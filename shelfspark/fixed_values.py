@@ -205,16 +205,15 @@ INFOBOX_FIELDS = {
     "tác phẩm": "notable_works",
 }
 CONTENT_GENRES = [
-    ("tiểu thuyết", "Tiểu thuyết"), ("truyện ngắn", "Truyện ngắn"), ("tập thơ", "Tập thơ"),
-    ("trường ca", "Trường ca"), ("truyện thơ", "Truyện thơ"), ("kịch", "Kịch"),
-    ("hồi ký", "Hồi ký"), ("ký sự", "Ký sự"), ("truyện cổ tích", "Truyện cổ tích"),
-    ("truyện tranh", "Truyện tranh"), ("thơ", "Thơ"), ("novel", "Tiểu thuyết"),
-    ("short story", "Truyện ngắn"),
+    (r"\btiểu thuyết\b", "Tiểu thuyết"), (r"\btruyện ngắn\b", "Truyện ngắn"), (r"\btập thơ\b", "Tập thơ"),
+    (r"\btrường ca\b", "Trường ca"), (r"\btruyện thơ\b", "Truyện thơ"), (r"\bkịch\b", "Kịch"),
+    (r"\bhồi ký\b", "Hồi ký"), (r"\bký sự\b", "Ký sự"), (r"\btruyện cổ tích\b", "Truyện cổ tích"),
+    (r"\btruyện tranh\b", "Truyện tranh"), (r"\bthơ\b", "Thơ"), (r"\bnovel\b", "Tiểu thuyết"),
+    (r"\bshort story\b", "Truyện ngắn"),
 ]
-NAME_CAPITALS = "A-ZĐÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂẮẶẢẠẦỐ"
-AUTHOR_LEADS = [
-    r"(?:của|do|viết bởi|sáng tác bởi)\s+(?:nhà văn\s+)?",
-    r"là\s+(?:một\s+)?(?:tiểu thuyết|tác phẩm|truyện ngắn|tập thơ|bài thơ|hồi ký|kịch)\s+của\s+",
+AUTHOR_PATTERNS = [
+    r"(?:của|do|viết bởi|sáng tác bởi)\s+(?:nhà văn\s+)?([A-ZĐÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂẮẶẢẠẦỐ][^\s,\.]{1,30}(?:\s+[A-ZĐÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂẮẶẢẠẦỐ][^\s,\.]{1,30}){0,3})",
+    r"là\s+(?:một\s+)?(?:tiểu thuyết|tác phẩm|truyện ngắn|tập thơ|bài thơ|hồi ký|kịch)\s+của\s+([A-ZĐÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂẮẶẢẠẦỐ][^\s,\.]{1,30}(?:\s+[A-ZĐÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂẮẶẢẠẦỐ][^\s,\.]{1,30}){0,3})",
 ]
 CONTENT_YEAR_PATTERNS = [
     r"(?:xuất bản|phát hành|ra mắt|in lần đầu|công bố)\s+(?:năm\s+)?(\b(?:19|20)\d{2}\b)",
@@ -224,6 +223,16 @@ CONTENT_YEAR_PATTERNS = [
 YEAR_MODERN = r"\b(?:19|20)\d{2}\b"
 YEAR_INFOBOX = r"\b(1[0-9]{3}|20[0-9]{2})\b"
 YEAR_STRICT = r"\b(1[5-9]\d\d|20[0-2]\d)\b"
+YEAR_CLAIM = r"[+-](\d{4})"
+YEAR_TAG = r"\[Năm xuất bản:\s*\S"
+# Infobox fields and the markup taken off their values; items of the expected-title list.
+INFOBOX_FIELD = r"\|\s*([^=|\n<{}]+?)\s*=\s*([^|{}\n]*(?:\n(?![|{}]).*)*)"
+WIKI_LINK = r"\[\[(?:[^\]|]+\|)?([^\]]+)\]\]"
+WIKI_TEMPLATE = r"\{\{[^}]+\}\}"
+WIKI_QUOTES = r"'''?"
+HTML_TAG = r"<[^>]+>"
+BOLD_ITEM = r"\*\*[^*]+\*\*"
+TITLE_WITH_AUTHOR = r"([^,()\n]+?)\s*\(([^)]+)\)"
 
 # ---------------------------------------------------------------- fixed values
 # Knowledge-base properties used from claims.
@@ -235,7 +244,7 @@ CLAIM_PROPERTIES = {
 # ---------------------------------------------------------------- fixed values
 # Web pages: link patterns, selectors, removed elements.
 BOOK_LINK_PATTERN = r"(?i)truyen\.aspx\?tid="
-CHAPTER_LINK_PATTERN = r"(?i)tid=.*?(chuong|chap)"
+CHAPTER_LINK = r"(?i)tid=.*?(chuong|chap)"
 CONTENT_SELECTORS = ["#noidung", "div.truyen", "#divtoanvan", "td.chude"]
 TITLE_SELECTORS = ["h1", "#tieude", "div.tualon"]
 AUTHOR_SELECTORS = ["#tacgia", "div.tacgia", "a.tacgia"]
@@ -254,3 +263,28 @@ QUERY_TYPES = ["FACTUAL", "AUTHOR", "SEMANTIC"]
 USER_LABEL, ASSISTANT_LABEL = "Người dùng", "Trợ lý"
 EXPORT_USER_LABEL, EXPORT_ASSISTANT_LABEL = "👤 Người dùng", "🤖 Chatbot"
 DETAIL_MARKER = "Nội dung chi tiết:"
+NO_TITLE, NO_AUTHOR = "Không rõ", "Không rõ"
+THIS_WORK, THIS_AUTHOR = "tác phẩm này", "tác giả này"
+PROMPT_CONTEXT_HEAD = "=== [NGỮ CẢNH] — CÁC ĐOẠN VĂN BẢN LIÊN QUAN ==="
+PROMPT_SOURCE = "\n--- Nguồn [{n}] ---\nTài liệu: {title} | Tác giả: {author}\n{text}\n"
+PROMPT_QUESTION = "\n=== CÂU HỎI ===\n{query}\n\n=== CÂU TRẢ LỜI ==="
+QUESTIONS_ABOUT = [
+    "Tóm tắt nội dung của '{title}'?",
+    "Tác giả {author} còn viết những tác phẩm nào khác?",
+    "Những tác phẩm tương tự '{title}' là gì?",
+    "Ý nghĩa và giá trị của '{title}' trong văn học Việt Nam?",
+    "Giai đoạn sáng tác của {author} là khi nào?",
+]
+QUESTIONS_GENERAL = [
+    "Các tác phẩm văn học Việt Nam nổi tiếng nhất là gì?",
+    "Những tác giả văn học Việt Nam tiêu biểu?",
+    "Văn học Việt Nam giai đoạn 1930–1945 có những đặc điểm gì?",
+]
+# Headers of entity chunks and lines of book cards.
+HEADER_TITLE, HEADER_AUTHOR, HEADER_YEAR = "[Tiêu đề: {v}]", "[Tác giả: {v}]", "[Năm xuất bản: {v}]"
+HEADER_GENRE, HEADER_PUBLISHER, HEADER_LENGTH = "[Thể loại: {v}]", "[Nhà xuất bản: {v}]", "[Độ dài tác phẩm: ~{v} từ]"
+HEADER_AI_SUMMARY = "Tóm tắt AI: {v}\n\n"
+CARD_WORK, CARD_AUTHOR, CARD_GENRE, CARD_AUDIENCE = "Tác phẩm: {v}", "Tác giả: {v}", "Thể loại: {v}", "Đối tượng: {v}"
+CARD_LENGTH, CARD_LANGUAGE = "Độ dài: {v} từ ({pages})", "Ngôn ngữ: Tiếng Việt"
+CARD_SOURCE, CARD_EXCERPT, CARD_SUMMARY = "Nguồn: Kho lưu trữ văn học (archive)", "Trích đoạn mở đầu: {v}", "Tóm tắt: {v}"
+PAGES_SHORT, PAGES_MIDDLE, PAGES_LONG, PAGES_UNKNOWN, PAGES = "truyện ngắn/thơ", "truyện vừa", "tiểu thuyết", "không rõ", "~{v} trang ({band})"

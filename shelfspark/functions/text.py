@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfspark import fixed_values as V
-from shelfspark.session import let
+from shelfspark.session import fill, let
 
 #: Body of a character class holding every Unicode white-space character and the control
 #: separators. Only complete together with the ``U`` flag, which widens ``\s``.
@@ -107,24 +107,21 @@ def page_band(wc: Column | str) -> Column:
     """Estimated pages with one of three length labels."""
     w = col(wc).cast("long")
     pages = F.floor(w / V.WORDS_PER_PAGE).cast("long")
-    label = (F.when(pages < 10, F.lit("truyện ngắn/thơ"))
-             .when(pages < 100, F.lit("truyện vừa"))
-             .otherwise(F.lit("tiểu thuyết")))
-    return F.when(w <= 0, F.lit("không rõ")).otherwise(
-        F.concat(F.lit("~"), pages.cast("string"), F.lit(" trang ("), label, F.lit(")")))
+    label = (F.when(pages < 10, F.lit(V.PAGES_SHORT))
+             .when(pages < 100, F.lit(V.PAGES_MIDDLE))
+             .otherwise(F.lit(V.PAGES_LONG)))
+    return F.when(w <= 0, F.lit(V.PAGES_UNKNOWN)).otherwise(fill(V.PAGES, v=pages.cast("string"), band=label))
+
+
+def _card_length(wc) -> Column:
+    return fill(V.CARD_LENGTH, v=F.format_number(col(wc), 0), pages=page_band(wc))
 
 
 def book_card(title, author, wc, content) -> Column:
     """Structured text standing for a whole work."""
     return let(excerpt(F.coalesce(col(content), F.lit(""))), lambda ex: F.concat_ws(
-        "\n",
-        F.concat(F.lit("Tác phẩm: "), strip(title)),
-        F.concat(F.lit("Tác giả: "), strip(author)),
-        F.concat(F.lit("Độ dài: "), F.format_number(col(wc), 0), F.lit(" từ ("), page_band(wc), F.lit(")")),
-        F.lit("Ngôn ngữ: Tiếng Việt"),
-        F.lit("Nguồn: Kho lưu trữ văn học (archive)"),
-        F.when(ex != "", F.concat(F.lit("Trích đoạn mở đầu: "), ex)),
-    ))
+        "\n", fill(V.CARD_WORK, v=strip(title)), fill(V.CARD_AUTHOR, v=strip(author)), _card_length(wc),
+        F.lit(V.CARD_LANGUAGE), F.lit(V.CARD_SOURCE), F.when(ex != "", fill(V.CARD_EXCERPT, v=ex))))
 
 
 def summary_card(title, author, wc, summary, genre, audience) -> Column:
@@ -132,16 +129,9 @@ def summary_card(title, author, wc, summary, genre, audience) -> Column:
     author = F.when(col(author) == "", F.lit(V.UNKNOWN_AUTHOR)).otherwise(
         F.coalesce(col(author), F.lit(V.UNKNOWN_AUTHOR)))
     return F.concat_ws(
-        "\n",
-        F.concat(F.lit("Tác phẩm: "), col(title)),
-        F.concat(F.lit("Tác giả: "), author),
-        F.when(col(genre) != "", F.concat(F.lit("Thể loại: "), col(genre))),
-        F.when(col(audience) != "", F.concat(F.lit("Đối tượng: "), col(audience))),
-        F.concat(F.lit("Độ dài: "), F.format_number(col(wc), 0), F.lit(" từ ("), page_band(wc), F.lit(")")),
-        F.lit("Ngôn ngữ: Tiếng Việt"),
-        F.lit("Nguồn: Kho lưu trữ văn học (archive)"),
-        F.concat(F.lit("Tóm tắt: "), col(summary)),
-    )
+        "\n", fill(V.CARD_WORK, v=col(title)), fill(V.CARD_AUTHOR, v=author),
+        F.when(col(genre) != "", fill(V.CARD_GENRE, v=col(genre))), F.when(col(audience) != "", fill(V.CARD_AUDIENCE, v=col(audience))),
+        _card_length(wc), F.lit(V.CARD_LANGUAGE), F.lit(V.CARD_SOURCE), fill(V.CARD_SUMMARY, v=col(summary)))
 
 
 def body_excerpt(c: Column | str, limit: int = V.BODY_EXCERPT_CHARS) -> Column:

@@ -10,6 +10,7 @@ from shelfspark.functions.fold import author_key, norm_title
 from shelfspark.functions.ids import uuid5
 from shelfspark.functions.extract import classify_entity
 from shelfspark.functions.text import nonblank, strip, word_count
+from shelfspark.session import fill
 
 #: Columns a source record may carry; missing ones are added as null.
 RECORD_FIELDS = {
@@ -116,14 +117,12 @@ def merge_entities(records: DataFrame, *, use_gbooks_text: bool = True) -> DataF
 
 def inject_metadata(entities: DataFrame) -> DataFrame:
     """One chunk per entity: bracketed header, optional generated summary, body; cut when long."""
-    tag = lambda name, c: F.when(c != "", F.concat(F.lit(f"[{name}: "), c, F.lit("]")))
-    length = F.when(F.coalesce(F.col("archive_words"), F.lit(0)) != 0,
-                    F.concat(F.lit("[Độ dài tác phẩm: ~"), F.col("archive_words").cast("string"), F.lit(" từ]")))
-    header = F.concat_ws(" | ", F.concat(F.lit("[Tiêu đề: "), "title", F.lit("]")), tag("Tác giả", F.col("author")),
-                         tag("Năm xuất bản", F.col("year")), tag("Thể loại", F.array_join("genres", ", ")),
-                         tag("Nhà xuất bản", F.col("publisher")), length)
+    tag = lambda template, c: F.when(c != "", fill(template, v=c))
+    words = F.when(F.coalesce(F.col("archive_words"), F.lit(0)) != 0, fill(V.HEADER_LENGTH, v=F.col("archive_words").cast("string")))
+    header = F.concat_ws(" | ", fill(V.HEADER_TITLE, v=F.col("title")), tag(V.HEADER_AUTHOR, F.col("author")), tag(V.HEADER_YEAR, F.col("year")),
+                         tag(V.HEADER_GENRE, F.array_join("genres", ", ")), tag(V.HEADER_PUBLISHER, F.col("publisher")), words)
     extra = F.when((F.col("ai_summary") != "") & ~F.col("summary").contains(F.col("ai_summary")),
-                   F.concat(F.lit("Tóm tắt AI: "), "ai_summary", F.lit("\n\n"))).otherwise(F.lit(""))
+                   fill(V.HEADER_AI_SUMMARY, v=F.col("ai_summary"))).otherwise(F.lit(""))
     full = F.concat(header, F.lit("\n\n"), extra, F.lit(f"{V.DETAIL_MARKER}\n"), "summary")
     out = entities.withColumn("text", full).withColumn("text", F.when(
         F.length("text") > V.ENTITY_TEXT_CHARS, F.concat(F.substring("text", 1, V.ENTITY_TEXT_CHARS), F.lit("..."))).otherwise(F.col("text")))

@@ -10,7 +10,7 @@ from shelfspark import fixed_values as V
 from shelfspark.config import MemoryConfig, SearchConfig
 from shelfspark.functions.text import estimate_tokens, prefix, strip
 from shelfspark.operators.keyed import top_per_key
-from shelfspark.session import let
+from shelfspark.session import fill, let
 
 
 def history_line(role: Column, text: Column, max_chars: int) -> Column:
@@ -96,39 +96,36 @@ def fit_memory(messages: DataFrame, cfg: MemoryConfig = MemoryConfig(), *, syste
 
 
 def build_prompts(contexts: DataFrame, queries: DataFrame, system: str = "", warning: str = "",
-                  memory_note: str = "", history: DataFrame | None = None, cfg: SearchConfig = SearchConfig()) -> DataFrame:
-    """Prompt text per query from its numbered contexts (at most top_k per query)."""
-    block = F.concat(F.lit("\n--- Nguồn ["), F.col("source_idx").cast("string"), F.lit("] ---\nTài liệu: "),
-                     F.coalesce("title", F.lit("Không rõ")), F.lit(" | Tác giả: "), F.coalesce("author", F.lit("Không rõ")),
-                     F.lit("\n"), F.substring("text", 1, cfg.context_chars), F.lit("\n"))
+                  memory_note: str = "", history: DataFrame | None = None, cfg: SearchConfig = SearchConfig(),
+                  summary_note: str = "") -> DataFrame:
+    """Prompt text per query from its numbered contexts (at most top_k per query).
+
+    ``history(query_id, history[, summary])`` adds the running summary of what left the
+    window and the verbatim turns, each under its own note.
+    """
+    block = fill(V.PROMPT_SOURCE, n=F.col("source_idx").cast("string"), title=F.coalesce("title", F.lit(V.NO_TITLE)),
+                 author=F.coalesce("author", F.lit(V.NO_AUTHOR)), text=F.substring("text", 1, cfg.context_chars))
     per = contexts.withColumn("_b", block).groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("source_idx", "_b"))).alias("c"), F.max("low_confidence").alias("low"))
     q = queries.select("query_id", "query").join(per, "query_id", "left")
-    hist = F.lit("")
+    past = F.lit("")
     if history is not None:
-        q = q.join(history.select("query_id", "history"), "query_id", "left")
-        hist = F.when(F.coalesce("history", F.lit("")) != "", F.concat(F.lit(memory_note), "history", F.lit("\n\n"))).otherwise(F.lit(""))
+        if "summary" not in history.columns:
+            history = history.withColumn("summary", F.lit(""))
+        q = q.join(history.select("query_id", "history", "summary"), "query_id", "left")
+        part = lambda note, c: F.when(strip(F.coalesce(F.col(c), F.lit(""))) != "", F.concat(F.lit(note), F.col(c), F.lit("\n\n"))).otherwise(F.lit(""))
+        past = F.concat(part(summary_note, "summary"), part(memory_note, "history"))
     body = F.array_join(F.transform(F.coalesce("c", F.array().cast("array<struct<source_idx:long,_b:string>>")), lambda s: s["_b"]), "")
     note = F.when(F.coalesce("low", F.lit(False)), F.lit(warning)).otherwise(F.lit(""))
-    prompt = F.concat(F.lit(f"{system}\n\n"), hist, F.lit("=== [NGỮ CẢNH] — CÁC ĐOẠN VĂN BẢN LIÊN QUAN ==="), note,
-                      F.lit("\n"), body, F.lit("\n=== CÂU HỎI ===\n"), "query", F.lit("\n\n=== CÂU TRẢ LỜI ==="))
+    prompt = F.concat(F.lit(f"{system}\n\n"), past, F.lit(V.PROMPT_CONTEXT_HEAD), note, F.lit("\n"), body, fill(V.PROMPT_QUESTION, query=F.col("query")))
     return q.select("query_id", prompt.alias("prompt")).withColumn("prompt_tokens", estimate_tokens("prompt"))
 
 
 def fallback_questions(title: Column, author: Column, has_context: Column, n: int = 3) -> Column:
     """Template questions for when no question generator is available."""
-    t = F.coalesce(title, F.lit("tác phẩm này"))
-    a = F.coalesce(author, F.lit("tác giả này"))
-    about = F.array(
-        F.concat(F.lit("Tóm tắt nội dung của '"), t, F.lit("'?")),
-        F.concat(F.lit("Tác giả "), a, F.lit(" còn viết những tác phẩm nào khác?")),
-        F.concat(F.lit("Những tác phẩm tương tự '"), t, F.lit("' là gì?")),
-        F.concat(F.lit("Ý nghĩa và giá trị của '"), t, F.lit("' trong văn học Việt Nam?")),
-        F.concat(F.lit("Giai đoạn sáng tác của "), a, F.lit(" là khi nào?")))
-    general = F.array(*[F.lit(s) for s in (
-        "Các tác phẩm văn học Việt Nam nổi tiếng nhất là gì?",
-        "Những tác giả văn học Việt Nam tiêu biểu?",
-        "Văn học Việt Nam giai đoạn 1930–1945 có những đặc điểm gì?")])
+    t, a = F.coalesce(title, F.lit(V.THIS_WORK)), F.coalesce(author, F.lit(V.THIS_AUTHOR))
+    about = F.array(*[fill(q, title=t, author=a) for q in V.QUESTIONS_ABOUT])
+    general = F.array(*[F.lit(q) for q in V.QUESTIONS_GENERAL])
     return F.slice(F.when(has_context, about).otherwise(general), 1, n)
 
 

@@ -76,6 +76,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fill(template: str, **values: Column) -> Column:
+    """A text template with its ``{name}`` places filled by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p])
+
+
 def explode_once(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
     """Explode a computed array without computing it twice.
 
