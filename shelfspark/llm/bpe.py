@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import csr_gather
+from shelfspark.llm.common import csr_gather, materialize
 
 #: Words of the lexicon and bytes of the longest of them.
 LEXICON_WORDS = 32_768
@@ -379,10 +379,20 @@ def word_counts(docs: DataFrame, vocab_path: str, *, text_col: str = "text") ->
 
 
 def build_lexicon(docs: DataFrame, vocab_path: str, *, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The compiled automaton of the most frequent words; its size is bounded by ``words``."""
+    """The compiled automaton of the most frequent words; its size is bounded by ``words``.
+
+    The smallest count that still counts as frequent comes from a histogram of the counts, so
+    no task sorts words and the driver receives the chosen ones only."""
     vocab = vocabulary(vocab_path)
-    top = (word_counts(docs, vocab_path, text_col=text_col).filter(F.octet_length("word") <= LEXICON_BYTES)
-           .orderBy(F.desc("n"), "word").limit(words).collect())
+    counts = materialize(word_counts(docs, vocab_path, text_col=text_col).filter((F.col("n") > 1) & (F.octet_length("word") <= LEXICON_BYTES)), "words")
+    step = F.floor(F.log2("n") * 16).cast("int")
+    room, least = words, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    top = [] if least is None else counts.filter(step >= least).select("word").collect()
     raw = [r["word"].encode() for r in top if r["word"] not in vocab.special]
     return compile_lexicon(raw, [vocab.merge(w) for w in raw])
 
