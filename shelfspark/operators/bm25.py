@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.config import Bm25Config
 from shelfspark.functions.fold import term_counts, tokenize
 from shelfspark.operators.keyed import top_per_key
-from shelfspark.session import explode_once, materialize, small_side
+from shelfspark.session import BROADCAST_MAX_ROWS, explode_once, materialize, small_side
 
 
 @dataclass(frozen=True)
@@ -47,11 +50,14 @@ class LexicalIndex:
     ``vocabulary(term, df)``.
 
     Partitioned by document, so one scan scores a document against every query; the
-    vocabulary is a partial-aggregated count over it.
+    vocabulary is a partial-aggregated count over it. A saved index also has
+    ``by_term(term, doc_id, dl, tf)``, the postings in ranges of terms, sorted: a few queries
+    read the row groups of their own words only.
     """
 
     doc_terms: DataFrame
     vocabulary: DataFrame
+    by_term: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LexicalIndex:
@@ -74,6 +80,8 @@ class LexicalIndex:
         self.doc_terms.write.mode("overwrite").parquet(f"{path}/doc_terms")
         saved = LexicalIndex.of_terms(self.doc_terms.sparkSession.read.parquet(f"{path}/doc_terms"))
         saved.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        (saved.postings().select("term", "doc_id", "dl", "tf").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+         .write.mode("overwrite").parquet(f"{path}/by_term"))
 
     def save_table(self, table: str, buckets: int) -> None:
         """Bucketed by document: scoring then aggregates per document without a shuffle."""
@@ -84,7 +92,7 @@ class LexicalIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
-        return cls(spark.read.parquet(f"{path}/doc_terms"), spark.read.parquet(f"{path}/vocabulary"))
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("doc_terms", "vocabulary", "by_term")])
 
     @classmethod
     def load_table(cls, spark: SparkSession, table: str) -> LexicalIndex:
@@ -117,17 +125,100 @@ class LexicalIndex:
 def search(index: LexicalIndex, queries: Queries, k: int, cfg: Bm25Config = Bm25Config()) -> DataFrame:
     """(query_id, doc_id, score, rank) of the best ``k`` matching documents per query.
 
-    Query words are a checked broadcast, so postings meet them in the scan task and the
-    partial aggregate leaves one row per (document, query) before the only wide shuffle.
+    A document stands in one row, so it is scored against all queries where it is read and a
+    task hands on its best ``k`` documents per query: no row per (query, document) is shuffled.
+    Up to FEW_QUERIES queries against a saved index read the postings of their words only.
+    Query words that are too many to be sent to the tasks meet the postings by a shuffle.
     Documents without any query word are not returned.
     """
     stats = index.term_stats(cfg)
-    weights = stats.join(queries.small_terms(queries.terms()), "term").select(
-        "term", "query_id", (F.col("qtf") * F.col("idf")).alias("w"))
-    avgdl = index.corpus().select("avgdl").scalar()
-    tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
-    part = F.col("w") * tf * F.lit(cfg.k1 + 1) / (
-        tf + F.lit(cfg.k1) * (F.lit(1 - cfg.b) + F.lit(cfg.b) * dl / avgdl))
-    scored = (index.postings().join(queries.small_terms(weights), "term").withColumn("part", part)
-              .groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")))
+    weights = stats.join(queries.small_terms(queries.terms()), "term").select("term", "query_id", (F.col("qtf") * F.col("idf")).alias("w"))
+    avgdl = index.corpus().select("avgdl")
+    few = index.by_term is not None and queries.rows <= FEW_QUERIES
+    if few or (queries.chars // 3 + queries.rows) > BROADCAST_MAX_ROWS:
+        postings = index.postings()
+        if few:
+            words = [r["term"] for r in queries.terms().select("term").distinct().collect()]
+            postings = index.by_term.filter(F.col("term").isin(words))
+        tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
+        part = F.col("w") * tf * F.lit(cfg.k1 + 1) / (tf + F.lit(cfg.k1) * (F.lit(1 - cfg.b) + F.lit(cfg.b) * dl / avgdl.scalar()))
+        scored = (postings.join(queries.small_terms(weights), "term").withColumn("part", part)
+                  .groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")))
+    else:
+        mean = avgdl.first()["avgdl"]
+        scored = _scored_in_tasks(index.doc_terms, weights, float(mean or 1.0), k, cfg)
     return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+
+
+#: Queries that read postings by term; pairs of a posting and a query computed at once.
+FEW_QUERIES = 16
+_PAIRS = 1 << 21
+
+
+def _scored_in_tasks(doc_terms: DataFrame, weights: DataFrame, avgdl: float, k: int, cfg: Bm25Config) -> DataFrame:
+    """The best ``k`` documents per query of every task; the weights are bounded by the query texts."""
+    rows = weights.orderBy("term", "query_id").toArrow()
+    terms, start = [], []
+    for i, t in enumerate(rows.column("term").to_pylist()):
+        if not terms or terms[-1] != t:
+            terms.append(t)
+            start.append(i)
+    asked = rows.column("query_id").to_pylist()
+    ids = list(dict.fromkeys(asked))
+    number = {q: i for i, q in enumerate(ids)}
+    query = np.array([number[q] for q in asked], np.int64)
+    shared = doc_terms.sparkSession.sparkContext.broadcast((terms, np.array([*start, len(rows)]), query, rows.column("w").to_numpy(), ids))
+    kinds = {f.name: f.dataType.simpleString() for f in [weights.schema["query_id"], doc_terms.schema["doc_id"]]}
+    q_type = rows.schema.field("query_id").type
+
+    def run(batches):
+        words, first, q_of, w_of, q_ids = shared.value
+        value_set = pa.array(words, pa.string())
+        best = None
+        for b in batches:
+            for at in range(0, len(b), 512):
+                best = _best_of(b.slice(at, 512), value_set, first, q_of, w_of, avgdl, k, cfg, best)
+        if best is not None and len(best[0]):
+            q, score, docs = best
+            yield pa.RecordBatch.from_arrays([pa.array([q_ids[i] for i in q], q_type), docs, pa.array(score)], ["query_id", "doc_id", "raw"])
+    found = doc_terms.select("doc_id", "dl", "terms").mapInArrow(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, raw double")
+    return found.select("query_id", "doc_id", F.round("raw", 6).alias("score"))
+
+
+def _best_of(b, value_set, first, q_of, w_of, avgdl, k, cfg, best):
+    """The best so far, with the rows of one slice of documents added."""
+    lists = b.column("terms")
+    flat = lists.flatten()
+    doc = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    hit = pc.fill_null(pc.index_in(flat.field("term"), value_set), -1).to_numpy(zero_copy_only=False)
+    seen = np.flatnonzero(hit >= 0)
+    term, doc = hit[seen], doc[seen]
+    tf = flat.field("tf").to_numpy(zero_copy_only=False)[seen].astype(float)
+    dl = b.column("dl").to_numpy(zero_copy_only=False).astype(float)
+    part = tf * (cfg.k1 + 1) / (tf + cfg.k1 * ((1 - cfg.b) + cfg.b * dl[doc] / avgdl))
+    many = first[term + 1] - first[term]
+    ends = np.cumsum(many)
+    cuts = np.searchsorted(ends, np.arange(_PAIRS, ends[-1] + _PAIRS, _PAIRS)) + 1 if len(ends) else []
+    keys, sums, lo = [], [], 0
+    n_q = int(q_of.max()) + 1 if len(q_of) else 1
+    for hi in cuts:  # postings of about _PAIRS pairs with queries at once
+        m = many[lo:hi]
+        pick = np.repeat(first[term[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        key, back = np.unique(np.repeat(doc[lo:hi], m) * n_q + q_of[pick], return_inverse=True)
+        keys.append(key)
+        sums.append(np.bincount(back, np.repeat(part[lo:hi], m) * w_of[pick], len(key)))
+        lo = hi
+    if not keys:
+        return best
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    score = np.bincount(back, np.concatenate(sums), len(key))
+    q, docs = key % n_q, b.column("doc_id").take(pa.array(key // n_q))
+    if best is not None:
+        q, score, docs = np.r_[best[0], q], np.r_[best[1], score], pa.concat_arrays([best[2], docs])
+    place = pc.rank(docs, tiebreaker="dense").to_numpy()
+    order = np.lexsort((place, -np.round(score, 6), q))
+    q_sorted = q[order]
+    begin = np.flatnonzero(np.r_[True, q_sorted[1:] != q_sorted[:-1]])
+    rank = np.arange(len(q_sorted)) - np.repeat(begin, np.diff(np.r_[begin, len(q_sorted)]))
+    order = order[rank < k]
+    return q[order], score[order], docs.take(pa.array(order))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from shelfspark.operators import evaluate, retrieve, vectors
 from shelfspark.operators.bm25 import LexicalIndex, Queries, search
 from shelfspark.plans.registry import sql as S
 from shelfspark.plans.search import Library
+from shelfspark.session import shared_dir
 from shelfspark.sources.tables import load
 
 K = 10
@@ -100,6 +103,15 @@ def bm25_topk(spark, d):
     return search(LexicalIndex.build(_docs(spark, d)).stored(), _queries(spark, d), K)
 
 
+def bm25_single(spark, d):
+    """One query against a saved index, read by term: the first passage."""
+    path = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    LexicalIndex.build(_docs(spark, d)).save(path)
+    one = load(spark, d, "benchmark", "item_id", "text").orderBy("item_id").limit(1)
+    return search(LexicalIndex.load(spark, path), Queries.of(one, "item_id", "text"), K)
+
+
+SQL_SINGLE = f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank < {K} AND query_id = (SELECT min(item_id) FROM benchmark)"
 SQL_BM25 = f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank < {K}"
 
 
@@ -232,6 +244,7 @@ SQL_EVAL = f"{_EVAL} SELECT mode, k, query_type, {_AVG} FROM mt GROUP BY 1, 2, 3
 ENTRIES = {
     "bm25_terms": (bm25_terms, SQL_TERM),
     "bm25_corpus": (bm25_corpus, SQL_CORPUS),
+    "bm25_single": (bm25_single, SQL_SINGLE),
     "bm25_topk": (bm25_topk, SQL_BM25),
     "knn_centroids": (knn_centroids, SQL_KNN),
     "vector_topk": (vector_topk, SQL_VECTOR),

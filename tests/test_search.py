@@ -70,6 +70,18 @@ def test_saved_index_gives_the_same_result(spark, docs, queries, tmp_path):
     assert rows(search(LexicalIndex.load(spark, str(tmp_path / "ix")), queries, 5), "query_id", "rank", "doc_id", "score") == base
 
 
+def test_documents_are_scored_where_they_are_read(spark, docs, queries, tmp_path):
+    index = LexicalIndex.build(docs).stored()
+    plan = search(index, queries, 5)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and all("doc_id" not in line for line in shuffled) and "MapInArrow" in plan
+    index.save(str(tmp_path / "ix"))
+    saved = LexicalIndex.load(spark, str(tmp_path / "ix"))
+    few = Queries(queries.df, queries.rows, queries.chars)
+    plan = search(saved, few, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan or "PushedFilters: [IsNotNull(term), In(term" in plan or "In(term" in plan
+
+
 def test_bucketed_index_scores_without_shuffling_postings(spark, docs, queries):
     LexicalIndex.build(docs).save_table("shelf_ix", 4)
     found = search(LexicalIndex.load_table(spark, "shelf_ix"), queries, 5)
