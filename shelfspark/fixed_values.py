@@ -266,6 +266,13 @@ DETAIL_MARKER = "Nội dung chi tiết:"
 NO_TITLE, NO_AUTHOR = "Không rõ", "Không rõ"
 THIS_WORK, THIS_AUTHOR = "tác phẩm này", "tác giả này"
 PROMPT_CONTEXT_HEAD = "=== [NGỮ CẢNH] — CÁC ĐOẠN VĂN BẢN LIÊN QUAN ==="
+SUMMARY_EXTRA_TOKENS = 16
+PROMPT_HISTORY_HEAD = (
+    "=== LỊCH SỬ HỘI THOẠI (chỉ để hiểu ngữ cảnh câu hỏi, KHÔNG phải nguồn dữ kiện) ===\n"
+    "Lưu ý: chỉ dùng lịch sử để hiểu các đại từ/tham chiếu trong câu hỏi "
+    "(ví dụ \"tác giả đó\", \"cuốn này\"); mọi dữ kiện trong câu trả lời vẫn phải "
+    "bám vào phần [NGỮ CẢNH] bên dưới.\n")
+PROMPT_SUMMARY = "Tóm tắt các lượt trước đó: {v}"
 PROMPT_SOURCE = "\n--- Nguồn [{n}] ---\nTài liệu: {title} | Tác giả: {author}\n{text}\n"
 PROMPT_QUESTION = "\n=== CÂU HỎI ===\n{query}\n\n=== CÂU TRẢ LỜI ==="
 QUESTIONS_ABOUT = [

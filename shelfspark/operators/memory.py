@@ -66,12 +66,14 @@ def memory_budget(query_tokens: Column, system_tokens: int, cfg: MemoryConfig) -
 
 def fit_memory(messages: DataFrame, cfg: MemoryConfig = MemoryConfig(), *, system_tokens: int = 0,
                budget: int | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-               text: str = "text") -> DataFrame:
+               text: str = "text", state: DataFrame | None = None) -> DataFrame:
     """Per conversation: where the verbatim history starts so that it fits the budget.
 
     The last message is the current question. Older messages leave two at a time until
-    the formatted rest fits, the last ``2 * min_turns`` always staying. Folding them into
-    a summary is left to the caller, so a summary takes no tokens here.
+    the formatted rest fits, the last ``2 * min_turns`` always staying. With
+    ``state(conv, summarized_idx, summary)`` the count goes on from the given start, and a
+    summary takes its own tokens and SUMMARY_EXTRA_TOKENS of the budget. Folding the messages
+    that leave into the summary is left to the caller.
     """
     line = history_line(F.col(role), F.col(text), cfg.message_chars)
     m = messages.select(conv, turn, F.coalesce(F.length(line), F.lit(0)).cast("long").alias("chars"),
@@ -87,7 +89,14 @@ def fit_memory(messages: DataFrame, cfg: MemoryConfig = MemoryConfig(), *, syste
     limit = F.lit(budget).cast("long") if budget is not None else memory_budget(F.col("last.own_tokens"), system_tokens, cfg)
     kept = F.col("one_after") - 1
     index = F.col("one_total") - F.col("one_after")
-    ok = prior & (index % 2 == 0) & ((tokens <= limit) | (kept <= 2 * cfg.min_turns))
+    begin = F.lit(0)
+    if state is not None:
+        told = strip(F.coalesce("summary", F.lit("")))
+        given = state.select(conv, F.greatest(F.col("summarized_idx"), F.lit(0)).alias("_begin"),
+                             F.when(told != "", estimate_tokens("summary", cfg.chars_per_token) + V.SUMMARY_EXTRA_TOKENS).otherwise(F.lit(0)).alias("_extra"))
+        s = s.join(given, conv, "left").withColumns({"_begin": F.coalesce("_begin", F.lit(0)), "_extra": F.coalesce("_extra", F.lit(0))})
+        begin, tokens = F.least("_begin", F.col("one_total") - 1), (tokens + F.col("_extra")).cast("long")
+    ok = prior & (index >= begin) & ((index - begin) % 2 == 0) & ((tokens <= limit) | (kept <= 2 * cfg.min_turns))
     cut = s.groupBy(conv).agg(
         F.max("one_total").alias("n_messages"), F.min(F.when(ok, F.struct(index.alias("i"), tokens.alias("t")))).alias("cut"))
     start = F.coalesce("cut.i", F.col("n_messages") - 1)
@@ -96,12 +105,11 @@ def fit_memory(messages: DataFrame, cfg: MemoryConfig = MemoryConfig(), *, syste
 
 
 def build_prompts(contexts: DataFrame, queries: DataFrame, system: str = "", warning: str = "",
-                  memory_note: str = "", history: DataFrame | None = None, cfg: SearchConfig = SearchConfig(),
-                  summary_note: str = "") -> DataFrame:
+                  memory_note: str = V.PROMPT_HISTORY_HEAD, history: DataFrame | None = None, cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """Prompt text per query from its numbered contexts (at most top_k per query).
 
-    ``history(query_id, history[, summary])`` adds the running summary of what left the
-    window and the verbatim turns, each under its own note.
+    ``history(query_id, history[, summary])`` adds, under the note, the running summary of what
+    left the window and the verbatim turns.
     """
     block = fill(V.PROMPT_SOURCE, n=F.col("source_idx").cast("string"), title=F.coalesce("title", F.lit(V.NO_TITLE)),
                  author=F.coalesce("author", F.lit(V.NO_AUTHOR)), text=F.substring("text", 1, cfg.context_chars))
@@ -113,8 +121,9 @@ def build_prompts(contexts: DataFrame, queries: DataFrame, system: str = "", war
         if "summary" not in history.columns:
             history = history.withColumn("summary", F.lit(""))
         q = q.join(history.select("query_id", "history", "summary"), "query_id", "left")
-        part = lambda note, c: F.when(strip(F.coalesce(F.col(c), F.lit(""))) != "", F.concat(F.lit(note), F.col(c), F.lit("\n\n"))).otherwise(F.lit(""))
-        past = F.concat(part(summary_note, "summary"), part(memory_note, "history"))
+        filled = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
+        told = F.concat_ws("\n", F.when(filled("summary") != "", fill(V.PROMPT_SUMMARY, v=filled("summary"))), F.when(F.coalesce("history", F.lit("")) != "", F.col("history")))
+        past = F.when(told != "", F.concat(F.lit(memory_note), told, F.lit("\n\n"))).otherwise(F.lit(""))
     body = F.array_join(F.transform(F.coalesce("c", F.array().cast("array<struct<source_idx:long,_b:string>>")), lambda s: s["_b"]), "")
     note = F.when(F.coalesce("low", F.lit(False)), F.lit(warning)).otherwise(F.lit(""))
     prompt = F.concat(F.lit(f"{system}\n\n"), past, F.lit(V.PROMPT_CONTEXT_HEAD), note, F.lit("\n"), body, fill(V.PROMPT_QUESTION, query=F.col("query")))

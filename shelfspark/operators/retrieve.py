@@ -109,6 +109,36 @@ def merge_pool(pool: DataFrame, new: DataFrame, queries: Queries, docs: DataFram
     return top_per_key(final, ["query_id"], [tail, place, F.col("score").desc(), F.col("doc_id")], cfg.pool_max)
 
 
+def retrieve(results: DataFrame, queries: Queries, k: int, pool: DataFrame | None = None, docs: DataFrame | None = None,
+             scorer: Scorer | None = overlap_scorer, cfg: SearchConfig = SearchConfig()) -> tuple[DataFrame, DataFrame]:
+    """Contexts and updated pool of every query: new results, merged with what was found before.
+
+    Contexts are (query_id, status, source_idx, doc_id, score), numbered from 1 and at most
+    ``k``; a query without any keeps one row that says why. The gate on the best score holds for
+    queries without a pool only; 'low_confidence' is judged on the first context after merging.
+    """
+    new = results.select("query_id", "doc_id", "score", "rank")
+    if pool is None:
+        known, merged = None, new
+    else:
+        known = queries.small(pool.select("query_id").distinct())
+        old = merge_pool(pool, new.join(known, "query_id", "left_semi"), queries, docs, scorer, cfg).select("query_id", "doc_id", "score", "rank")
+        fresh = new.join(known, "query_id", "left_anti")
+        merged = old.unionByName(fresh)
+    shut = new.filter((F.col("rank") == 0) & (F.col("score") < cfg.block_below)).select("query_id")
+    if known is not None:
+        shut = shut.join(known, "query_id", "left_anti")
+    shut = queries.small(shut)
+    merged = merged.join(shut, "query_id", "left_anti")
+    first = merged.filter(F.col("rank") == 0).select("query_id", F.col("score").alias("top"))
+    state = (queries.df.select("query_id").join(queries.small(first), "query_id", "left").join(shut.withColumn("shut", F.lit(True)), "query_id", "left")
+             .select("query_id", F.when(F.col("shut"), "blocked").when(F.col("top").isNull(), "empty")
+                     .when(F.col("top") < cfg.warn_below, "low_confidence").otherwise("ok").alias("status")))
+    shown = merged.filter(F.col("rank") < k).select("query_id", (F.col("rank") + 1).alias("source_idx"), "doc_id", "score")
+    contexts = state.join(queries.small(shown, k), "query_id", "left").select("query_id", "status", "source_idx", "doc_id", "score")
+    return contexts, merged.filter(F.col("rank") < cfg.pool_max)
+
+
 def display_percent(results: DataFrame) -> DataFrame:
     """Bar length per result: scores scaled to 12..100 within the query."""
     w = Window.partitionBy("query_id")

@@ -59,6 +59,24 @@ SELECT conv_id, n AS n_messages, CASE WHEN n <= 1 THEN 0 ELSE coalesce(st, n - 1
  CAST(coalesce(tok, 0) AS BIGINT) AS history_tokens FROM n LEFT JOIN c USING (conv_id)"""
 
 
+def memory_resume(spark, d):
+    """The same, going on from an earlier cut and its summary."""
+    m = _messages(spark, d)
+    state = m.select("conv_id").distinct().withColumns({"summarized_idx": F.col("conv_id") % 4, "summary": F.repeat(F.lit("tóm tắt "), (F.col("conv_id") % 30).cast("int"))})
+    return memory.fit_memory(m, budget=256, state=state)
+
+
+SQL_RESUME = f"""
+WITH m AS (SELECT conv_id, turn, {_line()} AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+ p AS (SELECT *, least(conv_id % 4, n - 1) AS b, CASE WHEN conv_id % 30 = 0 THEN 0 ELSE (conv_id % 30 * 8) // 3 + 17 END AS x FROM m WHERE i < n - 1),
+ s AS (SELECT *, coalesce(sum(length(line)) OVER w, 0) + greatest(count(line) OVER w - 1, 0) AS chars, n - 1 - i AS kept FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)),
+ t AS (SELECT *, CASE WHEN chars = 0 THEN 0 ELSE chars // 3 + 1 END + x AS tok FROM s),
+ c AS (SELECT conv_id, min(i) AS st, arg_min(tok, i) AS tok FROM t WHERE i >= b AND (i - b) % 2 = 0 AND (tok <= 256 OR kept <= 2) GROUP BY 1),
+ n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
+SELECT conv_id, n AS n_messages, CASE WHEN n <= 1 THEN 0 ELSE coalesce(st, n - 1) END AS summarized_idx, CASE WHEN n <= 1 THEN 0 ELSE n - 1 - coalesce(st, n - 1) END AS kept,
+ CAST(coalesce(tok, 0) AS BIGINT) AS history_tokens FROM n LEFT JOIN c USING (conv_id)"""
+
+
 def token_totals(spark, d):
     return _messages(spark, d).groupBy("role").agg(F.sum(estimate_tokens("text")).alias("tokens"), F.count(F.lit(1)).alias("n"))
 
@@ -75,15 +93,20 @@ def _contexts(spark, d):
 
 
 def prompts(spark, d):
+    """Prompts with contexts, a summary for some and the history of the conversation of the same number."""
     q, c = _contexts(spark, d)
-    p = memory.build_prompts(c, q.df, "SYSTEM", "\n[low]\n")
+    past = memory.format_history(_messages(spark, d), MemoryConfig(window=2)).select(F.col("conv_id").alias("query_id"), "history")
+    told = q.df.select("query_id").join(past, "query_id", "left").withColumn("summary", F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("S"), F.col("query_id").cast("string"))))
+    p = memory.build_prompts(c, q.df, "SYSTEM", "\n[low]\n", "[memory]\n", told.filter(F.col("query_id") % 4 != 1))
     return p.select("query_id", F.md5("prompt").alias("prompt_md5"), "prompt_tokens")
 
 
-SQL_PROMPTS = f"""WITH {_BM25}, c AS (SELECT query_id, string_agg(chr(10) || '--- Nguồn [' || (rank + 1) || '] ---' || chr(10) || 'Tài liệu: Doc ' || doc_id || ' | Tác giả: Không rõ' || chr(10) || substr(text, 1, 800) || chr(10), '' ORDER BY rank) AS b,
+SQL_PROMPTS = f"""WITH {_BM25}, l AS (SELECT conv_id, turn, {_line()} AS line FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4),
+ h AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS history FROM l WHERE line IS NOT NULL GROUP BY 1),
+ past AS (SELECT item_id AS pid, concat_ws(chr(10), CASE WHEN item_id % 3 = 0 THEN 'Tóm tắt các lượt trước đó: S' || item_id END, nullif(history, '')) AS told FROM benchmark LEFT JOIN h ON conv_id = item_id WHERE item_id % 4 <> 1), c AS (SELECT query_id, string_agg(chr(10) || '--- Nguồn [' || (rank + 1) || '] ---' || chr(10) || 'Tài liệu: Doc ' || doc_id || ' | Tác giả: Không rõ' || chr(10) || substr(text, 1, 800) || chr(10), '' ORDER BY rank) AS b,
   bool_or(score < 30) AS low FROM bm JOIN documents USING (doc_id) WHERE rank < 3 GROUP BY 1),
- p AS (SELECT item_id AS query_id, 'SYSTEM' || chr(10) || chr(10) || '=== [NGỮ CẢNH] — CÁC ĐOẠN VĂN BẢN LIÊN QUAN ===' || CASE WHEN low THEN chr(10) || '[low]' || chr(10) ELSE '' END || chr(10) || coalesce(b, '')
-   || chr(10) || '=== CÂU HỎI ===' || chr(10) || text || chr(10) || chr(10) || '=== CÂU TRẢ LỜI ===' AS p FROM benchmark LEFT JOIN c ON c.query_id = item_id)
+ p AS (SELECT item_id AS query_id, 'SYSTEM' || chr(10) || chr(10) || CASE WHEN coalesce(told, '') <> '' THEN '[memory]' || chr(10) || told || chr(10) || chr(10) ELSE '' END || '=== [NGỮ CẢNH] — CÁC ĐOẠN VĂN BẢN LIÊN QUAN ===' || CASE WHEN low THEN chr(10) || '[low]' || chr(10) ELSE '' END || chr(10) || coalesce(b, '')
+   || chr(10) || '=== CÂU HỎI ===' || chr(10) || text || chr(10) || chr(10) || '=== CÂU TRẢ LỜI ===' AS p FROM benchmark LEFT JOIN c ON c.query_id = item_id LEFT JOIN past ON pid = item_id)
 SELECT query_id, md5(p) AS prompt_md5, length(p) // 3 + 1 AS prompt_tokens FROM p"""
 
 
@@ -178,6 +201,7 @@ ENTRIES = {
     "last_turns": (last_turns, SQL_LAST),
     "chat_history": (chat_history, SQL_HISTORY),
     "memory_fit": (memory_fit, SQL_FIT),
+    "memory_resume": (memory_resume, SQL_RESUME),
     "token_totals": (token_totals, SQL_TOKENS),
     "prompts": (prompts, SQL_PROMPTS),
     "fallback_questions": (fallback_questions, SQL_FALLBACK),

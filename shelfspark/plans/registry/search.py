@@ -13,7 +13,7 @@ from shelfspark.operators import evaluate, retrieve, vectors
 from shelfspark.operators.bm25 import LexicalIndex, Queries, search
 from shelfspark.plans.registry import sql as S
 from shelfspark.plans.search import Library
-from shelfspark.session import shared_dir
+from shelfspark.session import materialize, shared_dir
 from shelfspark.sources.tables import load
 
 K = 10
@@ -198,6 +198,25 @@ SQL_GATED = f"""{_RERANK}, st AS (SELECT b.item_id AS query_id, CASE WHEN r.scor
 SELECT st.query_id, status, r.rank + 1 AS source_idx, r.doc_id, r.score FROM st LEFT JOIN rr r ON r.query_id = st.query_id AND r.rank < 5 AND status IN ('ok', 'low_confidence')"""
 
 
+def retrieved_contexts(spark, d):
+    """Lexical results gated and numbered; every second query merges them with an earlier pool."""
+    q = _queries(spark, d)
+    found = materialize(_library(spark, d).lexical(q, 8), "found")
+    pool = found.filter((F.col("rank") >= 3) & (F.col("query_id") % 2 == 0)).select("query_id", "doc_id", (F.col("score") * 2).alias("score"))
+    contexts, _ = retrieve.retrieve(found.filter("rank < 5"), q, 4, pool, scorer=None, cfg=SearchConfig(block_below=25.0, warn_below=40.0))
+    return contexts
+
+
+SQL_RETRIEVED = f"""WITH {_BM25}, new AS (SELECT * FROM bm WHERE rank < 5), pool AS (SELECT query_id, doc_id, score * 2 AS score FROM bm WHERE rank BETWEEN 3 AND 7 AND query_id % 2 = 0),
+ pq AS (SELECT DISTINCT query_id FROM pool), shut AS (SELECT query_id FROM new WHERE rank = 0 AND score < 25 AND query_id NOT IN (SELECT query_id FROM pq)),
+ u AS (SELECT query_id, doc_id, score FROM new WHERE query_id IN (SELECT query_id FROM pq) UNION ALL SELECT p.* FROM pool p WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.query_id = p.query_id AND n.doc_id = p.doc_id)),
+ m AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM u
+  UNION ALL SELECT query_id, doc_id, score, rank FROM new WHERE query_id NOT IN (SELECT query_id FROM pq) AND query_id NOT IN (SELECT query_id FROM shut)),
+ st AS (SELECT item_id AS query_id, CASE WHEN item_id IN (SELECT query_id FROM shut) THEN 'blocked' WHEN m.score IS NULL THEN 'empty' WHEN m.score < 40 THEN 'low_confidence' ELSE 'ok' END AS status
+  FROM benchmark LEFT JOIN m ON m.query_id = item_id AND m.rank = 0)
+SELECT st.query_id, status, m.rank + 1 AS source_idx, doc_id, score FROM st LEFT JOIN m ON m.query_id = st.query_id AND m.rank < 4"""
+
+
 def score_bars(spark, d):
     return retrieve.display_percent(_library(spark, d).lexical(_queries(spark, d), K)).select("query_id", "doc_id", "bar_pct")
 
@@ -208,18 +227,23 @@ SQL_BARS = f"""WITH {_BM25} SELECT query_id, doc_id, CAST(floor(CASE WHEN max(sc
 
 # ------------------------------------------------------------------ evaluation
 def _tests(spark, d) -> DataFrame:
-    """Each passage with its two longest words as expected keywords."""
+    """Each passage with its two longest words and a source name as expected keywords."""
     b = load(spark, d, "benchmark", "item_id", "text")
     longest = F.array_sort(F.array_distinct(F.transform(words(F.lower("text")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))))
     kind = F.element_at(F.array(F.lit("FACTUAL"), F.lit("AUTHOR"), F.lit("SEMANTIC")), (F.length("text") % 3 + 1).cast("int"))
     return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), kind.alias("query_type"),
-                    F.slice(F.transform(longest, lambda s: s["w"]), 1, 2).alias("keywords"))
+                    F.concat(F.slice(F.transform(longest, lambda s: s["w"]), 1, 2), F.array(F.concat(F.lit("SRC"), (F.col("item_id") % 20).cast("string")))).alias("keywords"))
+
+
+def _told(spark, d) -> Library:
+    """The documents with their source, which counts for relevance as well."""
+    return Library.build(load(spark, d, "documents", "doc_id", "text", "source"))
 
 
 _EVAL = f"""{_RERANK}, ts AS (SELECT item_id AS query_id, ['FACTUAL', 'AUTHOR', 'SEMANTIC'][length(text) % 3 + 1] AS query_type,
-  [x.w FOR x IN list_slice(list_sort(list_distinct([struct_pack(n := -length(w), w := w) FOR w IN {S.words('lower(text)')}])), 1, 2)] AS kw FROM benchmark),
+  [x.w FOR x IN list_slice(list_sort(list_distinct([struct_pack(n := -length(w), w := w) FOR w IN {S.words('lower(text)')}])), 1, 2)] || ['src' || item_id % 20] AS kw FROM benchmark),
  res AS ({_modes('query_id, doc_id, rank')}),
- fl AS (SELECT mode, r.query_id, rank, len([k FOR k IN kw IF contains(lower(d.text), k)]) > 0 AS rel FROM res r JOIN ts USING (query_id) JOIN documents d USING (doc_id)),
+ fl AS (SELECT mode, r.query_id, rank, len([k FOR k IN kw IF contains(lower(d.text || ' ' || d.source), k)]) > 0 AS rel FROM res r JOIN ts USING (query_id) JOIN documents d USING (doc_id)),
  qm AS (SELECT m.mode, ts.query_id, query_type, k.k, count(*) FILTER (rel AND rank < k.k) AS hits, count(rank) FILTER (rank < k.k) AS got, min(rank) FILTER (rel) AS fh
   FROM ts CROSS JOIN (SELECT unnest(['bm25', 'vector', 'hybrid', 'hybrid_rerank']) AS mode) m CROSS JOIN (SELECT unnest([1, 3, 5, 10]) AS k) k
   LEFT JOIN fl ON fl.query_id = ts.query_id AND fl.mode = m.mode GROUP BY 1, 2, 3, 4),
@@ -227,7 +251,7 @@ _EVAL = f"""{_RERANK}, ts AS (SELECT item_id AS query_id, ['FACTUAL', 'AUTHOR',
 
 
 def eval_per_query(spark, d):
-    m = _library(spark, d).evaluate(_tests(spark, d))
+    m = _told(spark, d).evaluate(_tests(spark, d))
     return m.select("mode", "query_id", "query_type", "k", *[F.round(c, 6).alias(c) for c in ("precision", "recall_simplified", "f1", "mrr")], "n_retrieved", "n_relevant")
 
 
@@ -235,7 +259,7 @@ SQL_EVAL_Q = f"{_EVAL} SELECT mode, query_id, query_type, k, round(precision, 6)
 
 
 def eval_averages(spark, d):
-    return evaluate.macro_average(_library(spark, d).evaluate(_tests(spark, d)))
+    return evaluate.macro_average(_told(spark, d).evaluate(_tests(spark, d)))
 
 
 _AVG = "count(*) AS n_queries, round(avg(precision), 6) AS precision, round(avg(precision), 6) AS recall_simplified, round(avg(precision), 6) AS f1, round(avg(mrr), 6) AS mrr"
@@ -244,6 +268,7 @@ SQL_EVAL = f"{_EVAL} SELECT mode, k, query_type, {_AVG} FROM mt GROUP BY 1, 2, 3
 ENTRIES = {
     "bm25_terms": (bm25_terms, SQL_TERM),
     "bm25_corpus": (bm25_corpus, SQL_CORPUS),
+    "retrieved_contexts": (retrieved_contexts, SQL_RETRIEVED),
     "bm25_single": (bm25_single, SQL_SINGLE),
     "bm25_topk": (bm25_topk, SQL_BM25),
     "knn_centroids": (knn_centroids, SQL_KNN),

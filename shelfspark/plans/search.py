@@ -28,12 +28,14 @@ class Library:
               store: bool = True, **kw) -> Library:
         """Index a text table. ``store`` writes index and vectors once for repeated use."""
         embedder = embedder or vectors.hashing_embedder()
-        d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        told = [F.col(f.name) for f in docs.schema.fields if f.name not in (doc_id, text, "doc_id", "text")]
+        full = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *told)
+        d = full.select("doc_id", "text")
         index = LexicalIndex.build(d)
         vecs = vectors.embed(d, embedder, "text").select("doc_id", "embedding")
         if store:
             index, vecs = index.stored(), materialize(vecs, "vectors")
-        return cls(d, index, vecs, embedder, **kw)
+        return cls(full, index, vecs, embedder, **kw)
 
     def lexical(self, q: Queries, k: int) -> DataFrame:
         return bm25.search(self.index, q, k, self.bm25_cfg)
@@ -85,7 +87,10 @@ class Library:
         """Per (mode, query, k) metrics of ``tests(query_id, query, query_type, keywords)``."""
         q = Queries.of(tests)
         found = self.compare(q, max(ks), modes)
-        texted = retrieve.attach_text(found, self.docs, q, max(ks) * len(modes))
+        # A result is judged by its text and by everything else that is told about it in words.
+        told = [f.name for f in self.docs.schema.fields if f.dataType.simpleString() == "string" and f.name not in ("text", "doc_id")]
+        all_of_it = F.concat_ws(" ", "text", *told).alias("text")
+        texted = retrieve.attach_text(found, self.docs.select("doc_id", all_of_it), q, max(ks) * len(modes))
         flags = texted.join(q.small(tests.select("query_id", "keywords")), "query_id").select(
             "mode", "query_id", "rank", evaluate.is_relevant(F.col("text"), F.col("keywords")).alias("relevant"))
         ran = tests.select(F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"), "query_id", "query_type")
