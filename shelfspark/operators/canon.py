@@ -8,55 +8,37 @@ from pyspark.sql import functions as F
 from shelfspark import fixed_values as V
 from shelfspark.functions.extract import detail_part, has_year
 from shelfspark.functions.fold import audit_norm
-from shelfspark.session import explode_once, let, small_side
+from shelfspark.session import explode_once, materialize, small_side
 
-_CLASSES = (1, 2, 4, 8)
-#: Longest phrase list that is compared inside the row of a text.
-_INLINE_PHRASES = 2000
 
+def _words(df: DataFrame, norm: str, *keep: str) -> DataFrame:
+    """One row per distinct word of every text."""
+    return explode_once(df, F.array_distinct(F.split(norm, " ")), "word", *keep).filter("word <> ''")
 
-def _phrases(df: DataFrame, key: str, norm: str) -> DataFrame:
-    """Key, words and the anchor (hash of the first ``w`` words, w the largest class that fits)."""
-    n = F.size("_w")
-    width = F.lit(1)
-    for c in _CLASSES[1:]:
-        width = F.when(n >= c, F.lit(c)).otherwise(width)
-    return (df.withColumn("_w", F.split(norm, " ")).withColumn("width", width)
-            .select(key, norm, "width", F.xxhash64(F.array_join(F.slice("_w", F.lit(1), F.col("width")), " ")).alias("anchor")))
 
+def _measured(df: DataFrame, name: str, bytes_per_row: int = 96) -> DataFrame:
+    """The table, written; sent to all tasks where its counted rows are few enough."""
+    df = materialize(df, name)
+    return small_side(df, df.count(), bytes_per_row)
 
-def _runs(words: Column, width: int) -> Column:
-    """Hashes of the distinct runs of ``width`` neighbouring words: eight bytes per position."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
 
-
-def _contained(phrases: DataFrame, p_key: str, p_norm: str, texts: DataFrame, t_key: str, t_norm: str,
-               rows: int) -> DataFrame:
+def _contained(phrases: DataFrame, p_key: str, p_norm: str, texts: DataFrame, t_key: str, t_norm: str) -> DataFrame:
     """(p_key, t_key): the phrase occurs as whole words in the text.
 
-    Texts and phrases meet on a hash of the first words of the phrase (its anchor); the
-    exact test runs on the few pairs that remain. A short phrase list is intersected with the word
-    runs inside the row of the text, so the corpus is read once and not shuffled; a long
-    one is joined on the anchor.
+    A text that holds a phrase holds its rarest word. The words of the phrases are counted
+    over the texts; a phrase with a word that no text has drops out, every other one meets the
+    texts on its rarest word, and the exact test runs on the pairs that remain. A phrase makes as
+    many candidates as it has words, whatever its length.
     """
-    anchors = _phrases(phrases, p_key, p_norm)
+    vocabulary = _measured(_words(phrases, p_norm).select("word").distinct(), "words")
+    spread = _measured(_words(texts, t_norm, t_key).join(vocabulary, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "spread")
+    anchors = (_words(phrases, p_norm, p_key, p_norm).join(spread, "word").groupBy(p_key, p_norm)
+               .agg(F.count(F.lit(1)).alias("have"), F.min(F.struct("n", "word")).alias("least"))
+               .filter(F.col("have") == F.size(F.array_remove(F.array_distinct(F.split(p_norm, " ")), "")))
+               .select(p_key, p_norm, F.col("least.word").alias("word")))
+    pairs = _measured(_words(texts, t_norm, t_key).join(_measured(anchors, "anchors"), "word").select(p_key, p_norm, t_key), "pairs", 256)
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    if rows <= _INLINE_PHRASES:
-        known: dict[int, list] = {}
-        for r in anchors.select("width", "anchor").distinct().collect():
-            known.setdefault(r["width"], []).append(r["anchor"])
-        found = let(F.split(t_norm, " "), lambda words: F.concat(
-            *[F.array_intersect(F.lit(known[w]), _runs(words, w)) for w in sorted(known)] or [F.array().cast("array<bigint>")]))
-        hit = explode_once(texts, found, "anchor", t_key, t_norm)
-        pairs = hit.join(small_side(anchors, rows), "anchor")
-        return pairs.filter(pad(F.col(t_norm)).contains(pad(F.col(p_norm)))).select(p_key, t_key).distinct()
-    widths = sorted(r["width"] for r in anchors.select("width").distinct().collect())
-    every = let(F.split(t_norm, " "), lambda words: F.flatten(F.array(*[_runs(words, w) for w in widths])))
-    pairs = (explode_once(texts, every, "anchor", t_key).join(small_side(anchors, rows), "anchor")
-             .select(p_key, p_norm, t_key).distinct())
-    return (pairs.join(texts.select(t_key, t_norm), t_key)
-            .filter(pad(F.col(t_norm)).contains(pad(F.col(p_norm)))).select(p_key, t_key))
+    return texts.select(t_key, t_norm).join(pairs, t_key).filter(pad(F.col(t_norm)).contains(pad(F.col(p_norm)))).select(p_key, t_key)
 
 
 def match_titles(canon: DataFrame, titles: DataFrame, *, canon_id: str = "canon_id", title: str = "title",
@@ -70,30 +52,17 @@ def match_titles(canon: DataFrame, titles: DataFrame, *, canon_id: str = "canon_
     c = canon.select(canon_id, audit_norm(title).alias("c_norm"))
     t = titles.select(position, audit_norm(title).alias("t_norm"))
     named, long_c = t.filter(F.col("t_norm") != ""), c.filter(F.length("c_norm") >= 4)
-    # Equal titles, and library titles inside an expected one: every run of words of the
-    # expected titles meets the whole library title, in one pass over the library.
-    runs = _windows_all(c, "c_norm", canon_id, "c_norm").withColumn("exact", F.col("run") == F.col("c_norm"))
-    wanted = F.col("exact") | (F.length("c_norm") >= 4) if both_ways else F.col("exact")
-    runs = runs.filter(wanted).select(canon_id, "run", F.when(F.col("exact"), "exact").otherwise("contains").alias("how"))
-    whole = t.join(small_side(runs, n * 1000), t["t_norm"] == runs["run"]).select(canon_id, position, "how")
-    inside = _contained(long_c, canon_id, "c_norm", named, position, "t_norm", n).withColumn("how", F.lit("contains"))
-    found = whole.unionByName(inside).groupBy(canon_id, "how").agg(F.min(position).alias(position))
+    equal = t.join(small_side(c, n), t["t_norm"] == c["c_norm"]).select(canon_id, position, F.lit("exact").alias("how"))
+    found = equal.unionByName(_contained(long_c, canon_id, "c_norm", named, position, "t_norm").withColumn("how", F.lit("contains")))
+    if both_ways:
+        found = found.unionByName(_contained(named, position, "t_norm", long_c, canon_id, "c_norm").withColumn("how", F.lit("contains")))
+    found = found.groupBy(canon_id, "how").agg(F.min(position).alias(position))
     best = found.groupBy(canon_id).agg(
         F.min_by(F.struct(position, "how"), F.when(F.col("how") == "exact", 0).otherwise(1)).alias("m"))
     return canon.select(canon_id).join(small_side(best, n), canon_id, "left").select(
         canon_id, F.col(f"m.{position}").alias(position), F.coalesce("m.how", F.lit("missing")).alias("how"))
 
 
-def _windows_all(df: DataFrame, norm: str, *keep: str) -> DataFrame:
-    """Every run of words of a short text."""
-    def runs(words: Column) -> Column:
-        n = F.size(words)
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-            F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), " ")))))
-
-    return explode_once(df, let(F.split(norm, " "), runs), "run", *keep)
-
-
 def quality_flags(entries: DataFrame, text: str = "text", author: str = "author") -> DataFrame:
     """Missing author, missing year, junk summary."""
     return entries.select(

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark import session
 from shelfspark.operators import canon, enrich, entity, keyed, quality, taxonomy
 from shelfspark.plans import ingest
 
@@ -138,9 +139,9 @@ def test_fill_rates(spark):
     assert (b["author"]["before"], b["author"]["after"], b["author"]["added"]) == (0, 2, 2)
 
 
-@pytest.mark.parametrize("inline", [2000, 0])
-def test_title_matching_equals_nested_loop(spark, monkeypatch, inline):
-    monkeypatch.setattr(canon, "_INLINE_PHRASES", inline)
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_title_matching_equals_nested_loop(spark, monkeypatch, bound):
+    monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", bound)
     rng = random.Random(7)
     word = lambda: rng.choice(["so", "do", "chi", "pheo", "đất", "Tắt", "đèn", "x"])
     titles = [" ".join(word() for _ in range(rng.randint(0, 6))) for _ in range(120)]
