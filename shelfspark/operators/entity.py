@@ -10,7 +10,7 @@ from shelfspark.functions.fold import author_key, norm_title
 from shelfspark.functions.ids import uuid5
 from shelfspark.functions.extract import classify_entity
 from shelfspark.functions.text import nonblank, strip, word_count
-from shelfspark.session import fill
+from shelfspark.session import fill, materialize, small_side
 
 #: Columns a source record may carry; missing ones are added as null.
 RECORD_FIELDS = {
@@ -65,8 +65,15 @@ def merge_entities(records: DataFrame, *, use_gbooks_text: bool = True) -> DataF
          .withColumn("source", src).withColumn("norm_title", norm_title("title")))
     r = r.withColumn("key", F.concat("norm_title", F.lit(" | "), author_key("author")))
 
-    payload = F.struct("title", "author", "content", "summary", "ai_summary", "description", "genre",
-                       "genres", "categories", "publisher", "publication_year", "word_count")
+    # Winners are picked on ids, short fields and whether there is a text; the texts stay behind.
+    texts = {"wikipedia": ["description", "content"], "archive_compact": ["content"],
+             "gbooks": ["description"] + (["summary", "content"] if use_gbooks_text else [])}
+    own_text = F.lit(None).cast("string")
+    for name, fields in texts.items():
+        own_text = F.when(F.col("source") == name, F.coalesce(*[F.nullif(f, F.lit("")) for f in fields])).otherwise(own_text)
+    r = r.withColumn("own_text", own_text)
+    payload = F.struct("title", "author", "ai_summary", "genre", "genres", "categories", "publisher", "publication_year", "word_count",
+                       "record_id", F.col("own_text").isNotNull().alias("told"))
     by_source = r.groupBy("key", "norm_title", "source").agg(
         F.max_by(payload, "record_id").alias("doc"), F.min("record_id").alias("first_path"),
         F.min_by(F.struct("title", "author"), "record_id").alias("name"), F.count(F.lit(1)).alias("n_paths"))
@@ -99,8 +106,11 @@ def merge_entities(records: DataFrame, *, use_gbooks_text: bool = True) -> DataF
         F.array_sort(F.collect_set("source")).alias("sources"), F.sum("n_paths").alias("n_paths"))
 
     ai = F.coalesce(F.col("a.ai_summary"), F.lit(""))
-    book_text = [F.col("g.description")] + ([F.col("g.summary"), F.col("g.content")] if use_gbooks_text else [])
-    text = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
+    of_source = lambda s: F.when(F.col(f"{s}.told"), F.col(f"{s}.record_id"))
+    wide = materialize(wide.withColumn("text_of", F.coalesce(of_source("w"), of_source("g"), F.when(ai == "", of_source("a")))), "entities")
+    chosen = wide.filter("text_of IS NOT NULL").select(F.col("text_of").alias("record_id")).distinct()
+    chosen = r.select("record_id", "own_text").join(small_side(chosen, wide.count(), 96), "record_id").groupBy("record_id").agg(F.max("own_text").alias("own_text"))
+    wide = wide.join(chosen.withColumnRenamed("record_id", "text_of"), "text_of", "left")
     genre = F.coalesce(F.col("genre.v"), F.lit(""))
     book_genres = F.coalesce(F.col("g.categories"), F.col("g.genres"), F.array().cast("array<string>"))
     genres = F.when(F.size(book_genres) > 0, book_genres).when(genre != "", F.array(genre)).otherwise(F.array().cast("array<string>"))
@@ -110,7 +120,7 @@ def merge_entities(records: DataFrame, *, use_gbooks_text: bool = True) -> DataF
         F.coalesce("year.v", F.lit("")).alias("year"), genres.alias("genres"), genre.alias("genre"),
         F.coalesce("publisher.v", F.lit("")).alias("publisher"), F.col("a.word_count").alias("archive_words"),
         ai.alias("ai_summary"),
-        F.coalesce(strip(text(F.col("w.description"), F.col("w.content"), *book_text, ai, F.col("a.content"))), F.lit("")).alias("summary"),
+        F.coalesce(strip(F.coalesce("own_text", ai)), F.lit("")).alias("summary"),
         F.array_join("sources", ", ").alias("source"), "n_paths",
     ).filter(F.col("summary") != "")
 
