@@ -163,6 +163,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def narrow_pattern() -> re.Pattern:
+    """The word pattern for texts of the first 256 characters only, its classes spelled out: the
+    plain matcher takes half the time. Its first alternatives cannot begin alike, so their
+    order is free."""
+    chars = lambda p: "".join(re.escape(chr(c)) for c in range(256) if regex.fullmatch(p, chr(c)))
+    letter, number, space = chars(r"\p{L}"), chars(r"\p{N}"), chars(r"\s")
+    return re.compile(rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class Vocabulary:
     """Ids, merges and special tokens of a vocabulary file."""
 
@@ -195,7 +204,7 @@ class Vocabulary:
         self.token_start = np.r_[0, np.cumsum([len(b) for b in self.bytes_of])][:-1].astype(np.int64)
         self.token_length = np.array([len(b) for b in self.bytes_of], np.int64)
         self.token_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.words = regex.compile(WORD_PATTERN)
+        self.words, self.narrow = regex.compile(WORD_PATTERN), narrow_pattern()
         self.specials = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def merge(self, word: bytes) -> list[int]:
@@ -285,15 +294,20 @@ class Vocabulary:
 
     def split(self, text: str) -> list[str]:
         """The words of a text; special tokens stand among them as they are written."""
+        try:
+            text.encode("latin-1")
+            words = self.narrow.findall
+        except UnicodeEncodeError:
+            words = self.words.findall
         if self.specials is None or not self.specials.search(text):
-            return self.words.findall(text)
+            return words(text)
         out: list[str] = []
         at = 0
         for m in self.specials.finditer(text):
-            out += self.words.findall(text[at:m.start()])
+            out += words(text[at:m.start()])
             out.append(m.group())
             at = m.end()
-        return out + self.words.findall(text[at:])
+        return out + words(text[at:])
 
     def decode(self, ids: np.ndarray) -> str:
         return csr_gather(ids, self.token_start, self.token_length, self.token_bytes).tobytes().decode("utf-8", "replace")

@@ -56,6 +56,14 @@ def test_encodes_and_decodes_like_the_library(library, vocab):
         assert vocab.decode(got) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_narrow_pattern_cuts_alike(vocab):
+    rng = random.Random(9)
+    some = [chr(c) for c in range(256)] + ["'s", " a", "  ", "'ll", " '", "12"]
+    for _ in range(3000):
+        t = "".join(rng.choice(some) for _ in range(rng.randrange(30)))
+        assert vocab.narrow.findall(t) == vocab.words.findall(t)
+
+
 def test_merges_side_by_side_equal_single_ones(vocab):
     words = [w.encode() for t in texts(200, 3) for w in vocab.split(t) if w not in vocab.special]
     flat, n = vocab.merge_many(words)
