@@ -244,6 +244,7 @@ CLAIM_PROPERTIES = {
 # ---------------------------------------------------------------- fixed values
 # Web pages: link patterns, selectors, removed elements.
 BOOK_LINK_PATTERN = r"(?i)truyen\.aspx\?tid="
+VOLUME_SEARCH_PAGES = 25
 CHAPTER_LINK = r"(?i)tid=.*?(chuong|chap)"
 CONTENT_SELECTORS = ["#noidung", "div.truyen", "#divtoanvan", "td.chude"]
 TITLE_SELECTORS = ["h1", "#tieude", "div.tualon"]

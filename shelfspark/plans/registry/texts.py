@@ -15,6 +15,7 @@ from shelfspark.functions.pages import page_parts
 from shelfspark.operators.keyed import most_common
 from shelfspark.plans.ingest import cleaned_texts
 from shelfspark.plans.registry import sql as S
+from shelfspark.plans.stories import assemble_stories
 from shelfspark.session import explode_once
 from shelfspark.sources.tables import load
 
@@ -328,7 +329,27 @@ SELECT page_id, CASE WHEN h1 <> '' THEN h1 ELSE t END AS title, md5(CASE WHEN le
 FROM x"""
 
 
+def chapter_texts(spark, d):
+    """The pages as chapters of books of five, linked last first from book pages, those from one listing."""
+    p = load(spark, d, "pages", "page_id", "html")
+    book = F.floor(F.col("page_id") / 5).cast("long")
+    site = "http://site.test/truyen.aspx?tid="
+    chapters = p.select(F.concat(F.lit(site), book.cast("string"), F.lit("&chuong="), F.col("page_id").cast("string")).alias("url"), "html")
+    link = F.concat(F.lit('<a href="/truyen.aspx?tid='), book.cast("string"), F.lit("&amp;chuong="), F.col("page_id").cast("string"), F.lit('">x</a>'))
+    links = p.groupBy(book.alias("b")).agg(F.sort_array(F.collect_list(F.struct("page_id", link.alias("a"))), asc=False).alias("l"))
+    body = F.concat(F.lit("<h1>Book "), F.col("b").cast("string"), F.lit("</h1>"), F.array_join(F.transform("l", lambda x: x["a"]), ""), F.get("l", F.lit(0))["a"])
+    books = links.select(F.concat(F.lit(site), F.col("b").cast("string")).alias("url"), body.alias("html"))
+    listing = books.select(F.concat(F.lit('<a href="'), "url", F.lit('">b</a><a href="/other">o</a>')).alias("html"))
+    found = assemble_stories(listing, books.unionByName(chapters), "http://site.test", content=("article",), titles=("h1",))
+    return found.select("url", "title", F.md5("content").alias("content_md5"), "n_parts")
+
+
+SQL_CHAPTERS = SQL_PAGES[:SQL_PAGES.rindex("SELECT page_id, CASE")] + """, g AS (SELECT page_id // 5 AS b, count(*) FILTER (length(c) > 100) AS n_parts, string_agg(c, chr(10) || chr(10) ORDER BY page_id DESC) FILTER (length(c) > 100) AS content FROM x GROUP BY 1)
+SELECT 'http://site.test/truyen.aspx?tid=' || b AS url, 'Book ' || b AS title, md5(content) AS content_md5, n_parts FROM g WHERE length(content) >= 500"""
+
+
 ENTRIES = {
+    "chapter_texts": (chapter_texts, SQL_CHAPTERS),
     "clean_article_text": (clean_article_text, SQL_CLEAN),
     "lead_paragraphs": (lead_paragraphs, SQL_LEAD),
     "clean_description": (clean_description, SQL_DESC),

@@ -9,14 +9,14 @@ in by name and is never chosen implicitly.
 from __future__ import annotations
 
 import importlib
+import itertools
 import json
 import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -34,17 +34,9 @@ class RequestKey(InputPartition):
     key: str
 
 
-def recorded(folder: str) -> Transport:
-    """Replays ``<folder>/<safe key>/<page>.json``; None after the last recorded page."""
-    def fetch(key: str, page: int) -> str | None:
-        f = Path(folder) / re.sub(r"[^\w.-]+", "_", key) / f"{page}.json"
-        return f.read_text(encoding="utf-8") if f.exists() else None
-    return fetch
-
-
 class PagedCatalogue(DataSource):
-    """Options: ``keys`` (JSON list), ``folder`` or ``transport`` ('module:function'),
-    ``max_pages``, ``retries``, ``delay`` seconds."""
+    """Options: ``keys`` (JSON list), ``transport`` ('module:function'), ``retries``, ``delay``
+    seconds, and ``max_pages``; without it a catalogue is followed to its last page."""
 
     @classmethod
     def name(cls) -> str:
@@ -65,16 +57,14 @@ class _PagedReader(DataSourceReader):
         return [RequestKey(k) for k in json.loads(self.options["keys"])]
 
     def _transport(self) -> Transport:
-        live = self.options.get("transport")
-        if live:
-            module, name = live.split(":")
-            return getattr(importlib.import_module(module), name)
-        return recorded(self.options["folder"])
+        module, name = self.options["transport"].split(":")
+        return getattr(importlib.import_module(module), name)
 
     def read(self, partition: RequestKey) -> Iterator[tuple]:
         fetch = self._transport()
         retries, delay = int(self.options.get("retries", 3)), float(self.options.get("delay", 0))
-        for page in range(int(self.options.get("max_pages", 25))):
+        last = self.options.get("max_pages")
+        for page in range(int(last)) if last else itertools.count():
             for attempt in range(retries):
                 try:
                     body = fetch(partition.key, page)
@@ -89,11 +79,37 @@ class _PagedReader(DataSourceReader):
             time.sleep(delay)
 
 
-def read_catalogue(spark: SparkSession, keys: list[str], **options: str) -> DataFrame:
+def _safe(key: str) -> str:
+    return re.sub(r"[^\w.-]+", "_", key)
+
+
+def read_recorded(spark: SparkSession, keys: list[str], folder: str, max_pages: int | None = None) -> DataFrame:
+    """(key, page, body) of the recorded responses ``<folder>/<safe key>/<page>.json``, read by Spark
+    from any file system; a key ends at the first page that was not recorded."""
+    names = spark.createDataFrame([(k, _safe(k)) for k in dict.fromkeys(keys)], "key string, place string")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    path = F.url_decode(F.col("_metadata.file_path"))
+    pages = files.select(F.regexp_extract(path, r"([^/]+)/[^/]+\z", 1).alias("place"), F.regexp_extract(path, r"(\d+)\.json\z", 1).cast("int").alias("page"),
+                         F.col("value").alias("body"))
+    found = pages.join(F.broadcast(names), "place")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("page")) - 1
+    out = found.withColumn("place", place).filter(F.col("place") == F.col("page")).select("key", "page", "body")
+    return out.filter(F.col("page") < max_pages) if max_pages else out
+
+
+def read_catalogue(spark: SparkSession, keys: list[str], folder: str | None = None, **options: str) -> DataFrame:
+    """Responses of every key, all pages; recorded ones unless a transport is named."""
+    if folder is not None:
+        return read_recorded(spark, keys, folder, int(options["max_pages"]) if "max_pages" in options else None)
     spark.dataSource.register(PagedCatalogue)
     return spark.read.format("paged_catalogue").option("keys", json.dumps(keys, ensure_ascii=False)).options(**options).load()
 
 
+def read_volume_search(spark: SparkSession, phrases: list[str], **options: str) -> DataFrame:
+    """Result pages of the book search, which are cut at VOLUME_SEARCH_PAGES."""
+    return read_catalogue(spark, phrases, **{"max_pages": str(V.VOLUME_SEARCH_PAGES), **options})
+
+
 # ------------------------------------------------------------------ responses -> rows
 _VOLUMES = ("struct<totalItems:bigint,items:array<struct<id:string,volumeInfo:struct<title:string,authors:array<string>,"
             "description:string,publishedDate:string,categories:array<string>,industryIdentifiers:array<struct<type:string,"

@@ -94,7 +94,6 @@ def test_recorded_volumes(spark, tmp_path):
             imageLinks={"smallThumbnail": "s.png"}), vol("v2", title="No text"), vol("", title="No id", description=long)]})
     put(tmp_path / "thơ" / "1.json", {"totalItems": 3, "items": [vol("v3", title="T", description=long)]})
     pages = remote.read_catalogue(spark, ["thơ", "nothing"], folder=str(tmp_path))
-    assert pages.rdd.getNumPartitions() == 2
     got = {r["id"]: r for r in remote.parse_volumes(pages).collect()}
     assert set(got) == {"gbooks_v1", "gbooks_v3"}
     v = got["gbooks_v1"]
@@ -103,6 +102,15 @@ def test_recorded_volumes(spark, tmp_path):
     assert got["gbooks_v3"]["url"] == "https://books.google.com/books?id=v3" and got["gbooks_v3"]["year_source"] == ""
 
 
+def test_a_catalogue_is_followed_to_its_last_page(spark, tmp_path):
+    for page in range(30):
+        put(tmp_path / "Thơ" / f"{page}.json", {"query": {"categorymembers": [{"pageid": page, "ns": 0, "title": "X"}]}})
+    put(tmp_path / "Gap" / "1.json", {})
+    assert remote.read_catalogue(spark, ["Thơ", "Gap"], folder=str(tmp_path)).count() == 30
+    assert remote.read_catalogue(spark, ["Thơ"], folder=str(tmp_path), max_pages="7").count() == 7
+    assert remote.read_volume_search(spark, ["Thơ"], folder=str(tmp_path)).count() == 25
+
+
 def test_recorded_categories_and_claims(spark, tmp_path):
     put(tmp_path / "Thơ" / "0.json", {"query": {"categorymembers": [{"pageid": 5, "ns": 0, "title": "X"}, {"pageid": 6, "ns": 14, "title": "Thể loại:Con"}]}})
     m = remote.parse_members(remote.read_catalogue(spark, ["Thơ"], folder=str(tmp_path))).collect()
