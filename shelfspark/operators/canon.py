@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark import fixed_values as V
-from shelfspark.functions.extract import detail_part, has_year
+from shelfspark.functions.extract import canon_pairs, detail_part, has_year
 from shelfspark.functions.fold import audit_norm
+from shelfspark.operators.keyed import keep_first
 from shelfspark.session import explode_once, materialize, small_side
 
 
@@ -41,6 +42,13 @@ def _contained(phrases: DataFrame, p_key: str, p_norm: str, texts: DataFrame, t_
     return texts.select(t_key, t_norm).join(pairs, t_key).filter(pad(F.col(t_norm)).contains(pad(F.col(p_norm)))).select(p_key, t_key)
 
 
+def expected_titles(blocks: DataFrame, text: str, order: str) -> DataFrame:
+    """(title, author) of a list of 'Title (Author)' items, the first of every normalised title."""
+    pairs = blocks.select(F.col(order).alias("_block"), F.posexplode(canon_pairs(text)).alias("_place", "pair")).select("_block", "_place", "pair.*")
+    named = pairs.withColumn("_norm", audit_norm("title")).filter("_norm <> ''")
+    return keep_first(named, ["_norm"], [F.col("_block"), F.col("_place")]).select("title", "author")
+
+
 def match_titles(canon: DataFrame, titles: DataFrame, *, canon_id: str = "canon_id", title: str = "title",
                  position: str = "position", both_ways: bool = True) -> DataFrame:
     """(canon_id, position, how): the first library title that equals the expected one, else

@@ -185,6 +185,18 @@ def streamed_upserts(spark, d):
 SQL_STREAM_UPSERTS = "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
 
 
+def streamed_progress(spark, d):
+    """Stream the documents and keep the number of finished ones per language and batch."""
+    base = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    s = _in_batches(spark, load(spark, d, "documents", "doc_id", "lang"), base, "doc_id", newest_first=False)
+    _run(incremental.track_progress(s, f"{base}/out", f"{base}/cp", "lang"))
+    return spark.read.parquet(f"{base}/out").groupBy("lang").agg(F.sum("count").alias("n"), F.countDistinct("epoch").alias("batches"))
+
+
+SQL_STREAM_PROGRESS = """
+SELECT lang, count(*) AS n, count(DISTINCT least(CAST(floor(doc_id * 4 / (SELECT max(doc_id) + 1 FROM documents)) AS INT), 3)) AS batches FROM documents GROUP BY 1"""
+
+
 def conversation_states(spark, d):
     """Stream the messages through the per-conversation state, in four batches."""
     base = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
@@ -208,6 +220,7 @@ ENTRIES = {
     "chat_export": (chat_export, SQL_EXPORT),
     "answer_checks": (answer_checks, SQL_ANSWERS),
     "streamed_documents": (streamed_documents, SQL_STREAM_DOCS),
+    "streamed_progress": (streamed_progress, SQL_STREAM_PROGRESS),
     "streamed_upserts": (streamed_upserts, SQL_STREAM_UPSERTS),
     "conversation_states": (conversation_states, SQL_STATES),
 }

@@ -13,7 +13,10 @@ from shelfspark.functions import text as T
 from shelfspark.operators import canon, enrich, entity, keyed, quality
 from shelfspark.plans import ingest
 from shelfspark.plans.registry import sql as S
-from shelfspark.sources.sinks import latex_fill_rows
+from shelfspark.plans.registry.texts import sql_cut
+from shelfspark.session import shared_dir
+from shelfspark.sources import readers
+from shelfspark.sources.sinks import latex_fill_rows, write_records
 from shelfspark.sources.tables import load
 
 TITLE = r"\A[^.\n|]*"
@@ -330,7 +333,48 @@ def audit_flags(spark, d):
 SQL_FLAGS = f"SELECT lang, count(*) FILTER (n_chars % 4 = 0) AS missing_author, count(*) FILTER (NOT {_HAS_YEAR}) AS missing_year, count(*) FILTER (length({S.strip('text')}) < 200) AS junk_summary FROM documents GROUP BY 1"
 
 
+def first_positions(spark, d):
+    """Distinct sources with the place of their first document."""
+    return keyed.order_preserving_distinct(load(spark, d, "documents", "doc_id", "source"), "source", "doc_id")
+
+
+SQL_POSITIONS = "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY 1"
+
+
+def stored_vectors(spark, d):
+    """Vectors and their payload stored apart, met again key by key, and the payload scanned alone."""
+    base = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/vectors-{uuid.uuid4().hex}"
+    e = load(spark, d, "embeddings", "vec_id", "embedding", "label")
+    e.select("vec_id", "embedding").write.parquet(f"{base}/vectors")
+    e.select("vec_id", "label", F.lit(None).cast("array<float>").alias("embedding")).write.parquet(f"{base}/payload")
+    both = readers.read_vectors(spark, f"{base}/vectors", f"{base}/payload", "vec_id", readers.read_payload(spark, f"{base}/payload"))
+    return both.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
+
+
+SQL_STORED_VECTORS = "SELECT vec_id, label, len(embedding) AS dim FROM embeddings"
+
+
+def article_round_trip(spark, d):
+    """documents -> articles -> cleaned, written, read again -> one entity per title; the chain of the command line."""
+    base = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/chain-{uuid.uuid4().hex}"
+    docs = load(spark, d, "documents", "doc_id", "text", "source")
+    raw = docs.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("T"), F.col("source")).alias("title"), F.lit("").alias("url"),
+                      F.when(F.col("doc_id") % 2 == 0, V.WORK_CATEGORIES[0]).otherwise(V.AUTHOR_CATEGORIES[0]).alias("category"),
+                      F.array("source").alias("categories"), F.col("text").alias("content"), F.lit("vi").alias("language"),
+                      F.lit("").alias("crawled_at"), F.lit("").alias("last_modified"), F.col("doc_id").cast("string").alias("path"))
+    write_records(ingest.clean_articles(raw), base, by="type")
+    again = readers.read_source_folders(spark, base, ["work", "author"])
+    return entity.catalogue(again).select("title", "source", F.col("n_paths").alias("n"))
+
+
+SQL_ROUND_TRIP = f"""WITH c AS (SELECT 'T' || source AS title, CASE WHEN doc_id % 2 = 0 THEN 'wikipedia' ELSE 'unknown' END AS src, length({sql_cut()}) AS chars FROM documents)
+SELECT title, array_to_string(list_sort(list(DISTINCT src)), ', ') AS source, count(*) AS n FROM c WHERE chars >= {V.MIN_CLEAN_CHARS} GROUP BY 1"""
+
+
 ENTRIES = {
+    "first_positions": (first_positions, SQL_POSITIONS),
+    "stored_vectors": (stored_vectors, SQL_STORED_VECTORS),
+    "article_round_trip": (article_round_trip, SQL_ROUND_TRIP),
     "book_funnel": (book_funnel, SQL_FUNNEL),
     "topic_filter": (topic_filter, SQL_TOPIC),
     "category_filter": (category_filter, SQL_CATEGORIES),

@@ -14,6 +14,7 @@ from shelfspark.functions.ids import archive_id, drive_direct_url, safe_name, uu
 from shelfspark.functions.pages import page_parts
 from shelfspark.operators.keyed import most_common
 from shelfspark.plans.ingest import cleaned_texts
+from shelfspark.operators import canon
 from shelfspark.plans.registry import sql as S
 from shelfspark.plans.stories import assemble_stories
 from shelfspark.session import explode_once
@@ -29,7 +30,7 @@ def clean_article_text(spark, d):
                     T.word_count("content").alias("word_count"))
 
 
-def _sql_cut() -> str:
+def sql_cut() -> str:
     x = "text"
     for name in V.JUNK_SECTIONS:
         x = f"regexp_replace({x}, '(?ms)^=+[{S.WS}]*{name}[{S.WS}]*=+.*', '')"
@@ -38,7 +39,7 @@ def _sql_cut() -> str:
 
 
 SQL_CLEAN = f"""
-WITH c AS (SELECT doc_id, {_sql_cut()} AS c FROM documents)
+WITH c AS (SELECT doc_id, {sql_cut()} AS c FROM documents)
 SELECT doc_id, md5(c) AS content_md5, length(c) AS char_count, {S.word_count('c')} AS word_count
 FROM c WHERE length(c) >= 50"""
 
@@ -250,6 +251,41 @@ def canon_pairs(spark, d):
 SQL_CANON = "SELECT title, author, count(*) AS n FROM (SELECT p_name AS title, p_brand AS author FROM part UNION ALL SELECT p_type, 'x' FROM part) GROUP BY 1, 2"
 
 
+def expected_titles(spark, d):
+    """Titles of parts and of their kinds as one list of items per part; each normalised title once."""
+    block = F.concat(F.lit("**Heading** "), F.upper("p_type"), F.lit(" (x), "), F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit("), "), F.col("p_type"), F.lit(" (y)"))
+    return canon.expected_titles(load(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type").withColumn("block", block), "block", "p_partkey")
+
+
+SQL_EXPECTED = f"""SELECT title, author FROM (SELECT title, author, p_partkey, place, {S.audit_norm('title')} AS norm FROM (SELECT p_partkey, 0 AS place, upper(p_type) AS title, 'x' AS author FROM part
+ UNION ALL SELECT p_partkey, 1, p_name, p_brand FROM part UNION ALL SELECT p_partkey, 2, p_type, 'y' FROM part))
+WHERE norm <> '' QUALIFY row_number() OVER (PARTITION BY norm ORDER BY p_partkey, place) = 1"""
+
+
+def summary_cards(spark, d):
+    docs = load(spark, d, "documents", "doc_id", "text", "lang", "source").withColumn("wc", T.word_count("text"))
+    genre = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.lit(""))
+    author = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.col("lang"))
+    return docs.select("doc_id", F.md5(T.summary_card(F.col("source"), author, F.col("wc"), F.col("text"), genre, F.lit("ai cũng đọc được"))).alias("card_md5"))
+
+
+SQL_SUMMARY_CARDS = f"""
+WITH w AS (SELECT *, {S.word_count('text')} AS wc FROM documents)
+SELECT doc_id, md5('Tác phẩm: ' || source || chr(10) || 'Tác giả: ' || CASE WHEN doc_id % 5 = 0 THEN '{V.UNKNOWN_AUTHOR}' ELSE lang END || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Thể loại: ' || lang ELSE '' END
+ || chr(10) || 'Đối tượng: ai cũng đọc được' || chr(10) || 'Độ dài: ' || format('{{:,}}', wc) || ' từ (' || {S.page_band('wc')} || ')' || chr(10)
+ || 'Ngôn ngữ: Tiếng Việt' || chr(10) || 'Nguồn: Kho lưu trữ văn học (archive)' || chr(10) || 'Tóm tắt: ' || text) AS card_md5 FROM w"""
+
+
+def header_tags(spark, d):
+    """Values read back out of headers made from the rows."""
+    head = F.concat(F.lit("[Tiêu đề: "), F.col("p_name"), F.lit("] | [Năm xuất bản:  "), F.col("p_size").cast("string"), F.lit("]\n\n"), F.col("p_type"))
+    p = load(spark, d, "part", "p_partkey", "p_name", "p_size", "p_type").withColumn("head", head)
+    return p.select("p_partkey", X.tag_value("head", "Tiêu đề").alias("title"), X.tag_value("head", "Năm xuất bản").alias("year"), X.tag_value("head", "Tác giả").alias("author"))
+
+
+SQL_HEADER_TAGS = "SELECT p_partkey, trim(p_name) AS title, CAST(p_size AS VARCHAR) AS year, '' AS author FROM part"
+
+
 def suggested_values(spark, d):
     field = F.element_at(F.array(F.lit("publication_year"), F.lit("genre")), (F.col("p_size") % 2 + 1).cast("int"))
     value = F.when(F.col("p_size") % 5 == 0, F.lit(" N/A ")).when(F.col("p_size") % 2 == 0, F.concat(F.lit("năm "), (F.lit(1480) + F.col("p_size")).cast("string"))).otherwise(F.col("p_type"))
@@ -369,6 +405,9 @@ ENTRIES = {
     "answer_lists": (answer_lists, SQL_LISTS),
     "labelled_answers": (labelled_answers, SQL_LABELLED),
     "canon_pairs": (canon_pairs, SQL_CANON),
+    "expected_titles": (expected_titles, SQL_EXPECTED),
+    "summary_cards": (summary_cards, SQL_SUMMARY_CARDS),
+    "header_tags": (header_tags, SQL_HEADER_TAGS),
     "suggested_values": (suggested_values, SQL_SUGGESTED),
     "isbn_choice": (isbn_choice, SQL_ISBN),
     "name_ids": (name_ids, SQL_IDS),

@@ -122,9 +122,9 @@ def read_links(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path).select("id", "record_id") if _exists(spark, path) else None
 
 
-def read_vectors(spark: SparkSession, vectors: str, payload: str, key: str = "id") -> DataFrame:
+def read_vectors(spark: SparkSession, vectors: str, payload: str, key: str = "id", payload_table: DataFrame | None = None) -> DataFrame:
     """Vector table with its payload; every vector must have exactly one payload."""
-    v, p = spark.read.parquet(vectors), spark.read.parquet(payload)
+    v, p = spark.read.parquet(vectors), payload_table if payload_table is not None else spark.read.parquet(payload)
     sides = v.select(key, F.lit(1).alias("v"), F.lit(0).alias("p")).unionByName(p.select(key, F.lit(0).alias("v"), F.lit(1).alias("p")))
     odd = sides.groupBy(key).agg(F.sum("v").alias("v"), F.sum("p").alias("p")).filter((F.col("v") != 1) | (F.col("p") != 1))
     n = odd.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("p") == 0, 1)).alias("bare"), F.count(F.when(F.col("v") == 0, 1)).alias("idle")).first()
