@@ -135,30 +135,16 @@ def summary_card(title, author, wc, summary, genre, audience) -> Column:
 
 
 def body_excerpt(c: Column | str, limit: int = V.BODY_EXCERPT_CHARS) -> Column:
-    """Text from the first long line on, until ``limit`` characters are gathered."""
-    start = F.struct(F.lit(False).alias("open"), F.lit(False).alias("full"),
-                     F.lit(0).alias("chars"), F.array().cast("array<string>").alias("body"))
-
-    def step(acc: Column, raw: Column) -> Column:
-        def with_line(line: Column) -> Column:
-            opened = acc["open"] | (F.length(line) >= V.BODY_LINE_CHARS)
-            chars = acc["chars"] + F.when(opened, F.length(line)).otherwise(0)
-            body = F.when(opened, F.concat(acc["body"], F.array(line))).otherwise(acc["body"])
-            grown = F.struct(opened.alias("open"), (chars >= limit).alias("full"),
-                             chars.alias("chars"), body.alias("body"))
-            blank = F.struct(acc["open"].alias("open"), F.lit(False).alias("full"),
-                             acc["chars"].alias("chars"),
-                             F.when(acc["open"], F.concat(acc["body"], F.array(F.lit(""))))
-                             .otherwise(acc["body"]).alias("body"))
-            return F.when(acc["full"], acc).when(line == "", blank).otherwise(grown)
-
-        return let(strip(raw), with_line)
+    """Text from the first long line on, lines stripped, cut at ``limit`` characters; the whole
+    text, cut likewise, where no line is long."""
+    def from_first(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda x: F.length(x) >= V.BODY_LINE_CHARS), True).cast("int")
+        return F.when(first > 0, strip(F.array_join(F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines)), "\n"))).otherwise(F.lit(""))
 
     def pick(body: Column) -> Column:
         return F.substring(F.when(body != "", body).otherwise(col(c)), 1, limit)
 
-    joined = F.aggregate(F.split(col(c), "\n"), start, step, lambda a: F.array_join(a["body"], "\n"))
-    return let(strip(joined), pick)
+    return let(let(F.transform(F.split(col(c), "\n"), strip), from_first), pick)
 
 
 def estimate_tokens(c: Column | str, chars_per_token: float = 3.0) -> Column:
