@@ -57,8 +57,9 @@ def match_titles(canon: DataFrame, titles: DataFrame, *, canon_id: str = "canon_
     Expected titles shorter than four characters match by equality only.
     """
     n = canon.count()
-    c = canon.select(canon_id, audit_norm(title).alias("c_norm"))
-    t = titles.select(position, audit_norm(title).alias("t_norm"))
+    # Normalised once: every step below reads these forms.
+    c = materialize(canon.select(canon_id, audit_norm(title).alias("c_norm")), "expected")
+    t = materialize(titles.select(position, audit_norm(title).alias("t_norm")), "titles")
     named, long_c = t.filter(F.col("t_norm") != ""), c.filter(F.length("c_norm") >= 4)
     equal = t.join(small_side(c, n), t["t_norm"] == c["c_norm"]).select(canon_id, position, F.lit("exact").alias("how"))
     found = equal.unionByName(_contained(long_c, canon_id, "c_norm", named, position, "t_norm").withColumn("how", F.lit("contains")))
