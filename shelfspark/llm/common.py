@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.session import materialize
 
-__all__ = ["materialize", "table", "held_out", "hash_share", "labelled_sample", "texts_of", "mix64", "csr_gather"]
+__all__ = ["materialize", "table", "held_out", "hash_share", "class_weights", "labelled_sample", "texts_of", "mix64", "csr_gather"]
 
 
 #: Bytes of the Arrow batches that tasks hand to Python: a task holds one of them, not 64 MB.
@@ -71,6 +71,23 @@ def hash_share(id_col: Column, wanted: int, there: int) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) < int((1 << 31) * wanted / there)
 
 
+def _chosen(labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, label) of all labelled training rows, and of those chosen for the sample."""
+    known = (labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(~held_out(F.col("doc_id")))
+             .groupBy("doc_id").agg(F.max("label").alias("label")).filter("label IN (0, 1)"))
+    size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    wanted = F.lit(False)
+    for value, there in sorted(size.items()):
+        wanted = wanted | ((F.col("label") == value) & hash_share(F.col("doc_id"), per_class, there))
+    return known, known.filter(wanted)
+
+
+def class_weights(labels: DataFrame, label: str, per_class: int) -> dict[int, float]:
+    """For either class, how many labelled training rows one row of :func:`labelled_sample` stands for."""
+    known, chosen = ({r["label"]: r["count"] for r in rows.groupBy("label").count().collect()} for rows in _chosen(labels, label, per_class))
+    return {value: known[value] / n for value, n in chosen.items()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(doc_id, text, label) of about ``per_class`` labelled training rows of either class.
 
@@ -78,10 +95,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     the scan as a broadcast; no text is shuffled. Rows of the held-out fold, null labels and
     other values are left out.
     """
-    known = (labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(~held_out(F.col("doc_id")))
-             .groupBy("doc_id").agg(F.max("label").alias("label")).filter("label IN (0, 1)"))
-    size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    wanted = F.lit(False)
-    for value, there in sorted(size.items()):
-        wanted = wanted | ((F.col("label") == value) & hash_share(F.col("doc_id"), per_class, there))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known.filter(wanted)), "doc_id")
+    _, chosen = _chosen(labels, label, per_class)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")

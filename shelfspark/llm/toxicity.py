@@ -10,7 +10,9 @@ scoring segments of a text. Under chance the best segment of a clean text of n t
 an extreme-value law, P(S > x) = 1 - exp(-K n e^(-lambda x)); lambda is the root of the score
 distribution of clean texts, K its maximum-likelihood estimate over the clean rows. Segments
 that chance does not explain are the toxic passages; the evidence of a document adds theirs
-up, and a logistic curve fitted to the same rows turns evidence into a probability.
+up, and a logistic curve fitted to the same rows turns evidence into a probability. Where a
+class is sampled, its rows weigh as many labelled rows as they stand for, so the meaning of a
+probability does not change with the number of labelled rows.
 
 Defined results: null and empty texts have no token, no passage and the score of no
 evidence; every input row gives one row; a table without labels, or with one class only,
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import held_out, labelled_sample
+from shelfspark.llm.common import class_weights, held_out, labelled_sample
 
 #: Bounds of the fit: labelled rows of either class, tokens of the lexicon.
 SAMPLE_PER_CLASS = 10_000
@@ -194,7 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return ToxicModel(intercept=30.0 if n1 else -30.0)
-    share = (F.col("toxic") + F.col("clean")) / float(n1 + n0)
+    # A class of more rows than the bound is sampled: its rows stand for so many labelled ones.
+    stands = class_weights(labels, label, per_class)
+    w1, w0 = stands[1], stands[0]
+    share = (F.col("toxic") * w1 + F.col("clean") * w0) / float(n1 * w1 + n0 * w0)
     a1 = F.col("toxic") + share * PRIOR_DOCS
     a0 = F.col("clean") + share * PRIOR_DOCS
     odds = F.log(a1 / (n1 + PRIOR_DOCS - a1)) - F.log(a0 / (n0 + PRIOR_DOCS - a0))
@@ -223,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
             .groupBy("cell", "label").count().collect())
     x = np.array([r["cell"] / 4 for r in grid])
     y = np.array([float(r["label"]) for r in grid])
-    model.intercept, model.slope = _logistic(x, y, np.array([float(r["count"]) for r in grid]))
+    model.intercept, model.slope = _logistic(x, y, np.array([r["count"] * stands[r["label"]] for r in grid]))
     return model
 
 

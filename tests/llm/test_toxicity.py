@@ -103,3 +103,23 @@ def test_without_two_classes(spark, label, score):
     assert {r.predicted for r in score_documents(documents(spark, [(1, "a"), (2, None)]), m).collect()} == {score}
     assert score_documents(documents(spark, [(1, "a")]).limit(0), ToxicModel()).count() == 0
     assert labels.filter(F.col("toxic").isNull()).count() in (0, 9)
+
+
+def test_sampling_a_class_keeps_the_prior(spark):
+    rng = random.Random(8)
+    voc = ["".join(chr(97 + int(c)) for c in w[1:]) + "o" for w in vocabulary(400)]
+    rows, labels = [], []
+    for i in range(2400):  # one toxic row in twelve; the marks also stand in clean rows
+        w, toxic = sentence(rng, voc, 20, 60).split(), int(i % 12 == 0)
+        for _ in range(2 if toxic else int(rng.random() < .25)):
+            w.insert(rng.randrange(len(w)), rng.choice(BAD))
+        rows.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    docs, marks = documents(spark, rows).cache(), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, capped = fit(docs, marks), fit(docs, marks, per_class=170)
+    a, b = ({r.doc_id: r for r in score_documents(docs, m).collect()} for m in (whole, capped))
+    total = [sum(r.score for r in x.values()) / 2400 for x in (a, b)]
+    differ = sum(a[i].predicted != b[i].predicted for i in a)
+    print("mean score:", total, "decisions that differ:", differ)
+    assert abs(total[0] - 1 / 12) < .02 and abs(total[1] - total[0]) < .03
+    assert differ <= 0.05 * len(a)  # the capped fit reads a tenth of the clean rows
