@@ -174,17 +174,20 @@ def _entries(rows: DataFrame, graph, dim: int, ratio: float, least: int, most: i
 
 
 def _best(q_id: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest other ids with their distances, ties to smaller ids."""
+    """Places of the k nearest other ids (the nearest row of each) and their distances, ties to smaller ids."""
     d = np.sqrt(((x - q) ** 2).sum(1))
     own = np.flatnonzero(ids != q_id)
-    if len(own) > k:
-        bound = np.partition(d[own], k - 1)[k - 1]
-        own = own[d[own] <= bound]
-    order = np.lexsort((ids[own], d[own]))
-    own = own[order]
-    _, first = np.unique(ids[own], return_index=True)
-    own = own[np.sort(first)][:k]
-    return ids[own], d[own]
+    rows = k
+    while True:  # rows of one id are one candidate: take more rows until they hold k ids
+        near = own
+        if len(own) > rows:
+            near = own[d[own] <= np.partition(d[own], rows - 1)[rows - 1]]
+        near = near[np.lexsort((ids[near], d[near]))]
+        _, first = np.unique(ids[near], return_index=True)
+        if len(first) >= k or len(near) == len(own):
+            near = near[np.sort(first)][:k]
+            return near, d[near]
+        rows *= 4
 
 
 _FOUND = "query_id long, vec_id long, score double"
@@ -207,7 +210,7 @@ def _search_lists(postings: DataFrame, queries: DataFrame, dim: int, k: int, lis
             for q, v in zip(b.column("vec_id").to_pylist(), _matrix(b.column("v").combine_chunks(), dim)):
                 near, d = _best(q, v, ids, x, k)
                 out[0].append(np.full(len(near), q))
-                out[1].append(near)
+                out[1].append(ids[near])
                 out[2].append(d)
         cat = lambda p, t: pa.array(np.concatenate(p) if p else np.empty(0), t)
         return pa.table([cat(out[0], pa.int64()), cat(out[1], pa.int64()), cat(out[2], pa.float64())], ["query_id", "vec_id", "score"])
@@ -225,23 +228,14 @@ def exact_search(rows: DataFrame, queries: list[tuple[int, list[float]]], dim: i
             ids, x = b.column("vec_id").to_numpy(), _matrix(b.column("v"), dim)
             for q, v in sent.value:
                 all_ids, all_x = np.r_[kept[q][0], ids], np.concatenate([kept[q][1], x])
-                near, _ = _best(q, np.array(v), all_ids, all_x, k)
-                at = np.flatnonzero(np.isin(all_ids, near))
-                kept[q] = (all_ids[at][:4 * k], all_x[at][:4 * k]) if len(at) <= 4 * k else _thin(q, np.array(v), all_ids[at], all_x[at], k)
+                at, _ = _best(q, np.array(v), all_ids, all_x, k)
+                kept[q] = (all_ids[at], all_x[at])
         for q, v in sent.value:
             near, d = _best(q, np.array(v), *kept[q], k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(near), pa.array(d)], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(kept[q][0][near]), pa.array(d)], ["query_id", "vec_id", "score"])
     return rows.select("vec_id", "v").mapInArrow(run, _FOUND)
 
 
-def _thin(q: int, v: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """One row, the nearest, of every id."""
-    d = ((x - v) ** 2).sum(1)
-    order = np.lexsort((d, ids))
-    order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
-    return ids[order], x[order]
-
-
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     one = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from shelfspark.llm.ann import CentroidGraph, balanced_centroids, search
+from shelfspark.llm.ann import CentroidGraph, balanced_centroids, exact_search, search, usable
 
 IS_QUERY = "vec_id % 100 = 0"
 
@@ -75,3 +75,32 @@ def test_graph_walk_and_balance():
     true = np.argsort(((x[:200, None] - c[None]) ** 2).sum(2), axis=1)[:, :5]
     assert np.mean([len(set(a[:5]) & set(b)) / 5 for a, b in zip(ids.tolist(), true.tolist())]) > 0.95
     assert np.all(np.diff(dist, axis=1) >= 0)
+
+
+def merged(rows, k=10):
+    """Brute force with one candidate per id, its nearest row counting."""
+    out = []
+    for q, v in rows:
+        if q % 100 == 0:
+            near = {}
+            for j, w in rows:
+                if j != q:
+                    d = float(np.sqrt(((np.array(v, np.float32).astype(float) - np.array(w, np.float32).astype(float)) ** 2).sum()))
+                    near[j] = min(d, near.get(j, d))
+            out += [(q, n + 1, j, round(d, 9)) for n, (d, j) in enumerate(sorted((d, j) for j, d in near.items())[:k])]
+    return sorted(set(out))
+
+
+def test_repeated_ids_displace_no_other_id(spark):
+    once = vectors(400, 6)
+    near = [(7, (np.array(once[100][1]) + 1e-3 * i).tolist()) for i in range(1, 60)]  # one id, many rows near a query
+    for rows in (once + once, once + near):
+        want = merged(rows)
+        t = table(spark, rows)
+        got = found(search(t, IS_QUERY, prune=1e9))
+        print("rows of brute force found:", len(set(want) & set(got)), "of", len(want))
+        assert got == want
+        valid, _, dim = usable(t, "vec_id", "embedding")
+        asked = [(q, np.array(v, np.float32).astype(float).tolist()) for q, v in once if q % 100 == 0]
+        exact = sorted((r.query_id, r.vec_id, round(r.score, 9)) for r in exact_search(valid.coalesce(1), asked, dim, 10).collect())
+        assert exact == sorted((q, j, d) for q, _, j, d in want)
