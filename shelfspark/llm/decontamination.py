@@ -1,7 +1,8 @@
 """Benchmark passages in documents, by SimHash windows and exact verification.
 
 Every benchmark item has a fingerprint: 64 bits, each the sign of a sum over its weighted word
-shingles. A document is read in windows of the items' own lengths. The fingerprints of the items
+shingles. A document is read in windows of the items' own lengths; where it is shorter than
+an item, it is one window as a whole. The fingerprints of the items
 of a length are indexed by blocks of bits: with BLOCKS blocks, two fingerprints that differ in at
 most 2 * BLOCKS - 1 = RADIUS bits agree in some block up to one bit, so entering every item under
 its block values and their one-bit neighbours finds all fingerprints within the radius. What
@@ -19,7 +20,7 @@ The items are sent to the scan in slices of bounded size, one scan per slice; do
 neither shuffled nor sorted.
 
 Defined results: words are the lower-cased runs of letters and digits; an item of fewer than
-five words is one shingle; items and documents without words, null and empty texts match
+five words is one shingle, and a document without so many words holds none; items and documents without words, null and empty texts match
 nothing; repeated rows are judged one by one; equally similar windows give the first one.
 """
 
@@ -148,9 +149,9 @@ class Benchmark:
         best: dict[int, tuple[float, int]] = {}
         sums: dict[int, tuple] = {}
         for length in self.by_length:
-            if length > len(h):
-                continue
             k = min(SHINGLE_WORDS, length)
+            if k > len(h):
+                continue
             if k not in sums:
                 s = shingle_hashes(h, k)
                 hit, weight = self.weigh(s)
@@ -158,7 +159,7 @@ class Benchmark:
             if sums[k] is None:
                 continue
             s, weight, every, known = sums[k]
-            m = length - k + 1
+            m = min(length, len(h)) - k + 1
             start = np.flatnonzero(known[m:] - known[:-m] >= threshold * (every[m:] - every[:-m]) - 1e-9)
             for part in np.array_split(start, len(start) // 4096 + 1):
                 if len(part):

@@ -82,3 +82,29 @@ def test_blocks_find_all_prints_within_the_radius():
         flips = sum(1 << b for b in rng.sample(range(64), RADIUS))
         near = bench.near(20, bench.prints[item:item + 1] ^ type(bench.prints[0])(flips))
         assert item in near[:, 1]
+
+
+def test_documents_shorter_than_the_item(spark):
+    rng, voc = random.Random(9), vocabulary(300)
+    items = [(i, " ".join(rng.choice(voc) for _ in range(n))) for i, n in enumerate([20, 20, 30, 40, 9, 6, 3])]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        docs += [(100 * i + 10 * a + b, " ".join(w[a:len(w) - b])) for a in range(5) for b in range(5)]
+    bench, whole = dict(items), {}
+    spread = Counter(g for _, t in items for g in set(runs(words(t), min(5, len(words(t))))))
+    weight = lambda g: 1 + math.log(len(items) / spread.get(g, 1))
+    for d, t in docs:
+        for i in bench:
+            k = min(5, len(words(bench[i])))
+            a, b = Counter(runs(words(bench[i]), k)), Counter(runs(words(t), k))
+            if len(words(t)) <= len(words(bench[i])):
+                both = sum(n * weight(g) for g, n in (a & b).items())
+                s = both / sum(n * weight(g) for g, n in (a | b).items())
+                if s >= .8 - 1e-12:
+                    whole[d, i] = round(s, 6)
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_contamination(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    print("pairs found:", len(set(got) & set(whole)), "of", len(whole))
+    assert got == whole and len(whole) > 30
+    kept = drop_contaminated(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in whole}
