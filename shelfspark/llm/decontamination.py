@@ -17,7 +17,8 @@ pair of exactly that similarity is missed with a probability of about 4e-5, clos
 far less often).
 
 The items are sent to the scan in slices of bounded size, one scan per slice; documents are
-neither shuffled nor sorted.
+neither shuffled nor sorted. Shingle weights are those of the whole benchmark, whatever the
+slices: with several of them, each also gets the shingles of more than one item (16 bytes each).
 
 Defined results: words are the lower-cased runs of letters and digits; an item of fewer than
 five words is one shingle, and a document without so many words holds none; items and documents without words, null and empty texts match
@@ -83,23 +84,29 @@ def similarity(a: Counter, b: Counter, weight) -> float:
 
 
 class Benchmark:
-    """Items of one slice: shingle weights and an index of fingerprints per length."""
+    """Items of one slice: shingle weights of the whole benchmark and an index of fingerprints per length."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], spread: tuple[int, np.ndarray, np.ndarray] | None = None):
+        """``spread``: number of items of the whole benchmark, its shingles of more than one item
+        (sorted) and how many items have each; None where ``items`` are all."""
         hashed = [(i, word_hashes(t or "")) for i, t in items]
         hashed = [(i, h) for i, h in hashed if len(h)]
         self.ids = [i for i, _ in hashed]
         sets = [shingle_hashes(h, min(SHINGLE_WORDS, len(h))) for _, h in hashed]
-        spread = Counter(s for x in sets for s in np.unique(x).tolist())
-        #: A shingle of few items tells more than one of many.
-        self.weights = {s: 1.0 + math.log(len(sets) / n) for s, n in spread.items()}
-        self.unseen = 1.0 + math.log(max(len(sets), 1))
-        self.known = np.array(sorted(spread), np.uint64)
-        self.known_weight = np.array([self.weights[s] for s in self.known.tolist()])
+        own, count = np.unique(np.concatenate([np.unique(x) for x in sets] or [np.empty(0, np.uint64)]), return_counts=True)
+        n, common, n_common = spread or (len(sets), own[count > 1], count[count > 1])
+        #: A shingle of few items tells more than one of many. Those of other slices weigh here what they weigh there.
+        self.known = np.union1d(own, common)
+        count = np.ones(len(self.known))
+        count[np.searchsorted(self.known, common)] = n_common
+        self.known_weight = 1.0 + np.log(max(n, 1) / count)
+        self.unseen = float(1.0 + np.log(max(n, 1)))
+        self.own = np.isin(self.known, own)
+        self.weights = dict(zip(self.known[self.own].tolist(), self.known_weight[self.own].tolist()))
         self.filter = np.zeros(_FILTER_BITS, bool)
         self.filter[(self.known & np.uint64(_FILTER_BITS - 1)).astype(np.int64)] = True
         self.bags = [Counter(x.tolist()) for x in sets]
-        self.prints = np.array([int(_pack((_bits(x) * self.weigh(x)[1][:, None]).sum(axis=0)[None])[0]) for x in sets], np.uint64)
+        self.prints = np.array([int(_pack(np.round((_bits(x) * self.weigh(x)[1][:, None]).sum(axis=0)[None], 6))[0]) for x in sets], np.uint64)
         cuts = np.linspace(0, 64, BLOCKS + 1).astype(int)
         self.cuts = [(np.uint64(a), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
         self.by_length: dict[int, np.ndarray] = {}
@@ -120,20 +127,17 @@ class Benchmark:
         return out
 
     def weigh(self, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which shingles belong to an item, and the weight of every shingle."""
+        """Which shingles belong to an item of the slice, and the weight of every shingle."""
         weight = np.full(len(shingle), self.unseen)
         maybe = np.flatnonzero(self.filter[(shingle & np.uint64(_FILTER_BITS - 1)).astype(np.int64)])
         hit = np.zeros(len(shingle), bool)
         if len(maybe):
             at = np.minimum(np.searchsorted(self.known, shingle[maybe]), len(self.known) - 1)
             same = self.known[at] == shingle[maybe]
-            hit[maybe[same]] = True
+            hit[maybe[same]] = self.own[at[same]]
             weight[maybe[same]] = self.known_weight[at[same]]
         return hit, weight
 
-    def weight_of(self, s: int) -> float:
-        return self.weights.get(s, self.unseen)
-
     def near(self, length: int, prints: np.ndarray) -> np.ndarray:
         """(window, item) pairs within the radius, found through the blocks."""
         found = np.zeros((len(prints), len(self.by_length[length])), bool)
@@ -175,7 +179,9 @@ class Benchmark:
         prints = _pack(np.round(run[rank + m] - run[rank], 6))
         for w, item in self.near(length, prints).tolist():
             at = int(start[w])
-            value = similarity(Counter(s[at:at + m].tolist()), self.bags[item], self.weight_of)
+            bag = Counter(s[at:at + m].tolist())
+            here = dict(zip(s[at:at + m].tolist(), weight[at:at + m].tolist()))
+            value = similarity(bag, self.bags[item], lambda x: here[x] if x in here else self.weights[x])
             if value >= threshold - 1e-12 and (item not in best or (-value, at) < (-best[item][0], best[item][1])):
                 best[item] = (value, at)
 
@@ -187,9 +193,30 @@ def slices(items: DataFrame, id_col: str, text_col: str, slice_chars: int) -> li
     return [F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)) == k for k in range(parts)]
 
 
-def _collected(items: DataFrame, part, id_col: str, text_col: str) -> Benchmark:
-    rows = items.filter(part).select(id_col, text_col).orderBy(id_col, text_col).collect()
-    return Benchmark([(r[0], r[1]) for r in rows])
+def item_spread(items: DataFrame, text_col: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of items with words, shingles of more than one of them (sorted), items of each."""
+    def run(batches):
+        for b in batches:
+            for text in b.column(0):
+                h = word_hashes(text.as_py() or "")
+                if len(h):  # null counts the item itself
+                    own = np.unique(shingle_hashes(h, min(SHINGLE_WORDS, len(h)))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *own.tolist()], pa.int64())], ["shingle"])
+    found = items.select(text_col).mapInArrow(run, "shingle long").groupBy("shingle").count().filter("shingle IS NULL OR count > 1").toArrow()
+    shingle, count = found.column("shingle").combine_chunks(), found.column("count").to_numpy()
+    real = shingle.is_valid().to_numpy(zero_copy_only=False)
+    keys = shingle.drop_null().to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return int(count[~real].sum()), keys[order], count[real][order]
+
+
+def _indexes(items: DataFrame, id_col: str, text_col: str, slice_chars: int):
+    """The index of every slice, all with the weights of the whole benchmark."""
+    parts = slices(items, id_col, text_col, slice_chars)
+    spread = item_spread(items, text_col) if len(parts) > 1 else None
+    for part in parts:
+        rows = items.filter(part).select(id_col, text_col).orderBy(id_col, text_col).collect()
+        yield items.sparkSession.sparkContext.broadcast(Benchmark([(r[0], r[1]) for r in rows], spread))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -197,11 +224,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     """doc_id, item_id, similarity, first_word: the best window of every item in every document that has it."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    sc = docs.sparkSession.sparkContext
-
-    def scan(part) -> DataFrame:
-        index = sc.broadcast(_collected(items, part, item_col, item_text))
 
+    def scan(index) -> DataFrame:
         def run(batches):
             bench = index.value
             for b in batches:
@@ -216,15 +240,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(item), pa.array(value, pa.float64()),
                                                       pa.array(first, pa.int64())], ["doc_id", "item_id", "similarity", "first_word"])
         return rows.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, similarity double, first_word long")
-    return reduce(DataFrame.unionByName, [scan(p) for p in slices(items, item_col, item_text, slice_chars)])
+    return reduce(DataFrame.unionByName, [scan(x) for x in _indexes(items, item_col, item_text, slice_chars)])
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                       threshold: float = THRESHOLD, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """The documents, with all their columns, in which no item stands."""
-    sc = docs.sparkSession.sparkContext
-    for part in slices(items, item_col, item_text, slice_chars):
-        index = sc.broadcast(_collected(items, part, item_col, item_text))
+    for index in _indexes(items, item_col, item_text, slice_chars):
 
         def clean(batches, index=index):
             for b in batches:

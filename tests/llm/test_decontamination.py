@@ -108,3 +108,25 @@ def test_documents_shorter_than_the_item(spark):
     assert got == whole and len(whole) > 30
     kept = drop_contaminated(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in whole}
+
+
+def test_slices_give_equal_results(spark):
+    rng, voc = random.Random(12), vocabulary(300)
+    stock = [[rng.choice(voc) for _ in range(9)] for _ in range(6)]  # shared by many items
+    items = [(i, " ".join(rng.choice(stock) + [rng.choice(voc) for _ in range(12)] + rng.choice(stock))) for i in range(40)]
+    docs = []
+    for d in range(240):
+        v = items[d % 40][1].split()
+        for _ in range(rng.choice([0, 1])):
+            v[rng.randrange(len(v))] = "q"
+        if rng.random() < .4:  # the end becomes a passage of other items
+            v[-9:] = rng.choice(stock)
+        docs.append((d, " ".join([rng.choice(voc) for _ in range(6)] + v)))
+    bench, table = spark.createDataFrame(items, "item_id long, text string"), documents(spark, docs)
+    want = sorted(map(tuple, find_contamination(table, bench).collect()))
+    for chars in (600, 2_000):
+        got = sorted(map(tuple, find_contamination(table, bench, slice_chars=chars).collect()))
+        print("rows equal with", chars, "characters:", len(set(want) & set(got)), "of", len(want), "and", len(set(got) - set(want)), "others")
+        assert got == want and len(want) > 60
+    kept = {r.doc_id for r in drop_contaminated(table, bench, slice_chars=2_000).collect()}
+    assert kept == {d for d, _ in docs} - {w[0] for w in want}
