@@ -2,11 +2,13 @@
 
 Fit: token and document counts of both classes over a bounded sample of labelled rows; the
 log-odds of every token with an informative Dirichlet prior (its share in both classes
-together); the significantly toxic tokens form the lexicon. A token is a lower-cased word or
-the first letters of one, so that unseen inflections still count.
+together); the significantly toxic tokens form the lexicon, and the words significant for clean
+texts are kept with their negative log-odds. A token is a lower-cased word or the first letters
+of one, so that unseen inflections still count.
 
-Search: every other token costs a small constant, and a linear scan returns all maximal
-scoring segments of a text. Under chance the best segment of a clean text of n tokens follows
+Search: every place of a text scores the log-odds of its token, however often and wherever the
+token stood before; tokens whose log-odds are not told from zero cost a small constant. A linear
+scan returns all maximal scoring segments of a text. Under chance the best segment of a clean text of n tokens follows
 an extreme-value law, P(S > x) = 1 - exp(-K n e^(-lambda x)); lambda is the root of the score
 distribution of clean texts, K its maximum-likelihood estimate over the clean rows. Segments
 that chance does not explain are the toxic passages; the evidence of a document adds theirs
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import class_weights, held_out, labelled_sample
 
-#: Bounds of the fit: labelled rows of either class, tokens of the lexicon.
+#: Bounds of the fit: labelled rows of either class, tokens of either sign.
 SAMPLE_PER_CLASS = 10_000
 LEXICON_TOKENS = 20_000
 PREFIXES = (4, 5, 6, 7)
@@ -43,7 +45,7 @@ PREFIXES = (4, 5, 6, 7)
 PRIOR_DOCS = 20.0
 MIN_GAIN = 1.5
 MIN_DOCS = 3
-#: Cost of a token outside the lexicon, at least.
+#: Cost of a token without significant log-odds, at least.
 DRIFT = 0.02
 _FLUSH = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,7 +57,7 @@ def tokens(text: str) -> list[str]:
 
 def maximal_segments(at: list[int], gain: list[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last place inclusive, score) of a sequence that
-    gains ``gain[i]`` at place ``at[i]`` and loses ``drift`` at every other one; linear time."""
+    gains ``gain[i]`` (or loses it, below zero) at place ``at[i]`` and loses ``drift`` at every other one; linear time."""
     left: list[float] = []
     right: list[float] = []
     span: list[tuple[int, int]] = []
@@ -63,6 +65,9 @@ def maximal_segments(at: list[int], gain: list[float], drift: float) -> list[tup
     total, last = 0.0, -1
     for place, value in zip(at, gain):
         total -= drift * (place - last - 1)
+        if value <= 0:
+            total, last = total + value, place
+            continue
         lo, hi, first = total, total + value, place
         total, last = hi, place
         while True:
@@ -82,7 +87,7 @@ def maximal_segments(at: list[int], gain: list[float], drift: float) -> list[tup
 
 @dataclass
 class ToxicModel:
-    """What scoring needs; bounded by LEXICON_TOKENS."""
+    """What scoring needs; bounded by LEXICON_TOKENS of either sign."""
 
     gains: dict[str, float] = field(default_factory=dict)
     drift: float = DRIFT
@@ -92,7 +97,8 @@ class ToxicModel:
     slope: float = 0.0
 
     def gain(self, word: str) -> float:
-        return max(self.gains.get(word, 0.0), *(self.gains.get(word[:k] + "*", 0.0) for k in PREFIXES))
+        own = self.gains.get(word, 0.0)
+        return max(own, *(self.gains.get(word[:k] + "*", 0.0) for k in PREFIXES)) or own
 
     def evidence(self, n: int, score: float) -> float:
         """How far a segment lies beyond what the best of n clean tokens reaches."""
@@ -122,12 +128,7 @@ def _segments(text: str, model: ToxicModel, gains: _Gains) -> tuple[int, list[tu
     at = np.flatnonzero(score).tolist()
     if not at:
         return len(words), []
-    met: Counter = Counter()
-    gain = []
-    for i in at:  # the k-th use of a word in a text counts 1/k: words come in bursts
-        met[words[i]] += 1
-        gain.append(float(score[i]) / met[words[i]])
-    return len(words), maximal_segments(at, gain, model.drift)
+    return len(words), maximal_segments(at, score[at].tolist(), model.drift)
 
 
 def token_counts(sample: DataFrame) -> DataFrame:
@@ -207,15 +208,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
     all_tokens = token_counts(sample)
     lexicon = (all_tokens.filter(F.col("toxic") >= MIN_DOCS).withColumn("gain", gain).filter(F.col("gain") >= MIN_GAIN)
                .orderBy(F.desc("gain"), "token").limit(LEXICON_TOKENS).collect())
-    gains = {r["token"]: float(r["gain"]) for r in lexicon}
+    # Words that tell of clean texts lose the upper bound of their log-odds.
+    loss = odds + F.sqrt(1 / a1 + 1 / a0)
+    against = (all_tokens.filter((F.col("clean") >= MIN_DOCS) & ~F.col("token").endswith("*")).withColumn("gain", loss).filter(F.col("gain") < 0)
+               .orderBy("gain", "token").limit(LEXICON_TOKENS).collect())
+    gains = {r["token"]: float(r["gain"]) for r in [*lexicon, *against]}
     model = ToxicModel(gains=gains)
 
     # Clean tokens: how often each gain is met there; unseen lexicon tokens count half a place.
     places = _clean_places(sample.filter("label = 0"), model)
     total = max(sum(places.values()), 1)
-    hit = [(g, n) for g, n in places.items() if g > 0] or [(max(gains.values(), default=1.0), 0.5)]
+    hit = [(g, n) for g, n in places.items() if g]
+    if not any(g > 0 for g, _ in hit):
+        hit.append((max(gains.values(), default=1.0), 0.5))
     g, rate = np.array([x for x, _ in hit]), np.array([n for _, n in hit]) / total
-    model.drift = max(DRIFT, 1.5 * float((g * rate).sum()))
+    model.drift = max(DRIFT, 1.5 * float((np.maximum(g, 0) * rate).sum()))
     model.lam = _root(rate, g, model.drift)
 
     best = _best_segments(sample.select("text", "label"), model)

@@ -123,3 +123,20 @@ def test_sampling_a_class_keeps_the_prior(spark):
     print("mean score:", total, "decisions that differ:", differ)
     assert abs(total[0] - 1 / 12) < .02 and abs(total[1] - total[0]) < .03
     assert differ <= 0.05 * len(a)  # the capped fit reads a tenth of the clean rows
+
+
+def test_the_same_passage_counts_alike_everywhere(spark, model):
+    quiet, passage = "ao bo co do eo fo " * 200, "vexgrim snarlux blightor grumsk maldurn "
+    scattered = "".join(quiet + w + " " for w in BAD * 3)
+    texts = [(1, quiet + (passage + quiet) * 3), (2, passage + scattered + quiet), (3, scattered + quiet + passage)]
+    got = {r.doc_id: r.passages for r in score_documents(documents(spark, texts), model).collect()}
+    whole = {i: [p["score"] for p in ps if p["last"] - p["first"] == 4] for i, ps in got.items()}
+    print("whole passages found:", {i: len(s) for i, s in sorted(whole.items())})
+    assert [len(whole[i]) for i in (1, 2, 3)] == [3, 1, 1]
+    assert max(sum(whole.values(), [])) - min(sum(whole.values(), [])) < 1e-6
+
+
+def test_words_of_clean_texts_cost_their_log_odds(spark):
+    rows = [(i, ("vexgrim snarlux " * 3 if i % 3 == 0 else "harmless " * 3) + ["ao bo ", "co do "][i % 2] * 4) for i in range(300)]
+    m = fit(documents(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    assert m.gain("vexgrim") > 0 > -m.drift > m.gain("harmless") and m.gain("unseen") == 0
