@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shelfspark import fixed_values as V
 from shelfspark.config import MemoryConfig, SearchConfig
 from shelfspark.functions.text import estimate_tokens, prefix, strip
 from shelfspark.operators.keyed import top_per_key
+from shelfspark.operators.scan import running
 from shelfspark.session import fill, let
 
 
@@ -34,29 +34,17 @@ def format_history(messages: DataFrame, cfg: MemoryConfig = MemoryConfig(), conv
     return gathered.select(conv, F.array_join(F.transform("l", lambda s: s["line"]), "\n").alias("history"))
 
 
-def suffix_sums(df: DataFrame, key: str, pos: str, values: list[str], block: int = 4096,
-                carry: dict[str, Column] | None = None) -> DataFrame:
+def suffix_sums(df: DataFrame, key: str, pos: str, values: list[str], carry: dict[str, Column] | None = None,
+                block: int | None = None) -> DataFrame:
     """Adds ``<value>_after``, the sum over this and all later rows of the same key, and
-    ``<value>_total``.
+    ``<value>_total``; ``carry`` adds maxima over the whole key (name -> column).
 
-    A key is cut into blocks of neighbouring positions; only block totals are summed
-    across a key, so no task sorts more than one block of rows and even a key with a
-    third of all rows is spread over the cluster. ``carry`` adds maxima over the whole
-    key (name -> column) on the same way.
+    A scan over ranges of rows: positions may be times or leave gaps, and even a key with a
+    third of all rows is spread over the cluster. ``block`` aims at a number of rows per range.
     """
-    carry = carry or {}
-    b = df.withColumn("_b", F.floor(F.col(pos) / F.lit(block)))
-    totals = b.groupBy(key, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values], *[F.max(c).alias(n) for n, c in carry.items()])
-    whole = Window.partitionBy(key)
-    later = whole.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_b", *[F.coalesce(F.sum(f"_t_{v}").over(later), F.lit(0)).alias(f"_o_{v}") for v in values],
-                            *[F.sum(f"_t_{v}").over(whole).alias(f"{v}_total") for v in values],
-                            *[F.max(n).over(whole).alias(n) for n in carry])
-    own = Window.partitionBy(key, "_b").orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    inner = b.withColumns({f"_i_{v}": F.sum(v).over(own) for v in values})
-    out = inner.join(offsets, [key, "_b"])
-    out = out.withColumns({f"{v}_after": F.col(f"_i_{v}") + F.col(f"_o_{v}") for v in values})
-    return out.drop("_b", *[f"_{p}_{v}" for p in "io" for v in values])
+    names = {f"{v}_after": F.col(v) for v in values}
+    out = running(df, [key], [F.col(pos).desc()], names, totals=True, maxima=carry, block=block)
+    return out.withColumnsRenamed({f"{v}_after_total": f"{v}_total" for v in values})
 
 
 def memory_budget(query_tokens: Column, system_tokens: int, cfg: MemoryConfig) -> Column:
