@@ -16,7 +16,7 @@ needs_tables = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables
 
 def test_one_query_per_operator():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in contract.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in contract.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "pii", "bpe"]
 
 
@@ -33,7 +33,9 @@ def test_query_runs_and_equals_its_sql(spark, name):
     ("op2_token_counts", "doc_id n_bytes n_tokens over_limit"), ("op3_substring_dedup", "doc_id n_words n_removed kept_sha256"),
     ("op6_bpe", "doc_id n_tokens ids_sha256 decoded_sha256"), ("op7_quality", "doc_id held_out score predicted"),
     ("op8_pii", "doc_id n_email n_ip n_card n_phone base_sha256 spans"), ("op9_toxicity", "doc_id held_out score predicted"),
-    ("op10_nearest", "query_id rank vec_id score")])
+    ("op10_nearest", "query_id rank vec_id score"),
+    ("op11_prefix_trie", "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256"),
+    ("op12_filter_audit", "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley"), ("op13_mixing", "doc_id size source_size target taken")])
 def test_columns(spark, name, columns):
     assert set(columns.split()) <= set(entries()[name][0](spark, FOLDER).columns)
 
