@@ -2,33 +2,54 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+import json
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.config import Bm25Config
 from shelfspark.functions.fold import term_counts, tokenize
+from shelfspark.operators import postings
 from shelfspark.operators.keyed import top_per_key
 from shelfspark.session import BROADCAST_MAX_ROWS, explode_once, materialize, small_side
+from shelfspark.sources import files
 
 
-@dataclass(frozen=True)
 class Queries:
-    """A batch of queries ``(query_id, query)`` with its measured size."""
+    """A batch of queries ``(query_id, query)``; its size is measured when it is first asked for."""
+
+    def __init__(self, df: DataFrame, rows: int | None = None, chars: int | None = None):
+        self.df = df
+        if rows is not None and chars is not None:
+            self.size = (rows, chars)
+
+    @functools.cached_property
+    def size(self) -> tuple[int, int]:
+        """Queries and characters."""
+        return tuple(self.df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("query")), F.lit(0))).first())
+
+    @property
+    def rows(self) -> int:
+        return self.size[0]
 
-    df: DataFrame
-    rows: int
-    chars: int
+    @property
+    def chars(self) -> int:
+        return self.size[1]
 
     @classmethod
     def of(cls, df: DataFrame, query_id: str = "query_id", query: str = "query") -> Queries:
-        df = df.select(F.col(query_id).alias("query_id"), F.col(query).alias("query"))
-        size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("query")), F.lit(0)).alias("c")).first()
-        return cls(df, size["n"], size["c"])
+        return cls(df.select(F.col(query_id).alias("query_id"), F.col(query).alias("query")))
+
+    def few(self, n: int) -> list | None:
+        """The counted words of at most ``n`` queries; None where there are more."""
+        head = self.df.limit(n + 1).select("query_id", term_counts(tokenize("query")).alias("terms")).collect()
+        return head if len(head) <= n else None
 
     def small(self, df: DataFrame, per_query: int = 1) -> DataFrame:
         """Broadcast a table of at most ``per_query`` rows per query when that is small."""
@@ -50,14 +71,15 @@ class LexicalIndex:
     ``vocabulary(term, df)``.
 
     Partitioned by document, so one scan scores a document against every query; the
-    vocabulary is a partial-aggregated count over it. A saved index also has
-    ``by_term(term, doc_id, dl, tf)``, the postings in ranges of terms, sorted: a few queries
-    read the row groups of their own words only.
+    vocabulary is a partial-aggregated count over it. A saved index also has the idf of its terms,
+    its own size, and its postings in ``blocks`` by term: a few queries read the row groups of
+    their own words only, and nothing of ``doc_terms``.
     """
 
     doc_terms: DataFrame
     vocabulary: DataFrame
-    by_term: DataFrame | None = None
+    blocks: DataFrame | None = None
+    made: dict | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LexicalIndex:
@@ -75,13 +97,19 @@ class LexicalIndex:
         docs = LexicalIndex.of_terms(materialize(self.doc_terms, "doc_terms"))
         return LexicalIndex(docs.doc_terms, materialize(docs.vocabulary, "vocabulary"))
 
-    def save(self, path: str) -> None:
-        """Full rebuild of the index folder."""
+    def save(self, path: str, cfg: Bm25Config = Bm25Config()) -> None:
+        """Full rebuild of the index folder, with contributions and idf for ``cfg``."""
+        spark = self.doc_terms.sparkSession
         self.doc_terms.write.mode("overwrite").parquet(f"{path}/doc_terms")
-        saved = LexicalIndex.of_terms(self.doc_terms.sparkSession.read.parquet(f"{path}/doc_terms"))
-        saved.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-        (saved.postings().select("term", "doc_id", "dl", "tf").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-         .write.mode("overwrite").parquet(f"{path}/by_term"))
+        saved = LexicalIndex.of_terms(spark.read.schema(self.doc_terms.schema).parquet(f"{path}/doc_terms"))
+        size = saved.corpus().first()
+        saved.term_stats(cfg).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        stats = spark.read.parquet(f"{path}/vocabulary")
+        blocks = postings.blocks(saved.doc_terms, stats, size["avgdl"] or 1.0, cfg)
+        blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+        schema = {name: df.schema.json() for name, df in (("doc_terms", saved.doc_terms), ("vocabulary", stats), ("blocks", blocks))}
+        made = {"n_docs": size["n_docs"], "n_tokens": size["n_tokens"], "avgdl": size["avgdl"], "cfg": asdict(cfg), "schema": schema}
+        files.write_text(spark, f"{path}/made.json", json.dumps(made))
 
     def save_table(self, table: str, buckets: int) -> None:
         """Bucketed by document: scoring then aggregates per document without a shuffle."""
@@ -92,7 +120,8 @@ class LexicalIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
-        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("doc_terms", "vocabulary", "by_term")])
+        made = json.loads(files.read_text(spark, f"{path}/made.json"))
+        return cls(*[spark.read.schema(T.StructType.fromJson(json.loads(kind))).parquet(f"{path}/{t}") for t, kind in made["schema"].items()], made)
 
     @classmethod
     def load_table(cls, spark: SparkSession, table: str) -> LexicalIndex:
@@ -104,9 +133,15 @@ class LexicalIndex:
 
     def corpus(self) -> DataFrame:
         """One row: documents, mean length."""
+        if self.made:
+            known = {c: F.lit(self.made[c]).cast(kind).alias(c) for c, kind in (("n_docs", "long"), ("n_tokens", "long"), ("avgdl", "double"))}
+            return self.doc_terms.sparkSession.range(1).select(*known.values())
         return self.doc_terms.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("n_tokens")).select(
             "n_docs", "n_tokens", (F.col("n_tokens").cast("double") / F.col("n_docs")).alias("avgdl"))
 
+    def saved_for(self, cfg: Bm25Config) -> bool:
+        return self.made is not None and self.made["cfg"] == asdict(cfg)
+
     def term_stats(self, cfg: Bm25Config = Bm25Config()) -> DataFrame:
         """(term, df, idf). A negative idf is replaced by epsilon times the mean raw idf.
 
@@ -114,6 +149,9 @@ class LexicalIndex:
         many rows as there are distinct counts.
         """
         df = self.vocabulary
+        if self.saved_for(cfg):
+            return df.select("term", "df", "idf")
+        df = df.select("term", "df")
         n = self.corpus().select(F.col("n_docs").cast("double")).scalar()
         raw = F.log(n - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))
         mean = (df.groupBy("df").agg(F.count(F.lit(1)).alias("terms")).withColumn("raw", raw)
@@ -127,27 +165,37 @@ def search(index: LexicalIndex, queries: Queries, k: int, cfg: Bm25Config = Bm25
 
     A document stands in one row, so it is scored against all queries where it is read and a
     task hands on its best ``k`` documents per query: no row per (query, document) is shuffled.
-    Up to FEW_QUERIES queries against a saved index read the postings of their words only.
+    Up to FEW_QUERIES queries against a saved index open the blocks of their words only.
     Query words that are too many to be sent to the tasks meet the postings by a shuffle.
     Documents without any query word are not returned.
     """
+    best = lambda scored: top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+    if index.blocks is not None and index.saved_for(cfg):
+        head = queries.few(FEW_QUERIES)
+        if head is not None:
+            return best(_few(index, queries, head, k))
     stats = index.term_stats(cfg)
     weights = stats.join(queries.small_terms(queries.terms()), "term").select("term", "query_id", (F.col("qtf") * F.col("idf")).alias("w"))
     avgdl = index.corpus().select("avgdl")
-    few = index.by_term is not None and queries.rows <= FEW_QUERIES
-    if few or (queries.chars // 3 + queries.rows) > BROADCAST_MAX_ROWS:
-        postings = index.postings()
-        if few:
-            words = [r["term"] for r in queries.terms().select("term").distinct().collect()]
-            postings = index.by_term.filter(F.col("term").isin(words))
-        tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
-        part = F.col("w") * tf * F.lit(cfg.k1 + 1) / (tf + F.lit(cfg.k1) * (F.lit(1 - cfg.b) + F.lit(cfg.b) * dl / avgdl.scalar()))
-        scored = (postings.join(queries.small_terms(weights), "term").withColumn("part", part)
+    if (queries.chars // 3 + queries.rows) > BROADCAST_MAX_ROWS:
+        part = F.col("w") * postings.contribution(F.col("tf"), F.col("dl"), avgdl.first()["avgdl"] or 1.0, cfg)
+        scored = (index.postings().join(queries.small_terms(weights), "term").withColumn("part", part)
                   .groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")))
     else:
         mean = avgdl.first()["avgdl"]
         scored = _scored_in_tasks(index.doc_terms, weights, float(mean or 1.0), k, cfg)
-    return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+    return best(scored)
+
+
+def _few(index: LexicalIndex, queries: Queries, head: list, k: int) -> DataFrame:
+    """A few queries over the blocks of their words."""
+    asked: dict[str, list[tuple[int, int]]] = {}
+    for q, row in enumerate(head):
+        for t in row["terms"] or []:
+            asked.setdefault(t["term"], []).append((q, t["tf"]))
+    found = postings.search_blocks(index.blocks.filter(F.col("term").isin(sorted(asked))), asked, len(head), k)
+    ids = F.array(*[F.lit(r["query_id"]).cast(queries.df.schema["query_id"].dataType) for r in head]) if head else F.array(F.lit(None).cast(queries.df.schema["query_id"].dataType))
+    return found.select(F.get(ids, F.col("q").cast("int")).alias("query_id"), "doc_id", F.round("raw", 6).alias("score"))
 
 
 #: Queries that read postings by term; pairs of a posting and a query computed at once.

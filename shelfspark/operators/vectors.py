@@ -79,30 +79,43 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best by (score descending, id ascending)."""
-    if len(scores) > k:
-        floor = np.partition(scores, -k)[-k]
-        keep = scores >= floor
-        ids, scores = ids[keep], scores[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
-def _scan(batches, query_ids: list, unit_queries: np.ndarray, k: int):
-    """Running top-k per query over the vectors of one task."""
-    best: list = [None] * len(query_ids)
-    for ids, mat in batches:
-        if not len(ids):
-            continue
-        sims = np.round(_unit(mat) @ unit_queries.T, 6) + 0.0
-        for j in range(len(query_ids)):
-            i, s = _best(ids, sims[:, j], k)
-            if best[j] is not None:
-                i, s = _best(np.concatenate([best[j][0], i]), np.concatenate([best[j][1], s]), k)
-            best[j] = (i, s)
-    rows = [(q, i, float(s)) for q, b in zip(query_ids, best) if b is not None for i, s in zip(*b)]
-    return rows
+def cut(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of every query by (score descending, id ascending)."""
+    order = np.lexsort((ids, -scores, query))
+    q = query[order]
+    begin = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
+    rank = np.arange(len(q)) - np.repeat(begin, np.diff(np.r_[begin, len(q)]))
+    order = order[rank < k]
+    return query[order], ids[order], scores[order]
+
+
+#: Similarities that are computed at once.
+_CELLS = 1 << 22
+
+
+def _scan(batches, unit_queries: np.ndarray, k: int, floor: np.ndarray | None = None):
+    """(query number, id, score): the k best per query over the vectors of ``batches``.
+
+    Slices of vectors meet all queries at once; of a slice only what reaches the k-th best score of
+    its query so far is kept."""
+    n = len(unit_queries)
+    best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    if not n:
+        return best
+    floor = np.full(n, -np.inf) if floor is None else floor
+    for all_ids, all_rows in batches:
+        step = max(k, _CELLS // n)
+        for at in range(0, len(all_ids), step):
+            ids, sims = all_ids[at:at + step], np.round(_unit(all_rows[at:at + step]) @ unit_queries.T, 6) + 0.0
+            own = np.partition(sims, -k, axis=0)[-k] if len(ids) > k else np.full(n, -np.inf)
+            row, query = np.nonzero(sims >= np.maximum(own, floor)[None])
+            kept = (query, ids[row], sims[row, query])
+            best = cut(*(np.concatenate(p) for p in zip(best, kept)), k) if len(best[0]) else cut(*kept, k)
+            full = np.bincount(best[0], minlength=n) >= k
+            low = np.full(n, np.inf)
+            np.minimum.at(low, best[0], best[2])
+            floor = np.where(full, low, -np.inf)
+    return best
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "doc_id", vec: str = "embedding",
@@ -110,58 +123,61 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "do
             max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Exact cosine top-``k`` per query: (query_id, <vec_id>, score, rank).
 
-    The query matrix is measured first. While it is small it goes to the tasks once and
-    the vectors are neither shuffled nor paired: every task keeps ``k`` rows per query.
-    A larger batch is cut into blocks that meet blocks of vectors.
+    The query matrix is measured first and goes to the tasks in blocks of at most ``max_bytes``.
+    The vectors are neither shuffled nor paired: a task holds a part of its vectors of that
+    size at most, meets it with one block after the other and hands on ``k`` rows per query
+    and part.
     """
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vec)).alias("d")).first()
     need = (size["n"] or 0) * (size["d"] or 0) * 8
     v = vectors.select(F.col(vec_id), F.col(vec).alias("_v"))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_v"))
     schema = T.StructType([q.schema["query_id"], v.schema[vec_id], T.StructField("score", T.DoubleType())])
-    near = _broadcast_scan(v, q, vec_id, k, schema) if need <= max_bytes else _block_scan(
-        v, q, vec_id, k, schema, blocks=-(-need // max_bytes), max_bytes=max_bytes)
+    near = _block_scan(v, q, vec_id, k, schema, max(1, -(-need // max_bytes)), max_bytes)
     return top_per_key(near, ["query_id"], [F.col("score").desc(), F.col(vec_id)], k)
 
 
-def _broadcast_scan(v: DataFrame, q: DataFrame, vec_id: str, k: int, schema: T.StructType) -> DataFrame:
-    table = q.toArrow()
-    shared = v.sparkSession.sparkContext.broadcast(
-        (table.column("query_id").to_pylist(), _unit(_matrix(table.column("_v")))))
+def _sent(q: DataFrame, blocks: int) -> list:
+    """The queries as broadcasts of (ids, unit vectors), one block at a time on the driver."""
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    out = []
+    for b in range(blocks):
+        table = (q if blocks == 1 else q.filter(part == b)).toArrow()
+        out.append(q.sparkSession.sparkContext.broadcast((table.column("query_id").to_pylist(), _unit(_matrix(table.column("_v"))))))
+    return out
+
+
+def _block_scan(v: DataFrame, q: DataFrame, vec_id: str, k: int, schema: T.StructType, blocks: int, max_bytes: int) -> DataFrame:
+    """Every part of a task's vectors against the query blocks in turn."""
+    sent = _sent(q, blocks)
     out = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, mat = shared.value
-        if not ids:
+    def parts(batches):
+        """What is held of the vectors at once: all batches for one block, else about ``max_bytes``."""
+        if len(sent) == 1:
+            yield ((b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))) for b in batches)
             return
-        rows = _scan(((b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))) for b in batches), ids, mat, k)
-        frame = pd.DataFrame(rows, columns=["query_id", vec_id, "score"])
-        if len(frame):
-            yield pa.RecordBatch.from_pandas(frame, schema=out, preserve_index=False)
-
-    return v.mapInArrow(run, schema)
+        held, size = [], 0
+        for b in batches:
+            for at in range(0, len(b), 4096):
+                x = b.slice(at, 4096)
+                held.append((x.column(0).to_numpy(zero_copy_only=False), _matrix(x.column(1))))
+                size += held[-1][1].nbytes
+                if size >= max_bytes:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            for block in sent:
+                ids, mat = block.value
+                query, near, score = _scan(part, mat, k)
+                if len(query):
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in query], out.field(0).type), pa.array(near, out.field(1).type), pa.array(score)], schema=out)
 
-def _block_scan(v: DataFrame, q: DataFrame, vec_id: str, k: int, schema: T.StructType,
-                blocks: int, max_bytes: int) -> DataFrame:
-    """Query blocks x vector blocks, each pair in its own bounded task."""
-    size = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    v_blocks = max(1, -(-((size["n"] or 0) * (size["d"] or 0) * 8) // max_bytes))
-    out = to_arrow_schema(schema)
-    cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    vs = v.withColumn("vb", cell(vec_id, v_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    qs = q.withColumn("qb", cell("query_id", blocks)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if left.num_rows and right.num_rows:
-            rows = _scan([(left.column(vec_id).to_numpy(), _matrix(left.column("_v")))],
-                         right.column("query_id").to_pylist(), _unit(_matrix(right.column("_v"))), k)
-        frame = pd.DataFrame(rows, columns=["query_id", vec_id, "score"])
-        return pa.Table.from_pandas(frame, schema=out, preserve_index=False)
-
-    keys = [F.col("qb").cast("long"), F.col("vb").cast("long")]
-    return vs.groupBy(*keys).cogroup(qs.groupBy(*keys)).applyInArrow(run, schema)
+    return v.mapInArrow(run, schema)
 
 
 def with_distance(near: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -14,6 +13,7 @@ from shelfspark.operators import evaluate, memory, retrieve
 from shelfspark.plans.registry import sql as S
 from shelfspark.plans.registry.search import _BM25, _docs, _library, _queries
 from shelfspark.session import shared_dir
+from shelfspark.sources import files
 from shelfspark.sources.tables import load
 from shelfspark.streaming import incremental
 
@@ -152,31 +152,41 @@ def _run(query):
     query.awaitTermination()
 
 
+def _base(spark) -> str:
+    return f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+
+
+def _in_batches(spark, table: DataFrame, base: str, by: str, newest_first: bool, again: DataFrame | None = None):
+    """A stream that brings the table in four batches by ranges of ``by``; from the second on a
+    batch also brings the rows ``again`` of the one before."""
+    top = table.agg(F.max(by)).first()[0] or 0
+    quarter = lambda df, k: df.filter(F.least(F.floor(F.col(by) * 4 / (top + 1)), F.lit(3)) == k)
+    begin = 1_700_000_000_000
+    for n, k in enumerate(sorted(range(4), reverse=newest_first)):
+        rows = quarter(table, k)
+        if again is not None and n:
+            rows = rows.unionByName(quarter(again, k - 1))
+        before = set(files.names(spark, f"{base}/in"))
+        rows.repartition(2).write.mode("append").parquet(f"{base}/in")
+        for name in set(files.names(spark, f"{base}/in")) - before:  # files are taken by their time
+            files.set_time(spark, f"{base}/in/{name}", begin + 1000 * n)
+    return incremental.read_stream(spark, f"{base}/in", table.schema, files_per_batch=2)
+
+
 def streamed_documents(spark, d):
-    """Stream the documents into an append-once table and count what arrived."""
-    base = f"{shared_dir(spark)}/shelfspark/stream-{uuid.uuid4().hex}"
-    schema = load(spark, d, "documents").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    _run(incremental.ingest_new(s.select("doc_id", "lang", "n_chars"), f"{base}/out", f"{base}/cp", "doc_id"))
+    """Stream the documents, some of them twice, into an append-once table and count what arrived."""
+    base, docs = _base(spark), load(spark, d, "documents", "doc_id", "lang", "n_chars")
+    s = _in_batches(spark, docs, base, "doc_id", newest_first=False, again=docs.filter("doc_id % 3 = 0"))
+    _run(incremental.ingest_new(s, f"{base}/out", f"{base}/cp", "doc_id"))
     return spark.read.parquet(f"{base}/out").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 SQL_STREAM_DOCS = "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1"
 
 
-def _in_batches(spark, table: DataFrame, base: str, by: str, newest_first: bool):
-    """A stream that brings the table in four batches by ranges of ``by``."""
-    top = table.agg(F.max(by)).first()[0] or 0
-    quarter = F.least(F.floor(F.col(by) * 4 / (top + 1)), F.lit(3))
-    for k in sorted(range(4), reverse=newest_first):
-        table.filter(quarter == k).repartition(2).write.mode("append").parquet(f"{base}/in")
-        time.sleep(1.1)  # files are taken by their time
-    return incremental.read_stream(spark, f"{base}/in", table.schema, files_per_batch=2)
-
-
 def streamed_upserts(spark, d):
     """Stream the events as upserts per user, newest first; the highest event stays."""
-    base = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    base = _base(spark)
     s = _in_batches(spark, load(spark, d, "events", "user_id", "event_id", "event_type", "value"), base, "event_id", newest_first=True)
     _run(incremental.ingest_upsert(s, f"{base}/out", f"{base}/cp", "user_id", "event_id"))
     return incremental.read_upserted(spark, f"{base}/out").select("user_id", "event_id", "event_type", "value")
@@ -187,7 +197,7 @@ SQL_STREAM_UPSERTS = "SELECT user_id, event_id, event_type, value FROM events QU
 
 def streamed_progress(spark, d):
     """Stream the documents and keep the number of finished ones per language and batch."""
-    base = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    base = _base(spark)
     s = _in_batches(spark, load(spark, d, "documents", "doc_id", "lang"), base, "doc_id", newest_first=False)
     _run(incremental.track_progress(s, f"{base}/out", f"{base}/cp", "lang"))
     return spark.read.parquet(f"{base}/out").groupBy("lang").agg(F.sum("count").alias("n"), F.countDistinct("epoch").alias("batches"))
@@ -199,7 +209,7 @@ SELECT lang, count(*) AS n, count(DISTINCT least(CAST(floor(doc_id * 4 / (SELECT
 
 def conversation_states(spark, d):
     """Stream the messages through the per-conversation state, in four batches."""
-    base = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    base = _base(spark)
     s = _in_batches(spark, load(spark, d, "conversations", "conv_id", "turn", "text"), base, "turn", newest_first=False)
     _run(incremental.track_conversations(s, f"{base}/out", f"{base}/cp", 4))
     return incremental.read_conversations(spark, f"{base}/out")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.config import SearchConfig
 from shelfspark.functions.text import words
-from shelfspark.operators import evaluate, retrieve, vectors
+from shelfspark.operators import evaluate, lsh, retrieve, vectors
 from shelfspark.operators.bm25 import LexicalIndex, Queries, search
 from shelfspark.plans.registry import sql as S
 from shelfspark.plans.search import Library
@@ -36,8 +36,8 @@ def _library(spark, d, store: bool = True) -> Library:
 _TERMS = f"""dt AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({S.tokens('text')}) AS term FROM documents) GROUP BY 1, 2),
  dl AS (SELECT d.doc_id, coalesce(sum(tf), 0) AS dl FROM documents d LEFT JOIN dt USING (doc_id) GROUP BY 1),
  cs AS (SELECT count(*) AS n, CAST(sum(dl) AS DOUBLE) / count(*) AS avgdl FROM dl),
- df AS (SELECT term, count(*) AS df FROM dt GROUP BY 1),
- raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS r FROM df, cs),
+ df AS MATERIALIZED (SELECT term, count(*) AS df FROM dt GROUP BY 1),
+ raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS r FROM df, cs),
  idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25::DOUBLE * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
 _QT = f"""qt AS MATERIALIZED (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({S.tokens('text')}) AS term FROM benchmark) GROUP BY 1, 2)"""
 _BM25 = f"""{_TERMS}, {_QT},
@@ -83,11 +83,14 @@ _RERANK = f"{_HYBRID}, {_reranked('rr', 'hy', K)}"
 
 # ------------------------------------------------------------------ index
 def bm25_terms(spark, d):
+    """Document frequencies and idf of all terms, told per first letter and frequency."""
     s = LexicalIndex.build(_docs(spark, d)).stored().term_stats()
-    return s.select("term", "df", F.round("idf", 6).alias("idf"))
+    return (s.groupBy(F.substring("term", 1, 1).alias("initial"), "df").agg(F.count(F.lit(1)).alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"),
+                                                                            F.round(F.max("idf"), 6).alias("idf"), F.round(F.min("idf"), 6).alias("least_idf")))
 
 
-SQL_TERM = f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf"
+SQL_TERM = f"""WITH {_TERMS} SELECT substr(term, 1, 1) AS initial, df, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term, round(max(idf), 6) AS idf, round(min(idf), 6) AS least_idf
+FROM idf GROUP BY 1, 2"""
 
 
 def bm25_corpus(spark, d):
@@ -130,6 +133,31 @@ WITH x AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generat
 SELECT CAST(label AS BIGINT) AS query_id, vec_id, score, rank, round(1 - score, 6) AS distance FROM r WHERE rank < {K}"""
 
 
+_APPROX = {"tables": 4, "bits": 5, "seed": 1}
+
+
+def vector_approx(spark, d):
+    """Approximate neighbours of the centroids: four tables of five planes, two bits probed."""
+    e = load(spark, d, "embeddings", "vec_id", "embedding", "label")
+    index = lsh.LshIndex.build(e, "vec_id", "embedding", **_APPROX)
+    c = vectors.centroids(e, "label", "embedding").withColumnRenamed("label", "query_id")
+    return lsh.nearest(index, c, K, probe_bits=2).withColumn("query_id", F.col("query_id").cast("long"))
+
+
+SQL_APPROX = f"""
+WITH x AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+ c AS (SELECT label, i, avg(v) AS v FROM x GROUP BY 1, 2), cn AS (SELECT label, sqrt(sum(v * v)) AS n FROM c GROUP BY 1), xn AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM x GROUP BY 1),
+ pl AS (SELECT t, b, i, CASE WHEN substr(md5('1:' || t || ':' || b || ':' || i), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s
+  FROM (SELECT unnest(range(4)) AS t), (SELECT unnest(range(5)) AS b), (SELECT unnest(range((SELECT max(i) + 1 FROM x))) AS i)),
+ xs AS (SELECT x.vec_id, t, b, round(sum(v * s) / any_value(n), 6) AS z FROM x JOIN pl USING (i) JOIN xn USING (vec_id) GROUP BY 1, 2, 3),
+ cs AS (SELECT label, t, b, round(sum(v * s) / any_value(n), 6) AS z FROM c JOIN pl USING (i) JOIN cn USING (label) GROUP BY 1, 2, 3),
+ cr AS (SELECT *, row_number() OVER (PARTITION BY label, t ORDER BY abs(z), b) > 2 AS sure FROM cs),
+ hit AS (SELECT DISTINCT label, vec_id FROM (SELECT cr.label, xs.vec_id, cr.t FROM cr JOIN xs USING (t, b) GROUP BY 1, 2, 3 HAVING bool_and((cr.z >= 0) = (xs.z >= 0) OR NOT sure))),
+ s AS (SELECT h.label, h.vec_id, round(sum(c.v * x.v) / (any_value(cn.n) * any_value(xn.n)), 6) AS score FROM hit h JOIN c ON c.label = h.label JOIN x ON x.vec_id = h.vec_id AND x.i = c.i
+  JOIN cn ON cn.label = h.label JOIN xn ON xn.vec_id = h.vec_id GROUP BY 1, 2)
+SELECT CAST(label AS BIGINT) AS query_id, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) - 1 AS rank FROM s QUALIFY rank < {K}"""
+
+
 def vector_topk(spark, d):
     return _library(spark, d, store=False).vector(_queries(spark, d), K)
 
@@ -272,6 +300,7 @@ ENTRIES = {
     "bm25_single": (bm25_single, SQL_SINGLE),
     "bm25_topk": (bm25_topk, SQL_BM25),
     "knn_centroids": (knn_centroids, SQL_KNN),
+    "vector_approx": (vector_approx, SQL_APPROX),
     "vector_topk": (vector_topk, SQL_VECTOR),
     "hybrid_topk": (hybrid_topk, SQL_HYBRID),
     "reranked_topk": (reranked_topk, SQL_RERANKED),

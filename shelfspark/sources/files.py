@@ -1,4 +1,4 @@
-"""Folders of any file system that Spark reads: listing and deleting."""
+"""Folders of any file system that Spark reads: listing, deleting, small files."""
 
 from __future__ import annotations
 
@@ -19,3 +19,29 @@ def names(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> bool:
     fs, p = _folder(spark, path)
     return fs.delete(p, True)
+
+
+def set_time(spark: SparkSession, path: str, millis: int) -> None:
+    """Sets the time of change of a file, by which streams take files in order."""
+    fs, p = _folder(spark, path)
+    fs.setTimes(p, millis, -1)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, replaced if it is there."""
+    fs, p = _folder(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, read without a job."""
+    fs, p = _folder(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark import fixed_values as V
 from shelfspark.functions.text import latex_percent, vn_number
-from shelfspark.operators.keyed import not_done
+from shelfspark.session import materialize
+from shelfspark.sources import files
 
 
 def write_records(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -39,20 +40,40 @@ def write_csv(df: DataFrame, path: str, columns=tuple(V.CATALOG_COLUMNS), mode:
      .option("escape", '"').option("encoding", "UTF-8").csv(path))
 
 
-def append_new(df: DataFrame, path: str, key: str = "id") -> DataFrame:
-    """Append the rows whose key is not stored yet and return what was added."""
+#: Parts of the key table of an append-once table.
+KEY_BUCKETS = 64
+
+
+def append_new(df: DataFrame, path: str, key: str = "id", buckets: int = KEY_BUCKETS) -> DataFrame:
+    """Append the rows whose key is not stored yet and return what was added.
+
+    The keys stand beside the rows in ``<path>/_keys``, in folders by key hash; a batch looks its own
+    up in the folders that they fall into. The mark ``_pending`` stands while rows and keys
+    are written: where it is found, a batch broke off, and the keys are taken from the rows again.
+    """
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path)
-    except Exception as e:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        done = None
-    new = df if done is None else not_done(df, done, key)
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    there = files.names(spark, path)
+    stored = any(n.endswith(".parquet") for n in there)
+    if stored and ("_pending" in there or "_keys" not in there):
+        _write_keys(spark.read.parquet(path).select(key, bucket.alias("key_bucket")), path, "overwrite")
+    new = df
+    if stored:
+        touched = sorted(r[0] for r in df.select(bucket.alias("b")).distinct().collect())  # at most the number of buckets
+        done = spark.read.parquet(f"{path}/_keys").filter(F.col("key_bucket").isin(touched)).select(F.col(key))
+        new = df.join(done, key, "left_anti").select(*df.columns)
+    files.write_text(spark, f"{path}/_pending", "")
+    new = materialize(new, "new")  # the same rows go to the table and to the keys
     new.write.mode("append").parquet(path)
+    _write_keys(new.select(key, bucket.alias("key_bucket")), path, "append" if stored else "overwrite")
+    files.delete(spark, f"{path}/_pending")
     return new
 
 
+def _write_keys(keys: DataFrame, path: str, mode: str) -> None:
+    keys.repartition("key_bucket").write.mode(mode).partitionBy("key_bucket").parquet(f"{path}/_keys")
+
+
 def run_stats(df: DataFrame, **counts) -> DataFrame:
     """One row of named conditional counts."""
     return df.agg(*[F.count(F.when(cond, 1)).alias(name) for name, cond in counts.items()])

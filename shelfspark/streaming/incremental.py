@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from shelfspark.operators.keyed import keep_first, top_per_key, upsert
+from shelfspark.operators.keyed import keep_first, upsert
 from shelfspark.sources import files
 from shelfspark.sources.sinks import append_new
 
@@ -17,11 +21,40 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A query over what is available ends with its data; clearing expired state would call for another batch for ever.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession):
+    """Queries started inside keep their state in the state store on disk, not in executor memory."""
+    before = {key: spark.conf.get(key, None) for key in _STORE}
+    for key, value in _STORE.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def ingest_new(stream: DataFrame, target: str, checkpoint: str, key: str = "id", order: str | None = None) -> StreamingQuery:
-    """Append records whose key is not stored yet. A replayed batch adds nothing twice,
-    because the stored keys are looked up again."""
+    """Append records whose key was not seen before.
+
+    The seen keys are the query's state, so a batch looks up its own keys only, and the
+    file sink commits a batch once. With ``order`` the first record of a batch per key counts; the
+    stored keys are then looked up in the target, in the parts that the batch touches.
+    """
+    if order is None:
+        with _state_on_disk(stream.sparkSession):
+            return (stream.dropDuplicates([key]).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+                    .outputMode("append").trigger(availableNow=True).start())
+
     def batch(df: DataFrame, epoch: int) -> None:
-        append_new(keep_first(df, [key], [F.col(order or key)]), target, key)
+        append_new(keep_first(df, [key], [F.col(order)]), target, key)
 
     return (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -94,29 +127,60 @@ def track_progress(stream: DataFrame, target: str, checkpoint: str, by: str) ->
             .trigger(availableNow=True).start())
 
 
-def track_conversations(stream: DataFrame, target: str, checkpoint: str, keep: int = 10, conv: str = "conv_id",
-                        turn: str = "turn", text: str = "text", buckets: int = BUCKETS) -> StreamingQuery:
-    """State per conversation: messages so far, how many left the window, characters in it.
+class _Window(StatefulProcessor):
+    """Messages of a conversation so far and the last ``keep`` of them with their sizes."""
 
-    A batch is first cut to the last ``keep`` messages and a count per conversation inside
-    the map tasks, then merged with the stored state, so neither a hot conversation nor
-    its state grows with its length. A batch rewrites the parts of the state it touches.
-    """
-    def merge(previous: DataFrame | None, new: DataFrame) -> DataFrame:
-        both = new if previous is None else previous.select(conv, "n", "last").unionByName(new)
-        return both.groupBy(conv).agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("last")), asc=False), 1, keep).alias("last"))
+    def __init__(self, conv: str, turn: str, keep: int, expire_ms: int | None):
+        self.conv, self.turn, self.keep, self.expire_ms = conv, turn, keep, expire_ms
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        sizes = df.select(conv, F.struct(F.col(turn).alias("turn"), F.length(text).alias("size")).alias("m"))
-        counted = sizes.groupBy(conv).agg(F.count(F.lit(1)).alias("n"))
-        recent = top_per_key(sizes, [conv], [F.col("m.turn").desc()], keep).groupBy(conv).agg(F.collect_list("m").alias("last"))
-        _replace(counted.join(recent, conv).select(conv, "n", "last"), target, epoch, conv, merge, buckets)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("conversation", _STATE, self.expire_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        n, turns, sizes = 0, np.empty(0, np.int64), np.empty(0, np.int64)
+        if self.state.exists():
+            n, old_turns, old_sizes = self.state.get()
+            turns, sizes = np.array(old_turns, np.int64), np.array(old_sizes, np.int64)
+        for batch in rows:  # a conversation of any length goes through in batches
+            n += len(batch)
+            turns, sizes = np.r_[turns, batch[self.turn].to_numpy(np.int64)], np.r_[sizes, batch["size"].to_numpy(np.int64)]
+            last = np.argsort(-turns, kind="stable")[:self.keep]
+            turns, sizes = turns[last], sizes[last]
+        self.state.update((n, turns.tolist(), sizes.tolist()))
+        yield pd.DataFrame({self.conv: [key[0]], "n_messages": [n], "summarized_idx": [n - len(turns)], "window_chars": [int(sizes.sum())]})
+
+    def close(self) -> None:
+        pass
 
-    return (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
 
+_STATE = "n long, turns array<long>, sizes array<long>"
 
-def read_conversations(spark: SparkSession, target: str, conv: str = "conv_id") -> DataFrame:
-    window = F.aggregate("last", F.lit(0).cast("long"), lambda a, m: a + m["size"])
-    return _latest(spark, target).select(conv, F.col("n").alias("n_messages"), (F.col("n") - F.size("last")).alias("summarized_idx"),
-                                         window.alias("window_chars"))
+
+def track_conversations(stream: DataFrame, target: str, checkpoint: str, keep: int = 10, conv: str = "conv_id", turn: str = "turn",
+                        text: str = "text", expire_ms: int | None = None) -> StreamingQuery:
+    """State per conversation: messages so far, how many left the window, characters in it.
+
+    Kept in the state store of the query, below ``checkpoint`` (``target`` names it for readers); a
+    batch touches the conversations it brings, and holds the last ``keep`` messages of each.
+    ``expire_ms`` forgets a conversation so long after its last message.
+    """
+    kind = stream.schema[conv].dataType.simpleString()
+    sized = stream.select(conv, F.col(turn).cast("long").alias(turn), F.length(text).cast("long").alias("size"))
+    told = sized.groupBy(conv).transformWithStateInPandas(
+        _Window(conv, turn, keep, expire_ms), f"{conv} {kind}, n_messages long, summarized_idx long, window_chars long", "Update", "None" if expire_ms is None else "ProcessingTime")
+    files.write_text(stream.sparkSession, f"{target}/state.json", json.dumps({"checkpoint": checkpoint, "conv": conv}))
+    with _state_on_disk(stream.sparkSession):
+        return told.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_conversations(spark: SparkSession, target: str) -> DataFrame:
+    """The latest state of every conversation, read from the state store."""
+    made = json.loads(files.read_text(spark, f"{target}/state.json"))
+    state = spark.read.format("statestore").option("stateVarName", "conversation").load(made["checkpoint"])
+    value = F.col("value")
+    if "ttlExpirationMs" in state.schema["value"].dataType.fieldNames():
+        state = state.filter(F.col("value.ttlExpirationMs") > F.unix_millis(F.current_timestamp()))
+        value = F.col("value.value")
+    total = F.aggregate(value["sizes"], F.lit(0).cast("long"), lambda a, x: a + x)
+    return state.select(F.col(f"key.{made['conv']}").alias(made["conv"]), value["n"].alias("n_messages"), (value["n"] - F.size(value["sizes"])).alias("summarized_idx"),
+                        total.alias("window_chars"))

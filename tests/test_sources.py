@@ -184,3 +184,44 @@ def test_conversation_state_over_batches(spark, tmp_path):
         incremental.track_conversations(s, str(tmp_path / "out"), str(tmp_path / "cp"), 2).awaitTermination()
     got = incremental.read_conversations(spark, str(tmp_path / "out"))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 3, 1, 5), (2, 1, 0, 1)]
+
+
+def test_conversation_state_survives_a_restart_and_expires(spark, tmp_path):
+    ddl = "conv_id long, turn long, role string, text string"
+
+    def feed(rows, **options):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = incremental.read_stream(spark, str(tmp_path / "in"), ddl)
+        incremental.track_conversations(s, str(tmp_path / "out"), str(tmp_path / "cp"), 3, **options).awaitTermination()
+        return sorted(tuple(r) for r in incremental.read_conversations(spark, str(tmp_path / "out")).collect())
+    feed([(1, t, "user", "x" * t) for t in range(6)], expire_ms=600_000)
+    # Every feed is a new query on the same checkpoint; an older turn arrives late.
+    assert feed([(1, 2, "user", "late"), (1, 9, "user", "abc"), (2, 0, "user", "y")], expire_ms=600_000) == [(1, 8, 5, 3 + 5 + 4), (2, 1, 0, 1)]
+    assert not [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("v=")]
+
+
+def test_expired_conversations_are_forgotten(spark, tmp_path):
+    ddl = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame([(1, 0, "user", "x")], ddl).write.parquet(str(tmp_path / "in"))
+    incremental.track_conversations(incremental.read_stream(spark, str(tmp_path / "in"), ddl), str(tmp_path / "out"), str(tmp_path / "cp"), 3, expire_ms=1).awaitTermination()
+    assert incremental.read_conversations(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_seen_keys_are_state(spark, tmp_path):
+    for rows in ([(1, "a"), (2, "b"), (1, "a")], [(2, "x"), (3, "c")], [(1, "y"), (3, "z")]):
+        spark.createDataFrame(rows, "id int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = incremental.read_stream(spark, str(tmp_path / "in"), "id int, v string")
+        incremental.ingest_new(s, str(tmp_path / "out"), str(tmp_path / "cp"), "id").awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_append_reads_the_touched_key_folders_and_recovers(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.append_new(spark.range(500).select(F.col("id"), F.lit("a").alias("v")), path, buckets=16)
+    added = sinks.append_new(spark.range(3, 5).unionByName(spark.range(900, 901)).select("id", F.lit("b").alias("v")), path, buckets=16)
+    assert [r.id for r in added.collect()] == [900] and spark.read.parquet(path).columns == ["id", "v"]
+    # A batch that wrote its rows but not its keys: the keys are taken from the rows again.
+    spark.range(1000, 1003).select("id", F.lit("c").alias("v")).write.mode("append").parquet(path)
+    (tmp_path / "t" / "_pending").write_text("")
+    assert sinks.append_new(spark.range(998, 1004).select("id", F.lit("d").alias("v")), path, buckets=16).count() == 3
+    assert spark.read.parquet(path).groupBy("id").count().filter("count > 1").count() == 0
