@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import string
 import unicodedata
 from functools import lru_cache
@@ -60,7 +61,7 @@ def fold_ascii(c: Column | str) -> Column:
     klass = f"[{_ranges(multi)}]"
     # Cheap first look: all of them lie in these four stretches.
     coarse = r"[\x{bc}-\x{be}\x{132}-\x{149}\x{1c4}-\x{1f3}\x{2000}-\x{1ffff}]"
-    table = F.create_map(*[F.lit(x) for kv in multi.items() for x in kv])
+    table = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")  # one constant of the plan
 
     def expand(t: Column) -> Column:
         # A noncharacter marks the places: it would disappear in the fold anyway.
