@@ -1,6 +1,6 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Fit: centroids from a bounded sample, by k-means whose assignment cost grows with the size of
+Fit: centroids from a sample (bounded by parameters and the square root of the table), by k-means whose assignment cost grows with the size of
 a cluster, so the lists come out balanced. The centroids form a neighbour graph small enough
 for every task's memory.
 
@@ -8,7 +8,10 @@ Index: every vector walks the graph to its nearest centroids and is entered in t
 and in those hardly further away: boundary vectors are replicated.
 
 Search: a query walks the same graph; the distance of a centroid relative to the nearest one
-decides which lists are read. Queries and lists meet by a shuffle on the list. A list above
+decides which lists are read. How far and how many is measured: a bounded set of stored vectors
+is searched exactly, and the least number of lists and the least ratio that find the wanted share of
+their neighbours are taken, at every size of the table. Where that is half of all lists, all rows are
+compared. Queries and lists meet by a shuffle on the list. A list above
 LIST_ROWS rows is dealt out to several parts, and so are the queries of a list, so equal vectors
 in any number make no hot task; every part returns k rows per query. Queries that found fewer
 than k rows are searched again exactly.
@@ -32,17 +35,20 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import hash_share, materialize
 
-#: Bounds of the fit: vectors of the sample, centroids; vectors per centroid aimed at.
-SAMPLE_ROWS = 32_768
-MAX_CENTROIDS = 2_048
-PER_CENTROID = 64
+#: Vectors per centroid aimed at; beyond 16,384 vectors the lists grow as LISTS times the square root of the table.
+PER_CENTROID, LISTS = 64, 8
+#: The fit reads about SAMPLE_ROWS vectors, or SAMPLE_PER_LIST for every list where that is more.
+SAMPLE_ROWS, SAMPLE_PER_LIST = 32_768, 8
+#: Stored vectors that are searched exactly to choose how much a query reads, and what it has to find of them.
+CALIBRATION_ROWS, RECALL = 192, 0.97
 NEIGHBOURS = 24
 #: Width of the walks of rows and of queries.
 ROW_BEAM, QUERY_BEAM = 48, 96
 #: Replication: lists up to this much further than the nearest, and how many at most.
 CLOSURE, REPLICAS = 1.1, 5
-#: Search: lists up to this much further than the nearest, and how many at least and at most.
-PRUNE, MIN_PROBES, PROBES = 1.25, 16, 64
+#: Search: how many lists at least; where the caller fixes one of the two, lists up to this much
+#: further than the nearest and how many at most.
+MIN_PROBES, PRUNE, PROBES = 16, 1.25, 64
 LIST_ROWS, LIST_QUERIES = 4_096, 2_048
 _LOOK = 4
 
@@ -142,14 +148,20 @@ def balanced_centroids(sample: np.ndarray, k: int, rounds: int = 12, seed: int =
     return np.unique(c, axis=0)
 
 
-def fit(rows: DataFrame, n: int, *, sample_rows: int = SAMPLE_ROWS, per_centroid: int = PER_CENTROID, max_centroids: int = MAX_CENTROIDS) -> CentroidGraph:
-    """Centroids of about ``sample_rows`` rows, chosen by a hash of their ids."""
-    sample = rows.filter(hash_share(F.col("vec_id"), sample_rows, n)).toArrow()
+def n_lists(n: int, per_centroid: int = PER_CENTROID) -> int:
+    return max(1, min(n // per_centroid, round(LISTS * n ** 0.5)))
+
+
+def fit(rows: DataFrame, n: int, *, sample_rows: int = SAMPLE_ROWS, per_centroid: int = PER_CENTROID) -> CentroidGraph:
+    """Centroids of a sample, chosen by a hash of the ids; see SAMPLE_ROWS for its size."""
+    lists = n_lists(n, per_centroid)
+    wanted = max(sample_rows, SAMPLE_PER_LIST * lists)
+    sample = rows.filter(hash_share(F.col("vec_id"), wanted, n)).toArrow()
     if not len(sample):  # repeated ids can all fall outside the share
-        sample = rows.limit(sample_rows).toArrow()
+        sample = rows.limit(wanted).toArrow()
     order = np.lexsort((sample.column("vec_id").to_numpy(),))
-    x = np.array(sample.column("v").to_pylist(), np.float64)[order]
-    return CentroidGraph.build(balanced_centroids(x, max(1, min(max_centroids, n // per_centroid))))
+    x = _matrix(sample.column("v").combine_chunks(), len(sample.column("v")[0]))[order]
+    return CentroidGraph.build(balanced_centroids(x, lists))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -218,24 +230,86 @@ def _search_lists(postings: DataFrame, queries: DataFrame, dim: int, k: int, lis
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _FOUND)
 
 
+def _cut(query: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest different ids of every query, ties to smaller ids."""
+    order = np.lexsort((d, ids, query))
+    q, i = query[order], ids[order]
+    order = order[np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])]] if len(order) else order
+    order = order[np.lexsort((ids[order], d[order], query[order]))]
+    q = query[order]
+    begin = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
+    order = order[np.arange(len(q)) - np.repeat(begin, np.diff(np.r_[begin, len(q)])) < k]
+    return query[order], ids[order], d[order]
+
+
 def exact_search(rows: DataFrame, queries: list[tuple[int, list[float]]], dim: int, k: int) -> DataFrame:
-    """The k nearest rows of a stated, bounded set of queries by comparing all rows."""
-    sent = rows.sparkSession.sparkContext.broadcast(queries)
+    """The k nearest rows of a stated, bounded set of queries by comparing all rows.
+
+    A matrix product tells which rows may be among the nearest; these are measured exactly."""
+    sent = rows.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], float).reshape(-1, dim)))
 
     def run(batches):
-        kept = {q: (np.empty(0, np.int64), np.empty((0, dim))) for q, _ in sent.value}
+        asked, points = sent.value
+        norm = (points * points).sum(1)
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        far = np.full(len(asked), np.inf)
+        step = 4 * k
         for b in batches:
-            ids, x = b.column("vec_id").to_numpy(), _matrix(b.column("v"), dim)
-            for q, v in sent.value:
-                all_ids, all_x = np.r_[kept[q][0], ids], np.concatenate([kept[q][1], x])
-                at, _ = _best(q, np.array(v), all_ids, all_x, k)
-                kept[q] = (all_ids[at], all_x[at])
-        for q, v in sent.value:
-            near, d = _best(q, np.array(v), *kept[q], k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(kept[q][0][near]), pa.array(d)], ["query_id", "vec_id", "score"])
+            all_ids, all_x, at = b.column("vec_id").to_numpy(), _matrix(b.column("v"), dim), 0
+            while at < len(all_ids):
+                ids, x = all_ids[at:at + step], all_x[at:at + step]
+                at, step = at + step, min(4 * step, 2048)
+                own = (x * x).sum(1)
+                rough = own[:, None] + norm[None] - 2 * x @ points.T
+                slack = 1e-9 * (own[:, None] + norm[None]) + 1e-12  # rounding of the product
+                row, query = np.nonzero((rough - slack <= (far * far)[None]) & (ids[:, None] != asked[None]))
+                if not len(row):
+                    continue
+                d = np.concatenate([np.sqrt(((x[row[i:i + 65536]] - points[query[i:i + 65536]]) ** 2).sum(1)) for i in range(0, len(row), 65536)])
+                best = _cut(*(np.concatenate(p) for p in zip(best, (query, ids[row], d))), k)
+                last = np.zeros(len(asked))
+                np.maximum.at(last, best[0], best[2])
+                far = np.where(np.bincount(best[0], minlength=len(asked)) >= k, last, np.inf)
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(asked[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "vec_id", "score"])
     return rows.select("vec_id", "v").mapInArrow(run, _FOUND)
 
 
+def calibrate(rows: DataFrame, postings: DataFrame, graph: CentroidGraph, n: int, dim: int, k: int, recall: float = RECALL, sample: int = CALIBRATION_ROWS) -> tuple[int, float] | None:
+    """(lists, distance ratio) that find ``recall`` of the ``k`` nearest of about ``sample`` stored vectors.
+
+    The vectors, chosen by a hash of their ids, are searched exactly; for every neighbour the rank
+    and ratio of the nearest list that holds it are known from the index. None where half of all lists
+    or more would have to be read: an exact search is cheaper then.
+    """
+    chosen = rows.filter(hash_share(F.col("vec_id"), sample, n)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * sample).collect()
+    asked = list({r["vec_id"]: (r["vec_id"], r["v"]) for r in chosen}.values())
+    if not asked:
+        return None
+    truth = _ranked(exact_search(rows, asked, dim, k), k).select("query_id", "vec_id").toArrow()  # 2 * sample * k rows at most
+    if not len(truth):
+        return None
+    near = rows.sparkSession.createDataFrame([(i,) for i in sorted(set(truth.column("vec_id").to_pylist()))], "vec_id long")
+    held: dict[int, list[int]] = {}
+    for r in postings.select("list", "vec_id").join(F.broadcast(near), "vec_id").distinct().collect():
+        held.setdefault(r["vec_id"], []).append(r["list"])
+    place = {q: i for i, (q, _) in enumerate(asked)}
+    d = _distances(np.array([v for _, v in asked], float).reshape(-1, dim), graph.centroids)
+    rank = d.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable") + 1
+    needed, ratio = [], []
+    for q, v in zip(truth.column("query_id").to_pylist(), truth.column("vec_id").to_pylist()):
+        i = place[q]
+        best = min(held[v], key=lambda c: rank[i, c])
+        needed.append(int(rank[i, best]))
+        ratio.append(d[i, best] / max(d[i].min(), 1e-300))
+    needed, ratio = np.array(needed), np.array(ratio)
+    most = int(np.sort(needed)[int(np.ceil(recall * len(needed))) - 1])
+    if most * 2 >= len(graph.centroids):
+        return None
+    read = np.sort(ratio[needed <= most])
+    return max(most, MIN_PROBES), float(read[int(np.ceil(0.995 * len(read))) - 1]) * (1 + 1e-9)
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     one = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
@@ -243,23 +317,41 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, is_query: Column | str, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample_rows: int = SAMPLE_ROWS,
-           per_centroid: int = PER_CENTROID, closure: float = CLOSURE, prune: float = PRUNE, min_probes: int = MIN_PROBES, probes: int = PROBES, list_rows: int = LIST_ROWS,
-           list_queries: int = LIST_QUERIES) -> DataFrame:
+           per_centroid: int = PER_CENTROID, closure: float = CLOSURE, prune: float | None = None, min_probes: int = MIN_PROBES, probes: int | None = None, recall: float = RECALL,
+           list_rows: int = LIST_ROWS, list_queries: int = LIST_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for every query row; ``is_query``
-    is a condition on the column vec_id."""
+    is a condition on the column vec_id. How many lists a query reads is measured for ``recall``
+    (:func:`calibrate`), unless ``prune`` or ``probes`` fixes it."""
     rows, n, dim = usable(vectors, id_col, vector_col)
     if not n:
         return _ranked(rows.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")), k)
-    graph = rows.sparkSession.sparkContext.broadcast(fit(rows, n, sample_rows=sample_rows, per_centroid=per_centroid))
+    fitted = fit(rows, n, sample_rows=sample_rows, per_centroid=per_centroid)
+    graph = rows.sparkSession.sparkContext.broadcast(fitted)
     postings = materialize(_entries(rows, graph, dim, closure, 1, REPLICAS, ROW_BEAM), "postings")
     asked = rows.filter(is_query)
-    queries = materialize(_entries(asked, graph, dim, prune, min(min_probes, probes), probes, max(QUERY_BEAM, probes)), "queries")
+    reads = (probes or PROBES, prune or PRUNE) if prune or probes else calibrate(rows, postings, fitted, n, dim, k, recall)
+    if reads is None:
+        found = _exact_blocks(rows, _one_each(asked), dim, k)
+        return _ranked(rows.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")) if found is None else found, k)
+    most, ratio = reads
+    queries = materialize(_entries(asked, graph, dim, ratio, min(min_probes, most), most, max(QUERY_BEAM, most)), "queries")
     found = materialize(_ranked(_search_lists(postings, queries, dim, k, list_rows, list_queries), k), "nearest")
     # Queries whose lists held too few rows: all rows, in blocks of queries.
-    short = materialize(asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.first("v").alias("v"))
-                        .join(found.groupBy("query_id").count().filter(F.col("count") >= min(k, max(n - 1, 0))), "query_id", "left_anti"), "short")
-    blocks = -(-short.count() // 1024)
+    short = _one_each(asked).join(found.groupBy("query_id").count().filter(F.col("count") >= min(k, max(n - 1, 0))), "query_id", "left_anti")
+    more = _exact_blocks(rows, short, dim, k)
+    return found if more is None else _ranked(found.select("query_id", "vec_id", "score").unionByName(more), k)
+
+
+def _one_each(asked: DataFrame) -> DataFrame:
+    return asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.first("v").alias("v"))
+
+
+def _exact_blocks(rows: DataFrame, queries: DataFrame, dim: int, k: int, block_rows: int = 1024) -> DataFrame | None:
+    """The exact search of a table of queries, about ``block_rows`` of them at a time; None without any."""
+    queries = materialize(queries, "short")
+    blocks, found = -(-queries.count() // block_rows), None
     for block in range(blocks):
-        part = [(r["query_id"], r["v"]) for r in short.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()]
-        found = found.unionByName(_ranked(exact_search(rows, part, dim, k), k))
-    return _ranked(found.select("query_id", "vec_id", "score"), k) if blocks else found
+        part = [(r["query_id"], r["v"]) for r in queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()]
+        near = exact_search(rows, part, dim, k)
+        found = near if found is None else found.unionByName(near)
+    return found
