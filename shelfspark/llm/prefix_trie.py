@@ -62,6 +62,7 @@ def ranked_turns(conversations: DataFrame) -> DataFrame:
     ties = [] if rows.groupBy("conv_id", "turn").count().filter("count > 1").isEmpty() else ["role", "told"]
     hi, lo = _digest(F.col("role"), F.col("text"))
     slim = with_words(rows.select("conv_id", "turn", hi.alias("hi"), lo.alias("lo"), *([F.col("role"), F.col("text").alias("told")] if ties else []), "text"))
+    slim = materialize(slim, "digests")  # dealing out by ranges reads its input twice
     out = running(slim, ["conv_id"], [F.col("turn").asc_nulls_first(), *[F.col(c) for c in ties]], {"rank": F.lit(1)}, totals=True)
     return out.select("conv_id", (F.col("rank") - 1).alias("rank"), F.col("rank_total").alias("n"), "hi", "lo", "words")
 
