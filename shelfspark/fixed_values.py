@@ -29,6 +29,9 @@ MIN_CLEAN_CHARS = 50
 # Book records: kept languages, shortest text, topic lists.
 KEEP_LANGS = ["vi"]
 MIN_BOOK_CHARS = 20
+MIN_ARTICLE_CHARS = 150
+PAGE_ADDRESS = "https://vi.wikipedia.org/?curid="
+CATEGORY_PREFIX = r"Thể[ _]loại:"
 IRRELEVANT_KEYWORDS = [
     "học tiếng anh", "luyện thi", "foreign language study",
     "nông nghiệp", "thú y", "canh tác", "trồng trọt",

@@ -159,7 +159,7 @@ def catalogue(records: DataFrame) -> DataFrame:
     """One metadata row per (title, author): first filled value per column in the order of the
     record ids, longest summary, person flag, sorted sources.
 
-    Only aggregates with partial results are used; which records belong to a row is told in
+    Only aggregates with partial results are used, over short fields; which records belong to a row is told in
     long form by :func:`entity_paths`, however many they are.
     """
     r = catalogue_records(records)
@@ -179,12 +179,18 @@ def catalogue(records: DataFrame) -> DataFrame:
         F.min_by(F.struct("title", "author"), "record_id").alias("name"),
         F.max((classify_entity("categories", "summary") == "author").cast("int")).alias("person"),
         *[first(F.col(f"_{n}")).alias(n) for n in filled],
-        F.min(F.struct((-F.length("_summary")).alias("l"), F.col("record_id"), F.col("_summary").alias("s"))).alias("best"),
+        F.min(F.struct((-F.length("_summary")).alias("l"), F.col("record_id").alias("r"))).alias("best"),
         F.array_sort(F.collect_set("source")).alias("sources"), F.min("record_id").alias("first_record"), F.count(F.lit(1)).alias("n_paths"))
+    # The longest text is picked by length and record; only the chosen ones are read again and sent.
+    g = materialize(g, "catalogue")
+    chosen = small_side(g.select(F.col("key").alias("_key"), F.col("best.r").alias("_record"), F.col("best.l").alias("_l")), g.count(), 160)
+    told = (r.select("key", "record_id", "_summary").join(chosen, (F.col("key") == F.col("_key")) & (F.col("record_id") == F.col("_record")) & (-F.length("_summary") == F.col("_l")))
+            .groupBy("key").agg(F.min("_summary").alias("_told")))
+    g = g.join(told, "key")
     return g.select(
         uuid5("key").alias("id"), F.col("name.title").alias("title"),
         F.when(F.col("person") == 1, "author").otherwise("work").alias("entity_type"),
-        F.col("name.author").alias("author"), *filled, F.col("best.s").alias("summary"),
+        F.col("name.author").alias("author"), *filled, F.col("_told").alias("summary"),
         F.array_join("sources", ", ").alias("source"), "first_record", "n_paths")
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 
 def entries() -> dict:
     """name -> (callable(spark, folder), SQL or None)"""
-    from shelfspark.plans.registry import chat, chunks, records, reports, search, texts
+    from shelfspark.plans.registry import chat, chunks, recorded, records, reports, search, texts
     out: dict = {}
-    for module in (texts, chunks, records, reports, search, chat):
+    for module in (texts, chunks, records, recorded, reports, search, chat):
         for name, entry in module.ENTRIES.items():
             if name in out:
                 raise ValueError(f"query {name} is defined twice")

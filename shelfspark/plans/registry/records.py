@@ -33,7 +33,7 @@ def records(spark, d) -> DataFrame:
         T.strip(F.regexp_extract("text", TITLE, 0)).alias("title"),
         F.when(F.col("n_chars") % 5 == 0, none).when(F.col("n_chars") % 2 == 0, F.concat_ws(" ", "lang", "source"))
         .otherwise(F.concat_ws(" ", "source", "lang")).alias("author"),
-        F.col("text").alias("content"), F.substring("text", 1, 120).alias("summary"),
+        F.col("text").alias("content"), F.col("text").alias("summary"),
         F.when(F.col("n_chars") % 3 == 0, (F.col("doc_id") % 100 + 1900).cast("string")).otherwise(none).alias("publication_year"),
         F.when(F.col("n_chars") % 4 == 0, F.col("lang")).otherwise(none).alias("genre"),
         F.when(F.col("n_chars") % 7 == 0, F.concat(F.lit("P"), "source")).otherwise(none).alias("publisher"),
@@ -47,7 +47,7 @@ RECORDS = f"""r AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path,
   CASE CAST(substr(source, 4) AS INT) % 3 WHEN 0 THEN 'wikipedia' WHEN 1 THEN 'gbooks' ELSE 'archive_compact' END AS src,
   {S.strip("regexp_extract(text, '\\A[^.\\n|]*', 0)")} AS title,
   CASE WHEN n_chars % 5 = 0 THEN '' WHEN n_chars % 2 = 0 THEN lang || ' ' || source ELSE source || ' ' || lang END AS author,
-  text AS content, substr(text, 1, 120) AS summary,
+  text AS content, text AS summary,
   CASE WHEN n_chars % 3 = 0 THEN CAST(doc_id % 100 + 1900 AS VARCHAR) ELSE '' END AS publication_year,
   CASE WHEN n_chars % 4 = 0 THEN lang ELSE '' END AS genre, CASE WHEN n_chars % 7 = 0 THEN 'P' || source ELSE '' END AS publisher,
   lang AS category, n_chars AS word_count, CASE WHEN n_chars % 6 = 0 THEN CAST(n_chars % 500 AS VARCHAR) ELSE '' END AS page_count
@@ -267,11 +267,11 @@ SELECT f AS file_name, CASE WHEN coalesce(d.text, '') <> '' THEN length(d.text)
 
 
 def summary_todo(spark, d):
-    r = records(spark, d).withColumn("ai_summary", F.substring("content", 1, 400))
+    r = records(spark, d).withColumn("ai_summary", F.col("content"))
     return r.groupBy("folder", enrich.needs_summary().alias("todo")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SQL_TODO = f"WITH {RECORDS} SELECT folder, length({S.strip('substr(content, 1, 400)')}) < 150 OR genre = '' AS todo, count(*) AS n FROM r GROUP BY 1, 2"
+SQL_TODO = f"WITH {RECORDS} SELECT folder, length({S.strip('content')}) < 150 OR genre = '' AS todo, count(*) AS n FROM r GROUP BY 1, 2"
 
 
 # ------------------------------------------------------------------ incremental

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import vn_number, word_count
 from shelfspark.operators import keyed, quality, taxonomy
 from shelfspark.plans.registry import sql as S
-from shelfspark.sources.sinks import run_stats, sheet_rows
+from shelfspark.session import shared_dir
+from shelfspark.sources.sinks import run_stats, sheet_rows, type_sheets, write_observed
 from shelfspark.sources.tables import load
 
 
@@ -128,7 +131,28 @@ def category_pages(spark, d):
 
 SQL_PAGES = f"""WITH RECURSIVE {_EDGES} SELECT root, count(DISTINCT l_partkey) AS n_pages, CAST(min(depth) AS BIGINT) AS depth FROM w JOIN lineitem ON 'O' || l_orderkey = category GROUP BY 1"""
 
+def observed_run(spark, d):
+    """The same figures, gathered while the records are written."""
+    docs = load(spark, d, "documents", "doc_id", "lang", "n_chars")
+    path = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/observed-{uuid.uuid4().hex}"
+    seen = write_observed(docs, path, total=F.lit(True), processed=F.col("n_chars") >= 50, skipped=F.col("n_chars") < 50, in_english=F.col("lang") == "en")
+    return spark.range(1).select(*[F.lit(seen[c]).cast("long").alias(c) for c in ("total", "processed", "skipped", "in_english")])
+
+
+def type_overview(spark, d):
+    docs = load(spark, d, "documents", "lang", "source", "n_chars")
+    return type_sheets(docs.select(F.col("lang").alias("type"), F.col("source").alias("category"), F.col("n_chars").alias("word_count")))
+
+
+SQL_TYPES = """
+WITH g AS (SELECT lang AS type, source AS category, grouping(lang) AS gt, grouping(source) AS gc, count(*) AS articles, CAST(sum(n_chars) AS BIGINT) AS words, max(n_chars) AS most_words, min(n_chars) AS least_words
+  FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), (source), ())),
+ r AS (SELECT *, CASE WHEN gc = 0 THEN row_number() OVER (PARTITION BY gt, gc, CASE WHEN gc = 0 THEN type END ORDER BY articles DESC, category) - 1 END AS rank FROM g)
+SELECT type, category, rank, articles, words, most_words, least_words FROM r WHERE rank IS NULL OR rank < 15"""
+
 ENTRIES = {
+    "observed_run": (observed_run, SQL_RUN),
+    "type_sheets": (type_overview, SQL_TYPES),
     "language_shares": (language_shares, SQL_SHARES),
     "top_sources": (top_sources, SQL_TOP),
     "length_histogram": (length_histogram, SQL_HIST),

@@ -24,7 +24,7 @@ from shelfspark import fixed_values as V
 from shelfspark.functions.extract import (
     claim_year, content_author, content_genre, content_year, map_book_genre, parse_infobox, pick_isbn,
     split_names, with_provenance, year_modern)
-from shelfspark.functions.text import nonblank, prefix, strip, word_count
+from shelfspark.functions.text import lead_lines, strip, word_count
 
 Transport = Callable[[str, int], str | None]
 
@@ -218,6 +218,25 @@ def build_authors(articles: DataFrame, claims: DataFrame) -> DataFrame:
         "notable_works": split_names(F.try_element_at("_box", F.lit("notable_works")))}).drop("_box", "_c_birth_year", "_c_death_year", "_c_nationality")
 
 
-def long_enough(articles: DataFrame, min_chars: int = 150) -> DataFrame:
-    return articles.filter(F.length(F.coalesce(nonblank("content"), F.lit(""))) >= min_chars).withColumn(
-        "summary", prefix("content", 500, ""))
+def long_enough(articles: DataFrame, min_chars: int = V.MIN_ARTICLE_CHARS) -> DataFrame:
+    """Articles of enough text, with their first three paragraphs as summary."""
+    return articles.filter(F.length(F.coalesce("content", F.lit(""))) >= min_chars).withColumn("summary", lead_lines("content", 3))
+
+
+def parse_pages(responses: DataFrame, body: str = "body", min_chars: int = V.MIN_ARTICLE_CHARS) -> DataFrame:
+    """Page responses -> article rows: id, title, url, summary, content, wikitext, wikidata_id, categories, word_count, char_count, last_modified.
+
+    The map of pages is decoded as a variant, whatever its keys. Missing and invalid pages, broken responses and
+    articles that are too short drop; further columns stay.
+    """
+    pages = F.try_variant_get(F.try_parse_json(F.col(body)), "$.query.pages", "map<string,variant>")
+    p = responses.select(*[c for c in responses.columns if c != body], F.explode(pages).alias("_id", "_p"))
+    text = lambda path: F.coalesce(F.try_variant_get("_p", path, "string"), F.lit(""))
+    there = lambda path: F.try_variant_get("_p", path, "variant").isNotNull()
+    listed = F.coalesce(F.try_variant_get("_p", "$.categories", "array<variant>"), F.array().cast("array<variant>"))
+    name = lambda c: F.regexp_replace(F.coalesce(F.try_variant_get(c, "$.title", "string"), F.lit("")), V.CATEGORY_PREFIX, "")
+    rows = p.filter(~there("$.missing") & ~there("$.invalid")).select(
+        *[c for c in responses.columns if c != body], F.col("_id").alias("id"), text("$.title").alias("title"),
+        F.coalesce(F.try_variant_get("_p", "$.fullurl", "string"), F.concat(F.lit(V.PAGE_ADDRESS), "_id")).alias("url"), text("$.extract").alias("content"),
+        text("$.revisions[0].slots.main['*']").alias("wikitext"), text("$.pageprops.wikibase_item").alias("wikidata_id"), F.transform(listed, name).alias("categories"), text("$.touched").alias("last_modified"))
+    return long_enough(rows, min_chars).withColumns({"word_count": word_count("content").cast("int"), "char_count": F.length("content")})

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfspark import fixed_values as V
 from shelfspark.functions.text import latex_percent, vn_number
+from shelfspark.operators.keyed import top_per_key
 from shelfspark.session import materialize
 from shelfspark.sources import files
 
@@ -79,6 +80,13 @@ def run_stats(df: DataFrame, **counts) -> DataFrame:
     return df.agg(*[F.count(F.when(cond, 1)).alias(name) for name, cond in counts.items()])
 
 
+def write_observed(df: DataFrame, path: str, mode: str = "append", **counts) -> dict:
+    """Writes the rows and returns the named conditional counts, gathered by the tasks that write."""
+    seen = Observation()
+    df.observe(seen, *[F.count(F.when(cond, 1)).alias(name) for name, cond in counts.items()]).write.mode(mode).parquet(path)
+    return seen.get
+
+
 def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
@@ -98,3 +106,21 @@ def sheet_rows(df: DataFrame) -> DataFrame:
         F.substring(F.coalesce("summary", F.lit("")), 1, 200).alias("summary_preview"),
         F.array_join(F.coalesce("categories", F.array().cast("array<string>")), " | ").alias("categories_str"),
         "crawled_at", "last_modified", "url")
+
+
+def type_sheets(df: DataFrame, n: int = 15) -> DataFrame:
+    """(type, category, rank, articles, words, most_words, least_words): the ``n`` largest categories of every type
+    and of all types (type null), and the totals of every type and of all (category null), in one pass."""
+    sums = df.groupingSets([["type", "category"], ["type"], ["category"], []], "type", "category").agg(
+        F.grouping_id("type", "category").cast("int").alias("level"), F.count(F.lit(1)).alias("articles"), F.sum("word_count").alias("words"),
+        F.max("word_count").alias("most_words"), F.min("word_count").alias("least_words"))
+    ranked = top_per_key(sums, ["level", F.when(F.col("level") % 2 == 0, F.col("type"))], [F.col("articles").desc(), F.col("category"), F.col("type")], n)
+    whole = F.col("level") % 2 == 1
+    kept = ranked.filter(~whole).unionByName(sums.filter(whole).withColumn("rank", F.lit(None).cast("long")))
+    return kept.select("type", "category", "rank", "articles", "words", "most_words", "least_words")
+
+
+def write_sheets(df: DataFrame, path: str) -> None:
+    """The content of the sheets, one partition of the table per type, and their figures."""
+    sheet_rows(df).write.mode("overwrite").partitionBy("type").parquet(f"{path}/sheets")
+    type_sheets(df).write.mode("overwrite").parquet(f"{path}/overview")

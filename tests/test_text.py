@@ -191,3 +191,12 @@ def test_page_selectors():
         stripped=set(V.STRIPPED_ELEMENTS), link_pattern=V.BOOK_LINK_PATTERN, base_url="http://s.test/")
     assert (title, author, links) == ("Head x", "N", ["http://s.test/truyen.aspx?tid=1"])
     assert content.endswith("\nend") and "no()" not in content and "cell" not in content
+
+
+def test_infobox_values_of_any_number_of_lines(column):
+    long = "{{Box\n| tác giả = Nam Cao\n| thể loại = thơ\n" + "dòng\n" * 100_000 + "| năm = 1941\n}}"
+    small = "{{Box\n| tác giả = A\nB\n\n C\n|x=\n| thể loại = t\n{{y}}\n| năm = 1941}}"
+    got = column([long, small], X.parse_infobox)
+    assert got[0]["author"] == "Nam Cao" and got[0]["genre"].startswith("thơ\ndòng") and got[0]["genre"].count("dòng") == 100_000
+    values = dict((k.strip(), v) for k, v in re.findall(V.INFOBOX_FIELD, small))  # the pattern as it stands
+    assert got[1]["author"] == values["tác giả"].strip() and got[1]["genre"] == values["thể loại"].strip()
