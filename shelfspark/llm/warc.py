@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import materialize
+from shelfspark.llm.common import BATCH_BYTES, materialize
 from shelfspark.session import small_side
 
 #: Keys of one leaf, children of one node.
@@ -167,14 +167,28 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ files
+#: Bytes given to the decompressor at once.
+_READ = 1 << 16
+
+
+def _member(view: memoryview, at: int) -> tuple[bytes, int]:
+    """The gzip member that begins at a place, and its length; a member cut short ends with the file."""
+    unzip, out, to = zlib.decompressobj(wbits=31), [], at
+    while not unzip.eof and to < len(view):
+        out.append(unzip.decompress(view[to:to + _READ]))
+        to = min(to + _READ, len(view))
+    out.append(unzip.flush())
+    return b"".join(out), to - len(unzip.unused_data) - at
+
+
 def parse_warc(data: bytes):
-    """(offset, length, headers, body) of every record of a WARC file, plain or gzipped per record."""
-    at = 0
+    """(offset, length, headers, body) of every record of a WARC file, plain or gzipped per record.
+
+    Every byte is read once, whatever the number of records."""
+    view, at = memoryview(data), 0
     while at < len(data):
         if data[at:at + 2] == b"\x1f\x8b":
-            unzip = zlib.decompressobj(wbits=31)
-            record = unzip.decompress(data[at:]) + unzip.flush()
-            size = len(data) - at - len(unzip.unused_data)
+            record, size = _member(view, at)
             head, _, rest = record.partition(b"\r\n\r\n")
         else:
             end = data.find(b"\r\n\r\n", at)
@@ -197,12 +211,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                rows = [(name, at, n, h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Type"), body) for at, n, h, body in parse_warc(data)]
+                rows, size = [], 0
+                for at, n, h, body in parse_warc(data):
+                    rows.append((name, at, n, h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Type"), body))
+                    size += len(body)
+                    if size >= BATCH_BYTES:
+                        yield batch(rows)
+                        rows, size = [], 0
                 if rows:
-                    cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *(pa.array(c, pa.string()) for c in cols[3:6]), pa.array(cols[6], pa.binary())],
-                        ["file", "offset", "length", "record_id", "uri", "type", "body"])
+                    yield batch(rows)
+
+    def batch(rows):
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *(pa.array(c, pa.string()) for c in cols[3:6]), pa.array(cols[6], pa.binary())],
+            ["file", "offset", "length", "record_id", "uri", "type", "body"])
     return files.mapInArrow(run, schema)
 
 

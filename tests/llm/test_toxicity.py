@@ -140,3 +140,27 @@ def test_words_of_clean_texts_cost_their_log_odds(spark):
     rows = [(i, ("vexgrim snarlux " * 3 if i % 3 == 0 else "harmless " * 3) + ["ao bo ", "co do "][i % 2] * 4) for i in range(300)]
     m = fit(documents(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
     assert m.gain("vexgrim") > 0 > -m.drift > m.gain("harmless") and m.gain("unseen") == 0
+
+
+def test_a_measured_word_keeps_its_own_log_odds(spark):
+    """A word of clean texts that begins like a toxic one does not score as toxic; an unseen inflection does."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        words = [f"w{rng.randrange(300)}x" for _ in range(40)] + (["grumbler", "grumbled", "grumbling"] if toxic else ["grumbine"] * (i % 2))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.gain("grumbler") > 1 and model.gain("grumbles") > 1 and model.gain("grumbine") <= 0
+
+
+def test_the_sample_is_written_once(spark, monkeypatch):
+    from shelfspark.llm import toxicity
+    written, write = [], toxicity.materialize
+    monkeypatch.setattr(toxicity, "materialize", lambda df, name: written.append(name) or write(df, name))
+    docs = spark.createDataFrame([(i, "aa bb" if i % 2 else "cc dd") for i in range(40)], "doc_id long, text string")
+    fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert written == ["labelled", "tokens"]

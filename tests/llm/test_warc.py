@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from shelfspark.llm.warc import archive, audit, build, fingerprints, gzip_records, height, parse_warc, read_warc
 
@@ -63,3 +64,18 @@ def test_files_plain_and_gzipped(spark, tmp_path):
     assert [r.uri for r in rows[:9]] == [u for _, u, _ in ROWS[:9]] and {r.type for r in rows} == {"resource"}
     assert sum(r.length for r in rows[:9]) == len(b"".join(records))
     assert list(parse_warc(b"")) == [] and list(parse_warc(b"junk")) == []
+
+
+def test_parser_is_linear_in_the_number_of_records():
+    import time
+    record = lambda i: f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <r{i}>\r\nContent-Length: 4000\r\n\r\n".encode() + random.Random(i).randbytes(4000) + b"\r\n\r\n"
+    took = []
+    for n in (1500, 12000):
+        data = gzip_records([record(i) for i in range(n)])
+        begin = time.perf_counter()
+        found = list(parse_warc(data))
+        took.append(time.perf_counter() - begin)
+        assert len(found) == n and sum(size for _, size, _, _ in found) == len(data) and found[-1][2]["WARC-Record-ID"] == f"<r{n - 1}>" and len(found[-1][3]) == 4000
+    assert took[1] < 40 * took[0]  # 8 times as many; the square would be 64
+    cut = data[:len(data) - 100]
+    assert len(list(parse_warc(cut))) == n and len(list(parse_warc(cut))[-1][3]) < 4000
