@@ -11,7 +11,8 @@ Learning runs in one task on the bounded sample; the model (1 MB) goes to the sc
 table and the layer collapse into one number per bucket, so scoring is a sum.
 
 Defined results: null and empty texts have no features and get the score of the intercept;
-every input row gives one row; without labels, or with one class only, all documents get the
+every input row gives one row; very long texts are read in pieces, of which only sums and the last place of
+every different word are kept; without labels, or with one class only, all documents get the
 share of that class (0 without any); only the id and text columns are read.
 """
 
@@ -40,43 +41,81 @@ DIM = 8
 #: Gradient steps, one document each; small samples are gone through more often.
 STEPS = 18_000
 RATE = 1.0
-_WORD = re.compile(r"\S+")
-
-
-def _patterns(words: np.ndarray) -> np.ndarray:
-    """For every word how far back it was met before: never, 1, up to 8, up to 64 words, further."""
-    n = len(words)
-    order = np.argsort(words, kind="stable")
-    back = np.full(n, -1)
-    same = words[order[1:]] == words[order[:-1]]
-    back[order[1:][same]] = (order[1:] - order[:-1])[same]
-    return np.searchsorted([0, 1, 8, 64], back)
+#: Characters of a text that are looked at together; a longer word is looked at whole.
+PIECE = 1 << 20
+_WORD, _BLANK = re.compile(r"\S+"), re.compile(r"\s")
+
+
+class _LastPlaces:
+    """Where every word of a text was met last, piece by piece."""
+
+    def __init__(self):
+        self.known, self.place, self.n = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+
+    def patterns(self, words: np.ndarray) -> np.ndarray:
+        """For the next words how far back each was met before: never, 1, up to 8, up to 64 words, further."""
+        n = len(words)
+        order = np.argsort(words, kind="stable")
+        back = np.full(n, -1)
+        same = words[order[1:]] == words[order[:-1]]
+        back[order[1:][same]] = (order[1:] - order[:-1])[same]
+        first = order[np.r_[True, ~same][:n]]
+        if len(self.known) and n:
+            at = np.minimum(np.searchsorted(self.known, words[first]), len(self.known) - 1)
+            met = self.known[at] == words[first]
+            back[first[met]] = self.n + first[met] - self.place[at[met]]
+        last = order[np.r_[~same, True][:n]]
+        both, where = np.concatenate([self.known, words[last]]), np.concatenate([self.place, last + self.n])
+        keep = np.lexsort((where, both))
+        keep = keep[np.r_[both[keep][1:] != both[keep][:-1], True][:len(keep)]]
+        self.known, self.place, self.n = both[keep], where[keep], self.n + n
+        return np.searchsorted([0, 1, 8, 64], back)
+
+
+def parts(text: str, piece: int = PIECE):
+    """The features of a text in pieces of about ``piece`` characters, cut at blanks."""
+    at, last = 0, _LastPlaces()
+    while at < len(text) or not at:
+        to = len(text)
+        if at + piece < to:
+            blank = _BLANK.search(text, at + piece)
+            to = blank.start() if blank else to
+        words = _WORD.findall(text, at, to)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        points = np.frombuffer(text[at:to + max(GRAMS) - 1].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        grams = []
+        for k in GRAMS:  # runs that begin in the piece
+            n = min(to - at, len(points) - k + 1)
+            if n > 0:
+                acc = points[:n] + np.uint64(k)
+                for j in range(1, k):
+                    acc = acc * np.uint64(0x100000001B3) + points[j:n + j]
+                grams.append((mix64(acc) & np.uint64(GRAM_BUCKETS - 1)).astype(np.int64) + WORD_BUCKETS)
+        yield [(h & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), np.concatenate(grams) if grams else np.empty(0, np.int64),
+               last.patterns(h) + WORD_BUCKETS + GRAM_BUCKETS]
+        if to == len(text):
+            return
+        at = to
+
+
+def features(text: str, piece: int = PIECE) -> list[np.ndarray]:
+    """Buckets of the words, of the character runs and of the repetition patterns of a text."""
+    return [np.concatenate(kind) for kind in zip(*parts(text, piece))]
 
 
-def features(text: str) -> list[np.ndarray]:
-    """Buckets of the words, of the character runs and of the repetition patterns of a text."""
-    words = _WORD.findall(text)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    grams = []
-    for k in GRAMS:
-        n = len(points) - k + 1
-        if n > 0:
-            acc = points[:n] + np.uint64(k)
-            for j in range(1, k):
-                acc = acc * np.uint64(0x100000001B3) + points[j:n + j]
-            grams.append((mix64(acc) & np.uint64(GRAM_BUCKETS - 1)).astype(np.int64) + WORD_BUCKETS)
-    return [(h & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), np.concatenate(grams) if grams else np.empty(0, np.int64),
-            _patterns(h) + WORD_BUCKETS + GRAM_BUCKETS]
-
-
-def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+def shares(text: str, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their weights: the three kinds count alike."""
-    index, share = [], []
-    for part in features(text):
-        i, n = np.unique(part, return_counts=True)
-        index.append(i.astype(np.int32))
-        share.append((n / max(len(part), 1) / 3).astype(np.float32))
+    counts = None
+    for part in parts(text, piece):
+        own = [np.unique(kind, return_counts=True) for kind in part]
+        if counts is None:
+            counts = own
+        else:  # BUCKETS numbers at most
+            for k, (i, n) in enumerate(own):
+                all_i, back = np.unique(np.concatenate([counts[k][0], i]), return_inverse=True)
+                counts[k] = (all_i, np.bincount(back, np.concatenate([counts[k][1], n])).astype(np.int64))
+    index = [i.astype(np.int32) for i, _ in counts]
+    share = [(n / max(int(n.sum()), 1) / 3).astype(np.float32) for _, n in counts]
     return np.concatenate(index), np.concatenate(share)
 
 
@@ -86,7 +125,11 @@ class QualityModel:
     bias: float
 
     def score(self, text: str) -> float:
-        z = self.bias + sum(float(self.weights[f].mean()) for f in features(text) if len(f)) / 3
+        total, n = np.zeros(3), np.zeros(3)
+        for part in parts(text):
+            total += [self.weights[f].sum() for f in part]
+            n += [len(f) for f in part]
+        z = self.bias + float((total[n > 0] / n[n > 0]).sum()) / 3
         return 1.0 / (1.0 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
