@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from shelfspark import fixed_values as V
+from shelfspark.functions.text import strip
 from shelfspark.plans.registry import sql as S
-from shelfspark.sources import remote
+from shelfspark.session import shared_dir
+from shelfspark.sources import readers, remote, sinks
 from shelfspark.sources.tables import load
 
 
@@ -95,7 +100,36 @@ def claim_fields(spark, d):
 SQL_CLAIMS = """SELECT 'Q' || p_partkey AS qid, CASE WHEN p_size % 3 <> 0 THEN CAST(p_size + 1900 AS VARCHAR) ELSE '' END AS publication_year, CAST(p_size + 1800 AS VARCHAR) AS birth_year, '' AS death_year,
  p_name || '|' || p_brand AS authors, p_name AS author, CASE WHEN p_size = 7 THEN '' ELSE 'g' || p_size END AS genre, '' AS nationality FROM part"""
 
+def _place(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def raw_records(spark, d):
+    """Raw JSON folders: files of several records one after the other, some of them broken."""
+    docs, path = load(spark, d, "documents", "doc_id", "text", "lang", "source"), _place(spark, "raw")
+    record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), F.array("lang").alias("categories"), F.lit(1).alias("unknown_field")))
+    docs.select("lang", F.when(F.col("doc_id") % 9 == 1, F.lit("{broken}")).otherwise(record).alias("value")).write.partitionBy("lang").text(path)
+    r = readers.read_json_folder(spark, path, readers.RECORD_SCHEMA, "*.txt")
+    return r.select("id", "title", F.md5("content").alias("content_md5"), F.array_join("categories", "|").alias("categories"), "folder")
+
+
+SQL_RAW = "SELECT CAST(doc_id AS VARCHAR) AS id, source AS title, md5(text) AS content_md5, lang AS categories, 'lang=' || lang AS folder FROM documents WHERE doc_id % 9 <> 1"
+
+
+def metadata_csv(spark, d):
+    """A metadata table written with its mark and read again: quotes, line breaks and blanks inside."""
+    docs, path = load(spark, d, "documents", "doc_id", "text", "source"), _place(spark, "csv")
+    named = docs.select(*[{"id": F.col("doc_id").cast("string"), "title": F.concat(F.lit('"'), "source", F.lit('", ,\n"')), "summary": strip("text")}.get(c, F.lit(None).cast("string")).alias(c) for c in V.CATALOG_COLUMNS])
+    sinks.write_csv(named, path)
+    return readers.read_metadata_csv(spark, path).select("id", "title", F.md5(F.coalesce("summary", F.lit(""))).alias("summary_md5"), "ai_filled")
+
+
+SQL_CSV = f"""SELECT CAST(doc_id AS VARCHAR) AS id, '"' || source || '", ,' || chr(10) || '"' AS title, md5({S.strip('text')}) AS summary_md5, CAST(NULL AS VARCHAR) AS ai_filled FROM documents"""
+
+
 ENTRIES = {
+    "raw_records": (raw_records, SQL_RAW),
+    "metadata_csv": (metadata_csv, SQL_CSV),
     "page_rows": (page_rows, SQL_PAGE_ROWS),
     "listed_members": (listed_members, SQL_MEMBERS),
     "searched_volumes": (searched_volumes, SQL_VOLUMES),
