@@ -176,3 +176,46 @@ def test_compare_equals_single_modes(spark, docs, queries):
     for mode in MODES:
         alone = rows(lib.search(queries, 3, mode), "query_id", "doc_id", "score", "rank")
         assert rows(both.filter(F.col("mode") == mode), "query_id", "doc_id", "score", "rank") == alone
+
+
+def test_blocks_over_many_ranges_and_shards(spark, tmp_path, monkeypatch):
+    """Ranges are left out by their bounds only: the saved index gives what the scan gives."""
+    import random
+
+    from shelfspark.operators import postings
+    monkeypatch.setattr(postings, "RANGE_DOCS", 16)
+    monkeypatch.setattr(postings, "SHARD_RANGES", 8)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(60)], k=rng.randrange(1, 40)))) for i in range(1500)]
+    texts += [(5000 + i, "w50 w51 w52") for i in range(40)]  # ties
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    q = Queries.of(spark.createDataFrame([(0, "w1 w30 w59"), (1, "w50 w51 w52 w50"), (2, "nothing"), (3, "w0 w0 w1 w2")], "query_id long, query string"))
+    index = LexicalIndex.build(d)
+    index.save(str(tmp_path / "ix"))
+    saved = LexicalIndex.load(spark, str(tmp_path / "ix"))
+    for k in (1, 7, 60):
+        found = search(saved, q, k)
+        assert rows(found, "query_id", "rank", "doc_id", "score") == rows(search(index, q, k), "query_id", "rank", "doc_id", "score")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "ReadSchema: struct<term:string,idf:double,shard:bigint" in plan
+
+
+def test_ranges_below_the_bound_are_not_opened():
+    import pyarrow as pa
+
+    from shelfspark.operators import postings
+    n = 400
+    top = np.r_[np.full(20, 5.0), np.full(n - 20, 1.0)]
+    docs = pa.array([[i] for i in range(n)], pa.list_(pa.int64()))
+
+    class Counted:
+        def __init__(self, array):
+            self.array, self.rows = array, 0
+
+        def take(self, at):
+            self.rows += len(at)
+            return self.array.take(at)
+    parts = Counted(pa.array([[x] for x in top], pa.list_(pa.float64())))
+    best, score = postings._best(docs, parts, np.arange(n), np.ones(n), np.arange(n), top, 10)
+    assert sorted(best.to_pylist())[:10] == list(range(10)) and score[0] == 5.0 and parts.rows <= 48
