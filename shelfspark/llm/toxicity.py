@@ -210,7 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
     share = (F.col("toxic") * w1 + F.col("clean") * w0) / float(n1 * w1 + n0 * w0)
     a1 = F.col("toxic") + share * PRIOR_DOCS
     a0 = F.col("clean") + share * PRIOR_DOCS
-    odds = F.log(a1 / (n1 + PRIOR_DOCS - a1)) - F.log(a0 / (n0 + PRIOR_DOCS - a0))
+    # A token of every document has no odds; both classes then get the same ones.
+    without = lambda a, n: F.greatest(n + PRIOR_DOCS - a, F.lit(1e-9 * (n + PRIOR_DOCS)))
+    odds = F.log(a1 / without(a1, n1)) - F.log(a0 / without(a0, n0))
     gain = odds - F.sqrt(1 / a1 + 1 / a0)
     all_tokens = materialize(token_counts(sample).filter(F.col("toxic") + F.col("clean") >= MIN_DOCS), "tokens")
     lexicon = (all_tokens.filter(F.col("toxic") >= MIN_DOCS).withColumn("gain", gain).filter(F.col("gain") >= MIN_GAIN)
