@@ -1,27 +1,32 @@
 """Benchmark passages in documents, by SimHash windows and exact verification.
 
-Every benchmark item has a fingerprint: 64 bits, each the sign of a sum over its weighted word
-shingles. A document is read in windows of the items' own lengths; where it is shorter than
-an item, it is one window as a whole. The fingerprints of the items
-of a length are indexed by blocks of bits: with BLOCKS blocks, two fingerprints that differ in at
-most 2 * BLOCKS - 1 = RADIUS bits agree in some block up to one bit, so entering every item under
-its block values and their one-bit neighbours finds all fingerprints within the radius. What
-lies within it is compared exactly: weighted Jaccard similarity of the shingle multisets.
+Every benchmark item has a fingerprint: 1024 bits, each the sign of a sum of numbers over its
+weighted word shingles. A document is read in windows of the items' own lengths; where it is shorter than
+an item, it is one window as a whole. The fingerprints are indexed by BLOCKS blocks of 20 or 21
+bits: two that differ in at most RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1 bits differ in at most
+BLOCK_RADIUS bits of some block, so looking up all values that near to the blocks of a window
+finds every item within the radius, and about 5 % of the items of its length besides. What lies
+within the radius is compared exactly: weighted Jaccard similarity of the shingle multisets.
 
 Windows are only fingerprinted where a match is possible: a similarity of at least t needs
-shingles of the items with at least t times the weight of the window, which running sums
-tell for every window. No window that could match is lost by this.
+shingles of items of that very length with at least t times the weight of the window, which
+running sums tell for every window. No window that could match is lost by this.
 
-The radius lies four standard deviations above the expected distance at the threshold (a
-pair of exactly that similarity is missed with a probability of about 4e-5, closer pairs
-far less often).
+Shingles enter the sums with the root of their weight, so at a similarity of t the expected share
+of differing bits is at most acos(2t / (1 + t)) / pi. At the threshold of 0.8 the radius lies 3.7
+standard deviations above that: a pair of exactly that similarity is missed with a probability of
+about 1e-4 (measured: up to 1.5e-3 where it has four or five shingles), one of 0.82 or more
+practically never.
 
 The items are sent to the scan in slices of bounded size, one scan per slice; documents are
 neither shuffled nor sorted. Shingle weights are those of the whole benchmark, whatever the
 slices: with several of them, each also gets the shingles of more than one item (16 bytes each).
+An item takes about 800 bytes of index; a document of any length is fingerprinted in pieces of
+at most PIECE_CELLS shingles (or one window).
 
 Defined results: words are the lower-cased runs of letters and digits; an item of fewer than
-five words is one shingle, and a document without so many words holds none; items and documents without words, null and empty texts match
+five words is one shingle, and a document without so many words holds none; an empty table on either
+side gives an empty table; only the named columns are read, so further columns of any name do no harm; items and documents without words, null and empty texts match
 nothing; repeated rows are judged one by one; equally similar windows give the first one.
 """
 
@@ -31,6 +36,7 @@ import math
 import re
 from collections import Counter
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +44,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import mix64
+from shelfspark.llm.common import csr_gather, mix64
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-BLOCKS = 11
-RADIUS = 2 * BLOCKS - 1
+#: Bits of a fingerprint, blocks of its index, bits in which the nearest block may differ.
+BITS, BLOCKS, BLOCK_RADIUS = 1024, 50, 3
+RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+#: Shingles that are summed up at once.
+PIECE_CELLS = 4096
 #: Characters of benchmark text sent to the scan at once.
 SLICE_CHARS = 8 << 20
 _WORD = re.compile(r"\w+")
+_CUTS = np.linspace(0, BITS, BLOCKS + 1).astype(int)
+#: Bit of a print -> its value in its block.
+_PLACES = np.zeros((BITS, BLOCKS), np.float32)
+for _b, (_lo, _hi) in enumerate(zip(_CUTS[:-1], _CUTS[1:])):
+    _PLACES[_lo:_hi, _b] = 2.0 ** np.arange(_hi - _lo)
+_WIDTH = int(np.diff(_CUTS).max())
 _B1 = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 1 << 22
 
 
+def _flips(width: int) -> np.ndarray:
+    """All numbers of ``width`` bits of which at most BLOCK_RADIUS are set."""
+    return np.array([sum(1 << b for b in c) for n in range(BLOCK_RADIUS + 1) for c in combinations(range(width), n)], np.int64)
+
+
+_FLIPS = {int(w): _flips(int(w)) for w in np.unique(np.diff(_CUTS))}
+
+
 def word_hashes(text: str) -> np.ndarray:
     words = _WORD.findall(text.lower())
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -67,13 +90,17 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(acc + np.uint64(k))
 
 
-def _bits(shingle: np.ndarray) -> np.ndarray:
-    """The 64 signs of every shingle as +1 and -1."""
-    return ((shingle[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64) * 2 - 1
+def _values(shingle: np.ndarray) -> np.ndarray:
+    """For every shingle and bit a number spread evenly over -255, -253 .. 255. Sums of few signs
+    are often nought, and such bits would flip more often than the angle tells."""
+    steps = np.arange(1, BITS // 8 + 1, dtype=np.uint64) * _B1
+    return mix64(shingle[:, None] + steps).view(np.uint8).astype(np.int64) * 2 - 255
 
 
-def _pack(sums: np.ndarray) -> np.ndarray:
-    return ((sums > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+def _running(shingle: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Running sums of the weighted values, in whole numbers: equal shingles give equal prints."""
+    share = np.round(np.sqrt(weight) * 4096).astype(np.int64)
+    return np.concatenate([np.zeros((1, BITS), np.int64), np.cumsum(_values(shingle) * share[:, None], axis=0)])
 
 
 def similarity(a: Counter, b: Counter, weight) -> float:
@@ -101,83 +128,123 @@ class Benchmark:
         count[np.searchsorted(self.known, common)] = n_common
         self.known_weight = 1.0 + np.log(max(n, 1) / count)
         self.unseen = float(1.0 + np.log(max(n, 1)))
-        self.own = np.isin(self.known, own)
-        self.weights = dict(zip(self.known[self.own].tolist(), self.known_weight[self.own].tolist()))
+        self.weights = dict(zip(own.tolist(), self.known_weight[np.searchsorted(self.known, own)].tolist()))
         self.filter = np.zeros(_FILTER_BITS, bool)
         self.filter[(self.known & np.uint64(_FILTER_BITS - 1)).astype(np.int64)] = True
         self.bags = [Counter(x.tolist()) for x in sets]
-        self.prints = np.array([int(_pack(np.round((_bits(x) * self.weigh(x)[1][:, None]).sum(axis=0)[None], 6))[0]) for x in sets], np.uint64)
-        cuts = np.linspace(0, 64, BLOCKS + 1).astype(int)
-        self.cuts = [(np.uint64(a), int(b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
-        self.by_length: dict[int, np.ndarray] = {}
-        for k, (_, h) in enumerate(hashed):
-            self.by_length.setdefault(len(h), []).append(k)
-        self.tables = {}
-        for n, own in self.by_length.items():
-            own = self.by_length[n] = np.array(own)
-            self.tables[n] = [self._table(self.prints[own], lo, width) for lo, width in self.cuts]
+        # Known shingle -> numbers of the lengths of its items in this slice.
+        words = np.array([len(h) for _, h in hashed], np.int64)
+        self.lengths = np.unique(words)
+        self.length_of = np.searchsorted(self.lengths, words)
+        places = np.searchsorted(self.known, np.concatenate(sets or [np.empty(0, np.uint64)]))
+        pairs = np.unique(places * max(1, len(self.lengths)) + np.repeat(self.length_of, [len(x) for x in sets]))
+        holder, self.holds = np.divmod(pairs, max(1, len(self.lengths)))
+        self.first = np.searchsorted(holder, np.arange(len(self.known)))
+        self.n_held = np.searchsorted(holder, np.arange(len(self.known)), "right") - self.first
+        self._index(self._item_bits(sets))
+
+    def _item_bits(self, sets: list[np.ndarray]) -> np.ndarray:
+        bits, begin = np.zeros((len(sets), BITS), bool), 0
+        end = np.cumsum([len(x) for x in sets])
+        while begin < len(sets):
+            done = end[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(end, done + PIECE_CELLS, "right")))
+            s = np.concatenate(sets[begin:stop])
+            run = _running(s, self.weigh(s)[1])
+            cut = np.r_[done, end[begin:stop]] - done
+            bits[begin:stop] = run[cut[1:]] - run[cut[:-1]] > 0
+            begin = stop
+        return bits
+
+    def _index(self, bits: np.ndarray) -> None:
+        """Per block the sorted (length, value) keys, their items, and a bit map of the values."""
+        self.prints = np.packbits(bits, axis=1).view(np.uint64)
+        values = (bits.astype(np.float32) @ _PLACES).astype(np.int64)
+        self.keys, self.items, self.maps = [], [], []
+        for b in range(BLOCKS):
+            key = self.length_of << _WIDTH | values[:, b]
+            order = np.argsort(key, kind="stable")
+            self.keys.append(key[order])
+            self.items.append(order.astype(np.int32))
+            there = np.zeros(1 << _WIDTH, bool)
+            there[values[:, b] ^ self._salt(self.length_of)] = True
+            self.maps.append(np.packbits(there, bitorder="little"))
 
     @staticmethod
-    def _table(prints: np.ndarray, lo: np.uint64, width: int) -> np.ndarray:
-        """Block value -> which items have it or a value one bit away."""
-        value = ((prints >> lo) & np.uint64((1 << width) - 1)).astype(np.int64)
-        out = np.zeros((1 << width, len(prints)), bool)
-        for flip in [0] + [1 << b for b in range(width)]:
-            out[value ^ flip, np.arange(len(prints))] = True
-        return out
+    def _salt(length_no):
+        """Lengths share the bit maps, each turned by a number of its own."""
+        return length_no * 0x9E3B1 & ((1 << _WIDTH) - 1)
 
     def weigh(self, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which shingles belong to an item of the slice, and the weight of every shingle."""
+        """Place of every shingle among the known ones (-1: none), and its weight."""
         weight = np.full(len(shingle), self.unseen)
         maybe = np.flatnonzero(self.filter[(shingle & np.uint64(_FILTER_BITS - 1)).astype(np.int64)])
-        hit = np.zeros(len(shingle), bool)
+        place = np.full(len(shingle), -1)
         if len(maybe):
             at = np.minimum(np.searchsorted(self.known, shingle[maybe]), len(self.known) - 1)
             same = self.known[at] == shingle[maybe]
-            hit[maybe[same]] = self.own[at[same]]
+            place[maybe[same]] = at[same]
             weight[maybe[same]] = self.known_weight[at[same]]
-        return hit, weight
-
-    def near(self, length: int, prints: np.ndarray) -> np.ndarray:
-        """(window, item) pairs within the radius, found through the blocks."""
-        found = np.zeros((len(prints), len(self.by_length[length])), bool)
-        for (lo, width), tab in zip(self.cuts, self.tables[length]):
-            found |= tab[((prints >> lo) & np.uint64((1 << width) - 1)).astype(np.int64)]
-        w, i = np.nonzero(found)
-        far = np.bitwise_count(prints[w] ^ self.prints[self.by_length[length]][i])
-        return np.stack([w, self.by_length[length][i]], 1)[far <= RADIUS]
+        return place, weight
+
+    def candidates(self, length_no: int, bits: np.ndarray) -> np.ndarray:
+        """(window, item) pairs of one length that some block brings together."""
+        values = (bits.astype(np.float32) @ _PLACES).astype(np.int64)
+        found = [np.empty(0, np.int64)]
+        for b, width in enumerate(np.diff(_CUTS)):
+            for begin in range(0, len(bits), 64):
+                near = values[begin:begin + 64, b, None] ^ _FLIPS[int(width)]
+                cell = near ^ self._salt(length_no)
+                w, j = np.nonzero(self.maps[b][cell >> 3] >> (cell & 7) & 1)
+                key = length_no << _WIDTH | near[w, j]
+                lo = np.searchsorted(self.keys[b], key)
+                n = np.searchsorted(self.keys[b], key, "right") - lo
+                found.append((np.repeat(w + begin, n) * len(self.ids)) + csr_gather(np.arange(len(n)), lo, n, self.items[b]))
+        return np.stack(np.divmod(np.unique(np.concatenate(found)), max(1, len(self.ids))), 1)
+
+    def near(self, length_no: int, bits: np.ndarray) -> np.ndarray:
+        """(window, item) pairs within the radius, found through the blocks; equal prints are looked up once."""
+        prints, first, which = np.unique(np.packbits(bits, axis=1).view(f"V{BITS // 8}").ravel(), return_index=True, return_inverse=True)
+        pairs = self.candidates(length_no, bits[first])
+        prints = prints.view(np.uint64).reshape(-1, BITS // 64)
+        pairs = pairs[np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]]).sum(axis=1) <= RADIUS]
+        lo, hi = (np.searchsorted(pairs[:, 0], which, side) for side in ("left", "right"))
+        return np.stack([np.repeat(np.arange(len(bits)), hi - lo), csr_gather(np.arange(len(bits)), lo, hi - lo, pairs[:, 1])], 1)
 
     def matches(self, text: str, threshold: float) -> dict[int, tuple[float, int]]:
         """Item -> similarity and first word of its best window."""
         h = word_hashes(text)
         best: dict[int, tuple[float, int]] = {}
-        sums: dict[int, tuple] = {}
-        for length in self.by_length:
-            k = min(SHINGLE_WORDS, length)
-            if k > len(h):
-                continue
-            if k not in sums:
-                s = shingle_hashes(h, k)
-                hit, weight = self.weigh(s)
-                sums[k] = (s, weight, np.r_[0.0, np.cumsum(weight)], np.r_[0.0, np.cumsum(weight * hit)]) if hit.any() else None
-            if sums[k] is None:
+        for k in np.unique(np.minimum(self.lengths, SHINGLE_WORDS)).tolist():
+            s = shingle_hashes(h, k)
+            place, weight = self.weigh(s)
+            at = np.flatnonzero(place >= 0)
+            if not len(at):
                 continue
-            s, weight, every, known = sums[k]
-            m = min(length, len(h)) - k + 1
-            start = np.flatnonzero(known[m:] - known[:-m] >= threshold * (every[m:] - every[:-m]) - 1e-9)
-            for part in np.array_split(start, len(start) // 4096 + 1):
-                if len(part):
-                    self._verify(best, s, weight, part, m, length, threshold)
+            every = np.r_[0.0, np.cumsum(weight)]
+            held = csr_gather(place[at], self.first, self.n_held, self.holds)
+            at = np.repeat(at, self.n_held[place[at]])
+            for no in np.unique(held).tolist():
+                m = min(int(self.lengths[no]), len(h)) - k + 1
+                own = np.zeros(len(s))
+                own[at[held == no]] = weight[at[held == no]]
+                known = np.r_[0.0, np.cumsum(own)]
+                start = np.flatnonzero(known[m:] - known[:-m] >= threshold * (every[m:] - every[:-m]) - 1e-9)
+                if len(start):
+                    fresh = np.cumsum(np.minimum(np.diff(start, prepend=start[0] - m), m)) // PIECE_CELLS
+                    for part in np.split(start, np.flatnonzero(np.diff(fresh)) + 1):
+                        self._verify(best, s, weight, part, m, no, threshold)
         return best
 
-    def _verify(self, best, s, weight, start, m, length, threshold) -> None:
-        cells = start[:, None] + np.arange(m)
-        signs = _bits(s[np.unique(cells)]) * weight[np.unique(cells)][:, None]
-        run = np.concatenate([np.zeros((1, 64)), np.cumsum(signs, axis=0)])
-        rank = np.searchsorted(np.unique(cells), cells[:, 0])
-        # The cells of one window are consecutive, so they are consecutive among all cells too.
-        prints = _pack(np.round(run[rank + m] - run[rank], 6))
-        for w, item in self.near(length, prints).tolist():
+    def _verify(self, best, s, weight, start, m, length_no, threshold) -> None:
+        # The shingles of one window are consecutive, so they are consecutive among those of all windows too.
+        inside = np.zeros(int(start[-1] - start[0]) + m + 1, np.int64)
+        np.add.at(inside, start - start[0], 1)
+        np.add.at(inside, start - start[0] + m, -1)
+        cells = np.flatnonzero(np.cumsum(inside) > 0) + start[0]
+        run = _running(s[cells], weight[cells])
+        rank = np.searchsorted(cells, start)
+        for w, item in self.near(length_no, run[rank + m] - run[rank] > 0).tolist():
             at = int(start[w])
             bag = Counter(s[at:at + m].tolist())
             here = dict(zip(s[at:at + m].tolist(), weight[at:at + m].tolist()))

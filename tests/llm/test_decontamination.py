@@ -3,7 +3,9 @@ import random
 import re
 from collections import Counter
 
-from shelfspark.llm.decontamination import RADIUS, Benchmark, drop_contaminated, find_contamination
+import numpy as np
+
+from shelfspark.llm.decontamination import _CUTS, BITS, BLOCK_RADIUS, RADIUS, Benchmark, drop_contaminated, find_contamination
 from tests.llm.helpers import TEXT_EDGES, documents, sentence, vocabulary
 
 
@@ -61,10 +63,8 @@ def test_equals_brute_force_and_slices(spark):
     gone = {w[0] for w in want}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in docs if i not in gone)
     assert kept.columns == documents(spark, docs).columns
-    # Slices have weights of their own; exact copies of items are found in any of them.
-    exact = {(d, i) for d, i, s, _ in want if s == 1.0}
     sliced = find_contamination(documents(spark, docs), bench, slice_chars=600)
-    assert exact <= {(r.doc_id, r.item_id) for r in sliced.collect()}
+    assert sorted(map(tuple, sliced.collect()), key=str) == want
 
 
 def test_empty_tables(spark):
@@ -74,14 +74,50 @@ def test_empty_tables(spark):
     assert find_contamination(documents(spark, docs), bench.limit(0)).count() == 0
 
 
+def bits_of(bench, items):
+    return np.unpackbits(bench.prints[items].view(np.uint8), axis=1).astype(bool)
+
+
 def test_blocks_find_all_prints_within_the_radius():
     rng = random.Random(2)
     bench = Benchmark([(i, sentence(rng, vocabulary(300), 20, 21)) for i in range(30)])
     for k in range(200):
         item = rng.randrange(30)
-        flips = sum(1 << b for b in rng.sample(range(64), RADIUS))
-        near = bench.near(20, bench.prints[item:item + 1] ^ type(bench.prints[0])(flips))
-        assert item in near[:, 1]
+        bits = bits_of(bench, [item])
+        bits[0, rng.sample(range(BITS), RADIUS)] ^= True
+        assert item in bench.near(0, bits)[:, 1]
+    # The worst case: every block differs in as many bits as it may.
+    bits = bits_of(bench, [4])
+    for b, (lo, hi) in enumerate(zip(_CUTS[:-1], _CUTS[1:])):
+        bits[0, rng.sample(range(lo, hi), BLOCK_RADIUS + (b > 0))] ^= True
+    assert [0, 4] in bench.near(0, bits).tolist()
+
+
+def test_index_prunes_and_stays_small_with_many_items():
+    rng, voc = random.Random(4), vocabulary(20_000)
+    bench = Benchmark([(i, " ".join(rng.choices(voc, k=20 + i % 2))) for i in range(100_000)])
+    assert sum(x.nbytes for x in (*bench.keys, *bench.items, *bench.maps, bench.prints)) < 100 << 20
+    bits = np.random.default_rng(1).random((200, BITS)) < .5
+    pairs = bench.candidates(1, bits)
+    print("candidates per window:", len(pairs) / 200, "of 50000")
+    assert len(pairs) / 200 < .0505 * 50_000 and all(bench.length_of[i] == 1 for i in pairs[:500, 1])
+    # The blocks bring together what a comparison with all prints finds.
+    probe = bits_of(bench, np.arange(1, 41, 2))
+    probe ^= np.random.default_rng(2).random(probe.shape) < .19
+    prints = np.packbits(probe, axis=1).view(np.uint64)
+    far = np.bitwise_count(prints[:, None] ^ bench.prints[None, 1::2]).sum(axis=2)
+    want = sorted((int(w), 2 * int(i) + 1) for w, i in np.argwhere(far <= RADIUS))
+    assert sorted(map(tuple, bench.near(1, probe).tolist())) == want and len(want) > 10
+
+
+def test_very_long_text_with_scattered_copies(spark):
+    rng, voc = random.Random(7), vocabulary(3_000)
+    items = [(i, " ".join(rng.choices(voc, k=25 + i % 3))) for i in range(12)]
+    long = " ".join(" ".join(rng.choices(voc, k=5_000)) + " " + t for _, t in items)
+    again = " ".join([items[0][1]] * 1_500)
+    got = find_contamination(documents(spark, [(1, long), (2, again)]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.similarity) for r in got} == {(1, i, 1.0) for i, _ in items} | {(2, 0, 1.0)}
+    assert {r.item_id: r.first_word for r in got if r.doc_id == 1} == {i: sum(5_000 + len(t.split()) for _, t in items[:i]) + 5_000 for i, _ in items}
 
 
 def test_documents_shorter_than_the_item(spark):
