@@ -50,18 +50,22 @@ def overlap_scorer(query: Column, text: Column) -> Column:
 
 
 def attach_text(candidates: DataFrame, docs: DataFrame, queries: Queries, per_query: int,
-                doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Bring the text to a candidate list; the list is the small side, the corpus stays in place."""
-    corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+                doc_id: str = "doc_id", text: str = "text", chars: int | None = None) -> DataFrame:
+    """Bring the text to a candidate list; the list is the small side, the corpus stays in place.
+
+    ``chars``: as many characters as the caller reads. They are cut where the corpus is read, so a
+    list too large to broadcast shuffles these and no whole texts.
+    """
+    read = F.col(text) if chars is None else F.substring(F.col(text), 1, chars)
+    corpus = docs.select(F.col(doc_id).alias("doc_id"), read.alias("text"))
     return corpus.join(queries.small(candidates, per_query), "doc_id")
 
 
 def rerank(candidates: DataFrame, docs: DataFrame, queries: Queries, per_query: int, k: int | None = None,
            scorer: Scorer = overlap_scorer, cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """Score (query, first characters of the text) pairs again and rank by that score."""
-    pairs = attach_text(candidates, docs, queries, per_query).join(queries.small(queries.df), "query_id")
-    head = F.substring(F.col("text"), 1, cfg.rerank_chars)
-    scored = (pairs.withColumn("rerank_score", scorer(F.col("query"), head))
+    pairs = attach_text(candidates, docs, queries, per_query, chars=cfg.rerank_chars).join(queries.small(queries.df), "query_id")
+    scored = (pairs.withColumn("rerank_score", scorer(F.col("query"), F.col("text")))
               .withColumn("score", F.col("rerank_score")).drop("text", "query", "rank"))
     return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k or per_query)
 
@@ -101,8 +105,8 @@ def merge_pool(pool: DataFrame, new: DataFrame, queries: Queries, docs: DataFram
     if scorer is None:
         return ranked.withColumn("rank", F.col("old_rank"))
     head = F.col("old_rank") < cfg.pool_rerank
-    texted = attach_text(ranked.filter(head), docs, queries, cfg.pool_rerank).join(queries.small(queries.df), "query_id")
-    again = texted.select("query_id", "doc_id", scorer(F.col("query"), F.substring("text", 1, cfg.rerank_chars)).alias("score"), "old_rank")
+    texted = attach_text(ranked.filter(head), docs, queries, cfg.pool_rerank, chars=cfg.rerank_chars).join(queries.small(queries.df), "query_id")
+    again = texted.select("query_id", "doc_id", scorer(F.col("query"), F.col("text")).alias("score"), "old_rank")
     final = again.unionByName(ranked.filter(~head))
     tail = (~head).cast("int")
     place = F.when(head, F.lit(0)).otherwise(F.col("old_rank"))
