@@ -4,10 +4,11 @@ Two neighbouring characters that no vocabulary piece holds side by side can neve
 merged into one token, whatever stands around them: such a place is a *stable boundary*,
 and the encoding of a text is the encoding of its left part followed by that of its right
 part. A huge text is cut into chunks that overlap. Each overlap is widened until it holds a
-stable boundary; the neighbours are then encoded separately (in different tasks), with
-offsets, and spliced there. The offsets must show a token boundary at the splice on either
-side; should they ever not, the job stops with an error instead of a wrong count. A text
-without any stable boundary is encoded whole.
+stable boundary at which the encodings of the overlap from the left and from the right, with
+their offsets, both end a token; where they do not align, the next boundary is tried and the overlap widened.
+The neighbours are then encoded separately (in different tasks) and spliced there. The offsets of
+the whole chunks must show the same token boundary; should they ever not, the job stops with an
+error instead of a wrong count. A text without any such boundary is encoded whole, in one task.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); every input row gives one
 row, repeated rows and repeated ids included; an empty table gives an empty table; only the
@@ -46,14 +47,27 @@ class PieceEncoder:
         """No piece can span the place before ``text[at]``."""
         return text[at - 1:at + 1].replace(" ", _META) not in self.joined
 
+    def edges(self, spans) -> set[int]:
+        """Places in bytes at which a token ends."""
+        return {p.end for p in spans} | {0}
+
+    def aligned(self, text: str, at: int, overlap: int) -> bool:
+        """The encodings of the overlap as the left and as the right chunk sees it both end a token at ``at``."""
+        for lo, hi in ((at - 2 * overlap, at + overlap), (at - overlap, at + 2 * overlap)):
+            lo = max(0, lo)
+            spans = self.sp.encode(text[lo:hi], return_type="proto").pieces
+            if len(text[lo:at].encode()) not in self.edges(spans):
+                return False
+        return True
+
     def splice_point(self, text: str, cut: int, overlap: int) -> tuple[int, int]:
-        """First stable boundary from ``cut`` on and the overlap that holds it, which
-        doubles until it does; the end of the text if there is none."""
+        """First stable boundary from ``cut`` on where the encodings align, and the overlap that
+        holds it, which doubles until it does; the end of the text if there is none."""
         at = max(cut, 1)
         while True:
             end = min(len(text), cut + overlap)
             while at < end:
-                if self.stable(text, at):
+                if self.stable(text, at) and self.aligned(text, at, overlap):
                     return at, overlap
                 at += 1
             if end == len(text):
@@ -79,7 +93,7 @@ class PieceEncoder:
         # token of a character have no width and start where their character starts.
         first, last = len(chunk[:lo].encode()), len(chunk[:hi].encode())
         starts = [p.begin for p in spans]
-        ends = {p.end for p in spans} | {0}
+        ends = self.edges(spans)
         if first not in ends or last not in ends:
             raise ValueError("the encodings do not align at a stable boundary")
         return sum(first <= x < last for x in starts)

@@ -31,6 +31,27 @@ def test_overlap_widens_until_a_boundary(encoder):
     assert encoder.splice_point("a" * 500, 50, 4)[0] == 500  # no boundary at all: one chunk
 
 
+class Doubtful(PieceEncoder):
+    """Takes every place for a stable boundary, so that the alignment alone decides."""
+
+    def stable(self, text, at):
+        return True
+
+
+def test_misaligned_places_are_passed_over():
+    rng, doubtful = random.Random(3), Doubtful(MODEL)
+    text = " ".join(rng.choice(["establishment", "counterparts", "internationally", "understanding"]) for _ in range(300))
+    cuts = [k for k in range(50, 450) if not doubtful.aligned(text, k, 32)]
+    assert len(cuts) > 200  # places inside pieces
+    for cut in cuts:
+        at, _ = doubtful.splice_point(text, cut, 32)
+        assert at > cut and doubtful.aligned(text, at, 32)
+    assert sum(doubtful.count_between(*c) for c in doubtful.chunks(text, 100, 32)) == doubtful.count(text)
+    # One long piece after the other: the overlap is too narrow to hold a boundary and widens.
+    at, overlap = doubtful.splice_point(text, cuts[0], 1)
+    assert at > cuts[0] and overlap >= 1
+
+
 def test_every_row(spark):
     rows = [(i, "the cat sat. " * i + "日本 🙂") for i in range(40)] + [(3, "again")] + [(None, "no id")] + TEXT_EDGES
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
