@@ -219,3 +219,11 @@ def test_ranges_below_the_bound_are_not_opened():
     parts = Counted(pa.array([[x] for x in top], pa.list_(pa.float64())))
     best, score = postings._best(docs, parts, np.arange(n), np.ones(n), np.arange(n), top, 10)
     assert sorted(best.to_pylist())[:10] == list(range(10)) and score[0] == 5.0 and parts.rows <= 48
+
+
+def test_every_term_is_told(spark, tmp_path):
+    """One row per term, also where terms share first letter and frequency."""
+    from shelfspark.plans.registry.search import bm25_terms
+    spark.createDataFrame([(1, "alpha avocado beta"), (2, "alpha anchor"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(bm25_terms(spark, str(tmp_path)), "term", "df")
+    assert got == [("alpha", 2), ("anchor", 1), ("avocado", 1), ("beta", 1)]
