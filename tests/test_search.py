@@ -227,3 +227,17 @@ def test_every_term_is_told(spark, tmp_path):
     spark.createDataFrame([(1, "alpha avocado beta"), (2, "alpha anchor"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = rows(bm25_terms(spark, str(tmp_path)), "term", "df")
     assert got == [("alpha", 2), ("anchor", 1), ("avocado", 1), ("beta", 1)]
+
+
+def test_embedding_holds_a_slice_of_words_at_once(spark, monkeypatch):
+    """Rows of any length: the words of a batch are cut to slices of whole rows, none is lost."""
+    import pyarrow as pa
+
+    from shelfspark.operators import vectors
+    monkeypatch.setattr(vectors, "_WORDS", 10)
+    lists = pa.array([["a"] * 4, ["b"] * 6, [], None, ["c"] * 25, ["d"], []], pa.list_(pa.string()))
+    parts = [p.to_pylist() for p in vectors.slices(lists)]
+    assert sum(parts, []) == lists.to_pylist()
+    assert [sum(len(r or []) for r in p) for p in parts] == [10, 25, 1] and list(vectors.slices(lists.slice(0, 0))) == []
+    whole, cut = vectors._hashed(lists, 8), pa.concat_arrays([vectors._hashed(p, 8) for p in vectors.slices(lists)])
+    assert whole.equals(cut) and whole.to_pylist()[2] == [0.0] * 8
