@@ -241,3 +241,22 @@ def test_embedding_holds_a_slice_of_words_at_once(spark, monkeypatch):
     assert [sum(len(r or []) for r in p) for p in parts] == [10, 25, 1] and list(vectors.slices(lists.slice(0, 0))) == []
     whole, cut = vectors._hashed(lists, 8), pa.concat_arrays([vectors._hashed(p, 8) for p in vectors.slices(lists)])
     assert whole.equals(cut) and whole.to_pylist()[2] == [0.0] * 8
+
+
+@pytest.mark.parametrize("sent", [2, 1 << 18])
+def test_blocks_shuffle_postings_once(spark, monkeypatch, sent):
+    """Every posting is in a block, with its idf, whether that is broadcast or not; one shuffle where it is."""
+    from shelfspark.config import Bm25Config
+    from shelfspark.operators import postings
+    monkeypatch.setattr(postings, "_SENT_TERMS", sent)
+    monkeypatch.setattr(postings, "RANGE_DOCS", 4)
+    d = spark.createDataFrame([(i, f"all half{i % 2} own{i}") for i in range(30)], "doc_id long, text string")
+    index = LexicalIndex.build(d).stored()
+    stats = index.term_stats()
+    b = postings.blocks(index.doc_terms, stats, 30, 3.0, Bm25Config())
+    idf = {r["term"]: r["idf"] for r in stats.collect()}
+    got = b.collect()
+    assert sorted((r["term"], i) for r in got for i in r["docs"]) == sorted((t, i) for i in range(30) for t in ("all", f"half{i % 2}", f"own{i}"))
+    assert len({(r["term"], r["rng"]) for r in got}) == len(got) and all(r["idf"] == idf[r["term"]] and r["top"] == max(r["parts"]) for r in got)
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and (sent == 2 or plan.count("Repartition") == 1)
