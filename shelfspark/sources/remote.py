@@ -155,31 +155,33 @@ def parse_members(pages: DataFrame) -> DataFrame:
                     F.regexp_replace("m.title", r"\AThể[ _]loại:", "").alias("title"), (F.col("m.ns") == 14).alias("is_category"))
 
 
-def _claim(body: Column, prop: str, n: int) -> Column:
+_CLAIMS = "struct<claims:struct<" + ",".join(f"{p}:array<struct<mainsnak:struct<datavalue:struct<value:string>>>>" for p in V.CLAIM_PROPERTIES.values()) + ">>"
+
+
+def _claim(claims: Column, prop: str, n: int) -> Column:
     """Raw JSON values of the first ``n`` claims of a property."""
-    path = [f"$.claims.{V.CLAIM_PROPERTIES[prop]}[{i}].mainsnak.datavalue.value" for i in range(n)]
-    return F.array_compact(F.array(*[F.get_json_object(body, p) for p in path]))
+    first = F.slice(claims[V.CLAIM_PROPERTIES[prop]], 1, n)
+    return F.array_compact(F.coalesce(F.transform(first, lambda c: c["mainsnak"]["datavalue"]["value"]), F.array().cast("array<string>")))
 
 
 def parse_claims(entities: DataFrame, labels: DataFrame, body: str = "body") -> DataFrame:
     """Entity JSON -> qid, years and labelled author / genre / nationality.
 
-    Labels come from ``labels(qid, label)`` by a join per referenced entity.
+    A body is decoded once. Labels come from ``labels(qid, label)`` by a join per referenced entity,
+    the names of an entity by one aggregate.
     """
-    ref = lambda arr: F.array_compact(F.transform(arr, lambda v: F.get_json_object(v, "$.id")))
-    year = lambda p: claim_year(F.coalesce(F.get_json_object(F.get(_claim(F.col(body), p, 1), F.lit(0)), "$.time"), F.lit("")))
-    e = entities.select("qid", year("publication_date").alias("publication_year"), year("birth").alias("birth_year"),
-                        year("death").alias("death_year"),
-                        F.map_from_arrays(F.array(F.lit("author"), F.lit("genre"), F.lit("nationality")), F.array(
-                            ref(_claim(F.col(body), "author", 5)), ref(_claim(F.col(body), "genre", 3)),
-                            ref(_claim(F.col(body), "nationality", 1)))).alias("refs"))
-    flat = e.select("qid", F.explode("refs").alias("field", "ids")).select("qid", "field", F.posexplode("ids").alias("pos", "ref"))
-    named = (flat.join(labels.select(F.col("qid").alias("ref"), "label"), "ref").filter(F.coalesce("label", F.lit("")) != "")
-             .groupBy("qid", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda s: s["label"]).alias("names")))
-    pick = lambda f: F.coalesce(F.max(F.when(F.col("field") == f, F.col("names"))), F.array().cast("array<string>"))
-    wide = named.groupBy("qid").agg(pick("author").alias("authors"), pick("genre").alias("genres"), pick("nationality").alias("_nat"))
+    c = F.from_json(F.col(body), _CLAIMS)["claims"]
+    year = lambda p: claim_year(F.coalesce(F.get_json_object(F.get(_claim(F.col("_c"), p, 1), F.lit(0)), "$.time"), F.lit("")))
+    refs = lambda p, n: F.transform(_claim(F.col("_c"), p, n), lambda v, i: F.struct(F.lit(p).alias("field"), i.alias("pos"), F.get_json_object(v, "$.id").alias("ref")))
+    read = entities.select("qid", c.alias("_c"))
+    e = read.select("qid", year("publication_date").alias("publication_year"), year("birth").alias("birth_year"), year("death").alias("death_year"))
+    flat = read.select("qid", F.explode(F.concat(refs("author", 5), refs("genre", 3), refs("nationality", 1))).alias("r")).select("qid", "r.*")
+    wide = (flat.join(labels.select(F.col("qid").alias("ref"), "label"), "ref").filter(F.coalesce("label", F.lit("")) != "")
+            .groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("field", "pos", "label"))).alias("_all")))
+    pick = lambda f: F.transform(F.filter("_all", lambda s: s["field"] == f), lambda s: s["label"])
+    wide = wide.select("qid", pick("author").alias("authors"), pick("genre").alias("genres"), pick("nationality").alias("_nat"))
     first = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
-    return e.drop("refs").join(wide, "qid", "left").select(
+    return e.join(wide, "qid", "left").select(
         "qid", "publication_year", "birth_year", "death_year", "authors", "genres",
         first("authors").alias("author"), first("genres").alias("genre"), first("_nat").alias("nationality"))
 

@@ -225,3 +225,15 @@ def test_append_reads_the_touched_key_folders_and_recovers(spark, tmp_path):
     (tmp_path / "t" / "_pending").write_text("")
     assert sinks.append_new(spark.range(998, 1004).select("id", F.lit("d").alias("v")), path, buckets=16).count() == 3
     assert spark.read.parquet(path).groupBy("id").count().filter("count > 1").count() == 0
+
+
+def test_claims_decode_a_body_once(spark):
+    """No path is looked up in the whole body, and names come from one aggregate; odd bodies give empty fields."""
+    val = lambda v: {"mainsnak": {"datavalue": {"value": v}}}
+    good = json.dumps({"claims": {"P50": [{"mainsnak": {}}, val("text"), val({"id": "Q2"}), val({"id": "Q1"})], "P27": [val({"id": "Q1"})]}})
+    entities = spark.createDataFrame([("A", good), ("B", '{"claims": []}'), ("C", good[:-9]), ("D", None)], "qid string, body string")
+    c = remote.parse_claims(entities, spark.createDataFrame([("Q1", "one"), ("Q2", "two")], "qid string, label string"))
+    got = {r["qid"]: (r["authors"], r["genre"], r["nationality"]) for r in c.collect()}
+    assert got == {"A": (["two", "one"], "", "one"), "B": (None, "", ""), "C": (None, "", ""), "D": (None, "", "")}
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object(body" not in plan and plan.count("Aggregate [") == 1
