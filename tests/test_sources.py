@@ -1,10 +1,12 @@
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from shelfspark.plans import library_build
 from shelfspark.operators.bm25 import Queries
 from shelfspark.operators.quality import before_after
+from shelfspark.plans.registry import chat
 from shelfspark.sources import readers, remote, sinks
 from shelfspark.streaming import incremental
 
@@ -207,6 +209,54 @@ def test_expired_conversations_are_forgotten(spark, tmp_path):
     assert incremental.read_conversations(spark, str(tmp_path / "out")).count() == 0
 
 
+def test_conversations_share_the_groups_of_the_state(spark, tmp_path, monkeypatch):
+    """One group per block and not per conversation; rows come in slices, ids beyond 2^53 stay exact beside nulls."""
+    monkeypatch.setattr(incremental, "BLOCKS", 3)
+    ddl = "conv_id long, turn long, role string, text string"
+    ids = [None, *range(2**53 + 1, 2**53 + 21)]
+    batches = [[(c, t, "user", "x" * (t + i)) for i, c in enumerate(ids) for t in range(5)],
+               [(ids[1], None, "user", "oldest"), (ids[2], 9, "user", None), (ids[3], 9, "user", "abc"), (7, 0, "user", "y")]]
+    for rows in batches:
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = incremental.read_stream(spark, str(tmp_path / "in"), ddl)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        try:
+            incremental.track_conversations(s, str(tmp_path / "out"), str(tmp_path / "cp"), 3).awaitTermination()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = {c: (5, 2, 2 + 3 + 4 + 3 * i) for i, c in enumerate(ids)}
+    expected |= {ids[1]: (6, 3, 2 + 3 + 4 + 3), ids[2]: (6, 3, 3 + 4 + 2 * 2), ids[3]: (6, 3, 3 + 4 + 2 * 3 + 3), 7: (1, 0, 1)}
+    assert {r[0]: tuple(r)[1:] for r in incremental.read_conversations(spark, str(tmp_path / "out")).collect()} == expected
+    state = spark.read.format("statestore").option("stateVarName", "conversation").load(str(tmp_path / "cp"))
+    assert state.select("key").distinct().count() <= 3
+
+
+def test_a_conversation_costs_two_calls_of_the_state_per_slice():
+    calls, stored = [], {}
+
+    class State:
+        def getValue(self, key):
+            calls.append("get")
+            return stored.get(key)
+
+        def updateValue(self, key, value):
+            calls.append("update")
+            stored[key] = value
+
+    window = incremental._Window("conv_id", "turn", 2, None)
+    window.state = State()
+    rows = pd.DataFrame({"conv_id": ["a", "b"] * 50, "turn": range(100), "size": 1})
+    assert list(window.handleInputRows((0,), iter([rows, rows]), None)) == []
+    assert stored == {("a",): (100, [98, 98], [1, 1]), ("b",): (100, [99, 99], [1, 1])}
+    assert calls == ["get", "update"] * 4
+
+
+def test_conversation_states_keep_messages_of_odd_turns(spark, tmp_path):
+    rows = [(1, t, "user", "x" * n) for n, t in enumerate([-3, -1, 0, 2, 7, None])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [tuple(r) for r in chat.conversation_states(spark, str(tmp_path)).collect()] == [(1, 6, 2, 1 + 2 + 3 + 4)]
+
+
 def test_seen_keys_are_state(spark, tmp_path):
     for rows in ([(1, "a"), (2, "b"), (1, "a")], [(2, "x"), (3, "c")], [(1, "y"), (3, "z")]):
         spark.createDataFrame(rows, "id int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
